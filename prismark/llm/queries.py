@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prismark.llm import bpe, packing
+from prismark.llm import bpe, packing, webp
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored as a lossless WebP picture, read back and reduced to digests and a feature."""
+    return webp.media_report(table(spark, sf_dir, "documents"))
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 2048 tokens, 512 segments and 2048 loss-bearing tokens."""
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -27,7 +32,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_vector_packing, op8_bpe)}
+    return {f.__name__: f for f in (op3_lossless_webp, op5_vector_packing, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
