@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prismark.llm import bpe, packing, webp
+from prismark.llm import bpe, minhash, packing, webp
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -31,8 +31,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in classes linked at a Jaccard similarity of 0.85 or more on three-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, part=85, whole=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_lossless_webp, op5_vector_packing, op8_bpe)}
+    return {f.__name__: f for f in (op3_lossless_webp, op5_vector_packing, op8_bpe, op10_minhash_hamming)}
 
 
 def oracle_sql() -> dict[str, str]:
