@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prismark.llm import bpe, minhash, packing, webp
+from prismark.llm import bpe, langid, minhash, packing, toxicity, webp
+from prismark.llm.common import fold
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -16,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probabilities of low quality and, given that, of toxicity; labels of one fold are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.of_documents(docs, table(spark, sf_dir, "labels"), hold_out=True)
+    held_out = fold("doc_id", toxicity.HELD_OUT) == 1
+    return toxicity.predicted(docs, chain).select("doc_id", held_out.alias("held_out"), "p_low_quality", "is_low_quality", "p_toxic", "is_toxic")
+
+
 def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored as a lossless WebP picture, read back and reduced to digests and a feature."""
     return webp.media_report(table(spark, sf_dir, "documents"))
@@ -26,6 +36,14 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the labels of two folds in three."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 3) == 1
+    model = langid.learned(langid.training(docs, ~held_out))
+    return langid.predicted(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and decoded text, as counts and digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -37,7 +55,7 @@ def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_lossless_webp, op5_vector_packing, op8_bpe, op10_minhash_hamming)}
+    return {f.__name__: f for f in (op2_toxicity_chain, op3_lossless_webp, op5_vector_packing, op6_cross_parsing, op8_bpe, op10_minhash_hamming)}
 
 
 def oracle_sql() -> dict[str, str]:
