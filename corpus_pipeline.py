@@ -1,13 +1,52 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline over ``documents``: language, toxicity, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prismark.llm import langid, minhash, packing, toxicity
+from prismark.llm.common import shared_dir, written
+from prismark.llm.queries import WORD_BPE
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the labels teach; those with no text or no letter go."""
+    model = langid.learned(langid.training(docs, F.lit(True)))
+    found = langid.predicted(docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]), model, lang="__lang", score="__score")
+    return found.where(F.col("__lang") != langid.UNKNOWN).select(*docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the chain does not call toxic; low quality is an earlier link, not a reason to go."""
+    chain = toxicity.of_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.predicted(docs, chain).where("not is_toxic").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class linked at a Jaccard similarity of 0.8 on five-word shingles."""
+    return minhash.deduplicated(docs, words=5, part=80, whole=100).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.packed(docs, public_tokenizers.path(WORD_BPE))
+
 
-STAGES: list = []
-#: Classifiers, signatures and packing are beyond SQL; tests hold the stages against brute force.
+STAGES = [("language", language), ("toxicity", toxic), ("near duplicates", near_duplicates), ("packing", packed)]
+#: Automata, classifiers, signatures and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``."""
+    path = shared_dir(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"{path}/{k}")
+    return docs
