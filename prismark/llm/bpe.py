@@ -34,6 +34,7 @@ from prismark.llm.common import slices, texts
 CACHE_WORDS = 400_000
 #: Below U+0558 the letters, digits and lower-case forms are alike in every Unicode version since 6; beyond, the library's own tables decide.
 WIDE = re.compile("[^\\x00-\u0557]")
+NARROW_SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -65,7 +66,10 @@ class WordBpe:
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
         self.alphabet = byte_alphabet()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split, self.wide_plain, self.wide_split = regex.compile(pattern), Sequence([NFC(), Replace(Regex(r"\s+"), " "), Lowercase()]), Split(Regex(pattern), "removed", invert=True)
+        narrow = pattern
+        for name, start in ((r"\p{L}", "L"), (r"\p{N}", "N"), (r"\s", "")):
+            narrow = narrow.replace(name, "".join(re.escape(chr(c)) for c in range(0x558) if (start and unicodedata.category(chr(c))[0] == start) or (not start and chr(c) in NARROW_SPACE)))
+        self.split, self.wide_plain, self.wide_split = re.compile(narrow), Sequence([NFC(), Replace(Regex(r"\s+"), " "), Lowercase()]), Split(Regex(pattern), "removed", invert=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
 
     def merge(self, ids: list[int]) -> list[int]:

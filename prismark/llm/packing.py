@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from prismark.llm.bpe import Kept, WordBpe
+from prismark.llm.bpe import CACHE_WORDS, WIDE, WordBpe
 from prismark.llm.common import slices, texts
 
 #: Sequence ids: the task's number times this, plus the sequence's number in the task.
@@ -139,30 +140,82 @@ def pack(items: list[tuple[object, np.ndarray]], limits: Limits, cut: bool = Tru
         yield now
 
 
-@lru_cache(maxsize=2)
-def worker(path: str) -> tuple[WordBpe, Kept]:
-    """Words to ids as bytes; new words go through the tokenizers library together."""
-    from tokenizers import Tokenizer
-
-    bpe, tokenizer = WordBpe(path), Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    kept = Kept(lambda w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes())
-    kept.batch = lambda words: {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}  # type: ignore[attr-defined]
-    return bpe, kept
+class Ids(dict):
+    """word -> its number; the ids of all known words lie in one array. Words met for the first time wait in ``new``."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.bpe, self.tokenizer = WordBpe(path), Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.ends = np.zeros(max(self.bpe.strings) + 1, dtype=bool)
+        self.ends[[i for i, s in self.bpe.strings.items() if s.endswith(self.bpe.end)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.flat, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+        self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def learn(self) -> None:
+        """Encodes the waiting words with the library, many in one text: a word's last id is the one with the end mark."""
+        first, new = len(self) - len(self.new), self.new
+        apart = [k for k, w in enumerate(new) if w in self.bpe.specials or WIDE.search(w)]
+        joined = sorted(set(range(len(new))) - set(apart))
+        if len(self.starts) < len(self):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self)), np.resize(self.sizes, 2 * len(self))
+        for i in range(0, len(joined), 4096):
+            some = joined[i : i + 4096]
+            ids = self.encode(" ".join([new[k] for k in some]))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                at = np.array(some) + first
+                self.sizes[at] = np.diff(cuts, prepend=0)
+                self.starts[at] = self.used + cuts - self.sizes[at]
+                self.append(ids)
+            else:
+                apart += some
+        for k in apart:
+            ids = self.encode(new[k])
+            self.starts[first + k], self.sizes[first + k] = self.used, len(ids)
+            self.append(ids)
+        self.new = []
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def append(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+
+worker = lru_cache(maxsize=2)(Ids)
 
 
 def tokens(rows: list[str], path: str, end_id: int) -> list[np.ndarray]:
     """Each text's ids with the end id."""
-    bpe, kept = worker(path)
-    words = [bpe.pieces(t) for t in rows]
-    if new := list(set().union(*words) - kept.keys()):
-        if len(kept) + len(new) > kept.most:
-            kept.clear()
-            new = list(set().union(*words))
-        kept.update(kept.batch(new))
-    end = np.array([end_id], dtype="<u4").tobytes()
-    return [np.frombuffer(b"".join([*map(kept.__getitem__, w), end]), dtype="<u4") for w in words]
+    known, out = worker(path), []
+    if len(known) > CACHE_WORDS:
+        known.forget()
+    numbers = [np.fromiter(map(known.__getitem__, w), dtype=np.int64, count=len(w)) for w in map(known.bpe.pieces, rows)]
+    if known.new:
+        known.learn()
+    for n in numbers:
+        sizes = known.sizes[n]
+        ends = np.cumsum(sizes)
+        ids = np.full(int(ends[-1]) + 1 if len(n) else 1, end_id, dtype="<u4")
+        if len(n):
+            ids[:-1] = known.flat[np.repeat(known.starts[n] - ends + sizes, sizes) + np.arange(len(ids) - 1)]
+        out.append(ids)
+    return out
 
 
 def packed(df: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, group_tokens: int = 1 << 21, key: str = "doc_id", text: str = "text") -> DataFrame:
