@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismark.llm import bpe, langid, minhash, packing, toxicity, webp
+from prismark.llm import bpe, langid, minhash, packing, ppm, toxicity, webp
 from prismark.llm.common import fold
 
 WORD_BPE = "word_bpe_49k.json"
@@ -31,6 +31,11 @@ def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media_report(table(spark, sf_dir, "documents"))
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a byte-context trie of order 5 and its unigram base score."""
+    return ppm.scored(table(spark, sf_dir, "documents"), ppm.held_out_by(7, 2))
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 2048 tokens, 512 segments and 2048 loss-bearing tokens."""
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -55,7 +60,7 @@ def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity_chain, op3_lossless_webp, op5_vector_packing, op6_cross_parsing, op8_bpe, op10_minhash_hamming)}
+    return {f.__name__: f for f in (op2_toxicity_chain, op3_lossless_webp, op4_ppm, op5_vector_packing, op6_cross_parsing, op8_bpe, op10_minhash_hamming)}
 
 
 def oracle_sql() -> dict[str, str]:
