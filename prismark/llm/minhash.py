@@ -7,10 +7,12 @@ the pigeonhole principle two signatures at distance 2m - 1 or less share a key,
 least number for which a pair at the threshold lies farther apart with probability ``miss`` or less.
 
 Groups are never expanded into pairs. Equal sets are one vertex. In each key's bucket every member is first paired with
-the bucket's smallest member only; pairs whose signatures are near enough are confirmed on the sets of both texts.
-Components of these links follow. Only members of one bucket that are not yet connected are then compared with each
-other, in blocks of bounded size, and pairs near enough in signature are confirmed alike. That is exact for components:
-a pair at signature distance 2m - 1 or less is confirmed, rejected, or connected already.
+the bucket's smallest member, its pivot, only; pairs whose signatures are near enough are confirmed on the sets of both
+texts. Components of these links follow. Then members of one pivot that are in different components are compared with
+each other, in pairs of blocks of bounded size: by signature first, which leaves the members that have a near one in
+another component, then by their full sets, as products of 0/1 matrices. A block tells no pairs, only enough links to
+connect what is linked. That is exact for components: a pair at signature distance 2m - 1 or less is confirmed, rejected,
+or connected already.
 
 Defined results: a set is the distinct shingles of ``words`` words, or the whole sequence if it is shorter; null, empty
 and blank texts have empty sets and link with nothing; rows that share an id are one document (a row each in the
@@ -36,6 +38,8 @@ from prismark.llm.components import components
 SYMBOLS = 32
 #: Members of a bucket that are compared in one block.
 BLOCK = 512
+#: Shingles of a block's members, all together.
+BLOCK_SHINGLES = 1 << 20
 #: Hash buckets of ids that a text must fall into to be sent to a confirmation: the broadcast's fixed bound.
 ID_BUCKETS = 1 << 19
 M64 = (1 << 64) - 1
@@ -138,15 +142,19 @@ def near(pairs: DataFrame, sets: DataFrame, most: int, part: int, whole: int) ->
     return both.select("a", "b", "a_sig", "b_sig").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, part: int, whole: int) -> DataFrame:
-    """Pairs whose full sets have whole * intersection >= part * union.
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents that may be among ``id``, by hash bucket: a broadcast of at most ``ID_BUCKETS`` numbers.
 
-    Texts travel, not sets: they are shorter. Ids in no pair are left out before the shuffle by their hash bucket, a
-    broadcast of at most ``ID_BUCKETS`` numbers; beyond, more texts travel, and the result is the same.
+    It only spares the shuffles that follow; with very many ids all texts pass, and the result is the same.
     """
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(bucket("id").alias("bucket")).distinct()
-    texts = docs.withColumn("bucket", bucket("doc_id")).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
+    wanted = ids.select(bucket("id").alias("bucket")).distinct()
+    return docs.withColumn("bucket", bucket("doc_id")).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, part: int, whole: int) -> DataFrame:
+    """Pairs whose full sets have whole * intersection >= part * union. Texts travel, not sets: they are shorter."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs)
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("data").alias(f"{c}_data"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
@@ -165,45 +173,102 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, part: int, whole: i
     return both.select("a", "b", "a_data", "b_data").mapInArrow(run, "a long, b long").distinct()
 
 
-def compared(rows: DataFrame, most: int) -> DataFrame:
-    """Pairs ``a, b`` of one bucket and different components whose signatures are near.
+def in_blocks(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """``pivot, i, j, own, id, component`` and the carried columns, a pivot's blocks in pairs, each pair together.
 
-    rows: ``key, id, component, signature, blocks``. A bucket of n members has ``blocks`` blocks; each pair of blocks is
-    compared by itself, so a task's rows are bounded however large a bucket is.
+    rows: ``pivot, id, component, blocks``. A pivot's members are dealt over ``blocks`` blocks by a hash; a member goes to
+    every pair of its own block, so a task's rows are bounded however many members a pivot has.
     """
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))
     spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "signature")
-    spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-
-    def pairs(block: list[tuple]) -> Iterator[tuple[int, int]]:
-        k, i, j = block[0][:3]
-        ids, comps = np.array([r[4] for r in block]), np.array([r[5] for r in block])
-        s, own = np.frombuffer(b"".join([r[6] for r in block]), dtype="<u2").reshape(-1, SYMBOLS), np.array([r[3] for r in block])
-        for n in range(len(block)):
-            later = slice(n + 1, None)
-            ok = (comps[later] != comps[n]) & ((own[later] != own[n]) | (i == j))
-            if ok.any():
-                ok[ok] = (s[later][ok] != s[n]).sum(axis=1) <= most
-                yield from ((int(min(ids[n], x)), int(max(ids[n], x))) for x in ids[later][ok] if x != ids[n])
+    spread = spread.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", *carried)
+    return spread.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "id")
+
+
+def by_block(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in their first three columns."""
+    held: list[tuple] = []
+    for b in slices(batches, rows):
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def rivals(block: list[tuple]) -> np.ndarray:
+    """Which pairs of a block's rows are to be compared: of different components, and of both blocks."""
+    own, component = (np.array([r[k] for r in block]) for k in (3, 5))
+    out = component[:, None] != component[None, :]
+    return out if block[0][1] == block[0][2] else out & (own[:, None] != own[None, :])
+
+
+def close(rows: DataFrame, most: int) -> DataFrame:
+    """``pivot, id`` of members that have one of another component within ``most`` symbols. rows carry ``signature``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in by_block(batches, 2048):
+            s = np.frombuffer(b"".join([r[6] for r in block]), dtype="<u2").reshape(-1, SYMBOLS)
+            apart = np.zeros((len(s), len(s)), dtype=np.uint8)
+            for k in range(SYMBOLS):
+                apart += s[:, k][:, None] != s[:, k][None, :]
+            found = np.flatnonzero((rivals(block) & (apart <= most)).any(axis=1))
+            yield pa.record_batch([pa.array([block[k][0] for k in found], pa.int64()), pa.array([block[k][4] for k in found], pa.int64())], ["pivot", "id"])
+
+    return in_blocks(rows, ["signature"]).mapInArrow(run, "pivot long, id long").distinct()
+
+
+def spanning(linked: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all components which the matrix of links connects; at most one for each row and round."""
+    label, out = np.unique(component, return_inverse=True)[1], []
+    linked = linked.copy()
+    while linked.any():
+        for x in np.flatnonzero(linked.any(axis=1)):
+            y = int(linked[x].argmax())
+            if label[x] != label[y]:
+                out.append((int(x), y))
+                label[label == label[y]] = label[x]
+        linked &= label[:, None] != label[None, :]
+    return out
+
+
+def linked_sets(rows: DataFrame, words: int, part: int, whole: int) -> DataFrame:
+    """Links ``a, b`` between members of different components, confirmed on full sets. rows carry ``data``, the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        out: list[tuple[int, int]] = []
-        give = lambda: pa.record_batch([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
-        for b in slices(batches, 2048):
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    out += set(pairs(held))
-                    held = []
-                held.append(row)
-            yield give()
-            out = []
-        if held:
-            out += set(pairs(held))
-            yield give()
-
-    return spread.mapInArrow(run, "a long, b long").distinct()
+        for block in by_block(batches, 64):
+            sets = [shingles(r[6] or b"", words) for r in block]
+            n = np.array([len(x) for x in sets], dtype=np.int64)
+            every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            first = np.concatenate([[True], every[1:] != every[:-1]])
+            column, uses = np.cumsum(first) - 1, np.diff(np.append(np.flatnonzero(first), len(every)))
+            shared = uses[column] > 1  # what only one set has is in no intersection
+            number = np.cumsum(uses > 1) - 1
+            column, owner = number[column[shared]], owner[shared]
+            common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+            for at in range(0, int(number[-1]) + 1 if len(number) else 0, 8192):
+                inside = slice(*np.searchsorted(column, [at, at + 8192]))
+                x = np.zeros((len(sets), 8192), dtype=np.float32)
+                x[owner[inside], column[inside] - at] = 1
+                common += x @ x.T
+            together = common.astype(np.int64)
+            ok = (whole * together >= part * (n[:, None] + n[None, :] - together)) & (together > 0) & rivals(block)
+            links = spanning(ok, np.array([r[5] for r in block]))
+            yield pa.record_batch([pa.array([block[k[c]][4] for k in links], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return in_blocks(rows, ["data"]).mapInArrow(run, "a long, b long")
+
+
+def mixed_pivots(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members ``pivot, id, component`` of pivots that have several components, with the blocks to deal them over."""
+    sized = members.join(sets.groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    groups = sized.groupBy("pivot").agg(blocks.alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return members.join(groups.select("pivot", "blocks"), "pivot")
 
 
 def near_duplicates(df: DataFrame, words: int = 5, part: int = 80, whole: int = 100, key: str = "doc_id", text: str = "text", miss: float = 1e-4) -> DataFrame:
@@ -215,18 +280,20 @@ def near_duplicates(df: DataFrame, words: int = 5, part: int = 80, whole: int =
     sets = written(linked.groupBy("set_key", "signature", "n_shingles").agg(F.min("doc_id").alias("id")), f"{path}/distinct")
     keys = keyed(sets, m)
     buckets = written(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), f"{path}/buckets")
-    star = keys.join(buckets, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = written(near(star, sets, 2 * m - 1, part, whole), f"{path}/near-1")
-    links = written(confirmed(first, docs, words, part, whole), f"{path}/links-1")
+    star = keys.join(buckets, "key").where("id <> pivot").select("pivot", "id").distinct()
+    star = written(star, f"{path}/star")
+    first = written(near(star.toDF("a", "b"), sets, 2 * m - 1, part, whole), f"{path}/near")
+    links = written(confirmed(first, docs, words, part, whole), f"{path}/links")
     known = written(components(links, f"{path}/components-1"), f"{path}/known")
-    # What a bucket's other members have to say: only where they belong to more than one component.
-    member = keys.join(buckets.where("n > 2"), "key").where("id <> pivot").join(known, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("component"))
-    member = written(member, f"{path}/members")
-    mixed_up = member.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    more = member.join(mixed_up, "key").join(sets.select("id", "signature"), "id").select("key", "id", "component", "signature", "blocks")
-    second = written(near(compared(more, 2 * m - 1).join(first, ["a", "b"], "left_anti"), sets, 2 * m - 1, part, whole), f"{path}/near-2")
-    if not second.isEmpty():
-        links = links.union(written(confirmed(second, docs, words, part, whole), f"{path}/links-2"))
+    # What a pivot's members have to say to each other, where they belong to more than one component.
+    named = known.toDF("id", "found")
+    members = written(star.join(named, "id", "left").select("pivot", "id", F.coalesce("found", "id").alias("component")), f"{path}/members")
+    rivalling = mixed_pivots(members, sets).join(sets.select("id", "signature"), "id").select("pivot", "id", "component", "blocks", "signature")
+    near_ones = written(members.join(close(rivalling, 2 * m - 1), ["pivot", "id"]), f"{path}/close")
+    if not near_ones.isEmpty():
+        texts = texts_of(near_ones.select("id"), docs).select(F.col("doc_id").alias("id"), "data")
+        more = written(linked_sets(mixed_pivots(near_ones, sets).join(texts, "id"), words, part, whole), f"{path}/links-2")
+        links = links.union(more)
     found = written(components(links, f"{path}/components-2"), f"{path}/found")
     # From sets to documents.
     of_set = sets.join(found, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("component_id"))
