@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismark.llm import bpe, langid, minhash, packing, ppm, toxicity, webp
+from prismark.llm import bpe, embed_dedup, langid, minhash, packing, ppm, rollup, toxicity, warc, webp
 from prismark.llm.common import fold
 
 WORD_BPE = "word_bpe_49k.json"
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record: archives of one gzip stream, rewritten with a member per record, read by their index."""
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probabilities of low quality and, given that, of toxicity; labels of one fold are held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,19 +54,29 @@ def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in classes linked at a cosine of 0.93 or more within their label."""
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and decoded text, as counts and digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of the documents after inserts, deletes, recounts and a replay."""
+    return rollup.document_totals(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in classes linked at a Jaccard similarity of 0.85 or more on three-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, part=85, whole=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity_chain, op3_lossless_webp, op4_ppm, op5_vector_packing, op6_cross_parsing, op8_bpe, op10_minhash_hamming)}
+    return {f.__name__: f for f in (op1_warc_normaliser, op2_toxicity_chain, op3_lossless_webp, op4_ppm, op5_vector_packing, op6_cross_parsing, op7_spherical_kmeans, op8_bpe, op9_token_rollup, op10_minhash_hamming)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_token_rollup": rollup.TOTALS_SQL}
