@@ -24,6 +24,7 @@ uniform over 257; other columns are ignored. Words are told apart by 63 bits of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,20 +64,39 @@ def unzipped_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unzipped(b, "<i8"))
 
 
+def groups(sizes: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many bytes, as (first, end): arrays over one stay in a processor's cache."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        before = int(ends[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield first, end
+        first = end
+
+
 def strings(text: bytes, sizes: np.ndarray, order: int = ORDER) -> np.ndarray:
     """The number of each symbol's string in joined texts, a text's end symbol included."""
-    n = sizes + 1
+    n = sizes + 1 + order
     ends = np.cumsum(n)
-    at = np.full(int(ends[-1]) if len(n) else 0, END, dtype=np.int64)
-    inner = np.ones(len(at), dtype=bool)
-    inner[ends - 1] = False
-    at[inner] = np.frombuffer(text, dtype=np.uint8)
-    out, place = at.copy(), np.arange(len(at)) - np.repeat(ends - n, n)
+    at = np.full(int(ends[-1]), START, dtype=np.int64)
+    shift = ends - n + order - (np.cumsum(sizes) - sizes)
+    at[np.arange(len(text)) + np.repeat(shift, sizes)] = np.frombuffer(text, dtype=np.uint8)
+    at[ends - 1] = END
+    out = at[: len(at) - order]
     for k in range(1, order + 1):
-        before = np.full(len(at), START, dtype=np.int64)
-        before[k:] = at[:-k]
-        before[place < k] = START
-        out |= before << (BITS * k)
+        out = (out << BITS) | at[k : len(at) - order + k]
+    own = np.repeat(np.cumsum(n - order) - (n - order), n - order)
+    return out[np.arange(len(own)) - own + np.repeat(ends - n, n - order)]
+
+
+def all_strings(text: bytes, sizes: np.ndarray) -> np.ndarray:
+    """``strings`` of many texts, in parts that bound what is held besides the result."""
+    out, at, begin = np.empty(len(text) + len(sizes), dtype=np.int64), 0, 0
+    for first, end in groups(sizes):
+        size = int(sizes[first:end].sum())
+        part = strings(text[begin : begin + size], sizes[first:end])
+        out[at : at + len(part)] = part
+        at, begin = at + len(part), begin + size
     return out
 
 
@@ -85,7 +105,43 @@ def words(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes)
     found = [text[e - s : e].split() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
     n = np.array([len(x) for x in found], dtype=np.int64)
-    return np.fromiter((word_number[w] for x in found for w in x), dtype=np.int64, count=int(n.sum())), n
+    return np.fromiter(map(word_number.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(n.sum())), n
+
+
+class Values:
+    """key -> value by open addressing over arrays; every key that is asked for must be there."""
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2.5 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, self.NONE), np.zeros(1 << self.bits)
+        at, left = self._first(keys), np.arange(len(keys))
+        while len(left):
+            slot = at[left]
+            free = self.keys[slot] == self.NONE
+            self.keys[slot[free]] = keys[left[free]]
+            ok = self.keys[slot] == keys[left]
+            self.values[slot[ok]] = values[left[ok]]
+            left = left[~ok]
+            at[left] = self._after(at[left])
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _after(self, at: np.ndarray) -> np.ndarray:
+        return at + 1 & (1 << self.bits) - 1
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at = self._first(keys)
+        out, left = self.values[at], np.flatnonzero(self.keys[at] != keys)
+        at = at[left]
+        while len(left):
+            at = self._after(at)
+            hit = self.keys[at] == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left, at = left[~hit], at[~hit]
+        return out
 
 
 def placed(docs: DataFrame, blocks: int) -> DataFrame:
@@ -136,13 +192,18 @@ def counted(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         _, held, sizes, text = opened(table)
-        found, n = words(text, sizes)
-        every = np.concatenate([strings(text, sizes), found])
-        learned = np.concatenate([np.repeat(~held, sizes + 1), np.repeat(~held, n)])
-        keys = np.unique(every)
-        known, counts = np.unique(every[learned], return_counts=True)
+        found: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+        ends = np.cumsum(sizes)
+        for out in (False, True):  # learned documents, then those held out: these give strings without counts
+            some = np.flatnonzero(held == out)
+            part = b"".join([text[ends[k] - sizes[k] : ends[k]] for k in some])
+            every = np.concatenate([all_strings(part, sizes[some]), words(part, sizes[some])[0]])
+            every.sort()
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else [])
+            found[out] = every[first], np.diff(np.append(first, len(every)))
+        keys = np.union1d(found[False][0], found[True][0])
         total = np.zeros(len(keys), dtype=np.int64)
-        total[np.searchsorted(keys, known)] = counts
+        total[np.searchsorted(keys, found[False][0])] = found[False][1]
         bucket = bucket_of(keys, buckets)
         rows = [(k, block, zipped_sorted(keys[bucket == k]), zipped(total[bucket == k])) for k in np.unique(bucket).tolist()]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "counts"])
@@ -243,12 +304,15 @@ def scored(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
         ids, held, sizes, data = opened(left)
         keys = np.concatenate([unzipped_sorted(x) for x in right.column("keys").to_pylist()])
         value = np.concatenate([unzipped(x, "<f8") for x in right.column("values").to_pylist()])
-        order = np.argsort(keys)
-        keys, value = keys[order], value[order]
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        score = np.add.reduceat(value[np.searchsorted(keys, strings(data, sizes))], starts)
+        known_values = Values(keys, value)
+        score, begin = np.zeros(len(ids)), 0
+        for first, end in groups(sizes):
+            size = sizes[first:end]
+            found = known_values.of(strings(data[begin : begin + int(size.sum())], size))
+            score[first:end] = np.add.reduceat(found, np.cumsum(size + 1) - size - 1)
+            begin += int(size.sum())
         numbers, n = words(data, sizes)
-        seen = value[np.searchsorted(keys, numbers)]
+        seen = known_values.of(numbers)
         owner = np.repeat(np.arange(len(ids)), n)
         base = np.bincount(owner, weights=np.log10(seen + 1), minlength=len(ids)) + np.log10(ends + 1) - (n + 1) * below
         known = np.bincount(owner[seen > 0], minlength=len(ids)) + (1 if ends else 0)
