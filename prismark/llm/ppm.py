@@ -89,15 +89,20 @@ def strings(text: bytes, sizes: np.ndarray, order: int = ORDER) -> np.ndarray:
     return out[np.arange(len(own)) - own + np.repeat(ends - n, n - order)]
 
 
-def all_strings(text: bytes, sizes: np.ndarray) -> np.ndarray:
-    """``strings`` of many texts, in parts that bound what is held besides the result."""
-    out, at, begin = np.empty(len(text) + len(sizes), dtype=np.int64), 0, 0
+def distinct(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings and words of texts, in order, and how often each occurs. One array is all that is held."""
+    found, _ = words(text, sizes)
+    out, at, begin = np.empty(len(text) + len(sizes) + len(found), dtype=np.int64), 0, 0
     for first, end in groups(sizes):
         size = int(sizes[first:end].sum())
         part = strings(text[begin : begin + size], sizes[first:end])
         out[at : at + len(part)] = part
         at, begin = at + len(part), begin + size
-    return out
+    out[at:] = found
+    del found
+    out.sort()
+    first = np.flatnonzero(np.concatenate([[True], out[1:] != out[:-1]]) if len(out) else [])
+    return out[first], np.diff(np.append(first, len(out)))
 
 
 def words(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,11 +201,7 @@ def counted(blocks: DataFrame, buckets: int) -> DataFrame:
         ends = np.cumsum(sizes)
         for out in (False, True):  # learned documents, then those held out: these give strings without counts
             some = np.flatnonzero(held == out)
-            part = b"".join([text[ends[k] - sizes[k] : ends[k]] for k in some])
-            every = np.concatenate([all_strings(part, sizes[some]), words(part, sizes[some])[0]])
-            every.sort()
-            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else [])
-            found[out] = every[first], np.diff(np.append(first, len(every)))
+            found[out] = distinct(b"".join([text[ends[k] - sizes[k] : ends[k]] for k in some]), sizes[some])
         keys = np.union1d(found[False][0], found[True][0])
         total = np.zeros(len(keys), dtype=np.int64)
         total[np.searchsorted(keys, found[False][0])] = found[False][1]
@@ -270,17 +271,20 @@ def probabilities(counts: DataFrame, path: str, order: int = ORDER) -> DataFrame
 
 
 def sent(parts: DataFrame, values: DataFrame) -> DataFrame:
-    """``block, keys, values``: for each block the values of its strings and words."""
+    """``block, bucket, values``: for each block the values of its strings and words, in their order.
+
+    The block knows its strings from its texts, so they don't travel back.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, value = (right.column(c).to_numpy() for c in ("key", "value"))
         order = np.argsort(keys)
         keys, value = keys[order], value[order]
-        rows = [(block, k, zipped(value[np.searchsorted(keys, unzipped_sorted(k))])) for block, k in zip(left.column("block").to_pylist(), left.column("keys").to_pylist(), strict=True)]
+        rows = [tuple(x) for x in zip(left.column("block").to_pylist(), left.column("bucket").to_pylist(), (zipped(value[np.searchsorted(keys, unzipped_sorted(k.as_py()))]) for k in left.column("keys")), strict=True)]
         cols = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "keys", "values"])
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "bucket", "values"])
 
-    return parts.select("bucket", "block", "keys").groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(run, "block long, keys binary, values binary")
+    return parts.select("bucket", "block", "keys").groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(run, "block long, bucket long, values binary")
 
 
 def scored(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,8 +306,10 @@ def scored(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, held, sizes, data = opened(left)
-        keys = np.concatenate([unzipped_sorted(x) for x in right.column("keys").to_pylist()])
-        value = np.concatenate([unzipped(x, "<f8") for x in right.column("values").to_pylist()])
+        keys, _ = distinct(data, sizes)
+        bucket, value = bucket_of(keys, buckets), np.empty(len(keys))
+        for k, part in zip(right.column("bucket").to_pylist(), right.column("values"), strict=True):
+            value[bucket == k] = unzipped(part.as_py(), "<f8")
         known_values = Values(keys, value)
         score, begin = np.zeros(len(ids)), 0
         for first, end in groups(sizes):
