@@ -1,0 +1,73 @@
+"""File scans."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from prismark import functions as P
+from prismark.tables import READ_SIZE
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length, content`` of the files under a path or glob; a row holds a whole file of less than 2 GiB.
+
+    Spark's scan leaves empty files out, and longer files don't fit a row; ``ChunkedFiles`` reads both.
+    """
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+
+
+def file_codes(spark: SparkSession, path: str, bits: int = 64, wide: bool = False, units: bool = False) -> DataFrame:
+    """``path`` and the sum code's fields for each file."""
+    return files(spark, path).select("path", P.sum_code("content", bits, wide, units).alias("c")).select("path", "c.*")
+
+
+class ChunkedFiles(DataSource):
+    """``spark.read.format("chunked_files").option("size", n).load(uri)``: files of any length as rows of chunks.
+
+    A file is one task and one chunk at a time is in memory. The path is a URI of a file or folder that Arrow's file
+    systems reach (file, hdfs, s3, gs). Rows: path, seq, last, data.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "chunked_files"
+
+    def schema(self) -> str:
+        return "path string, seq bigint, last boolean, data binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return ChunkReader(self.options["path"], int(self.options.get("size", READ_SIZE)))
+
+
+class ChunkReader(DataSourceReader):
+    def __init__(self, path: str, size: int):
+        self.path, self.size = path, size
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(self.path)
+        info = system.get_file_info(place)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(f"Cannot open file {self.path}")
+        if info.type == fs.FileType.Directory:
+            return [InputPartition(f.path) for f in system.get_file_info(fs.FileSelector(place, recursive=True)) if f.type == fs.FileType.File]
+        return [InputPartition(place)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(self.path)
+        with system.open_input_stream(partition.value, compression=None) as f:
+            seq, data = 0, f.read(self.size)
+            while True:
+                ahead = f.read(self.size)
+                yield pa.record_batch([pa.array([partition.value]), pa.array([seq], pa.int64()), pa.array([not ahead]), pa.array([data], pa.binary())], ["path", "seq", "last", "data"])
+                if not ahead:
+                    return
+                seq, data = seq + 1, ahead
+
