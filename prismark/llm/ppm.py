@@ -89,9 +89,8 @@ def strings(text: bytes, sizes: np.ndarray, order: int = ORDER) -> np.ndarray:
     return out[np.arange(len(own)) - own + np.repeat(ends - n, n - order)]
 
 
-def distinct(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct strings and words of texts, in order, and how often each occurs. One array is all that is held."""
-    found, _ = words(text, sizes)
+def distinct(text: bytes, sizes: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings and words (``found``) of texts, in order, and how often each occurs. Holds one array."""
     out, at, begin = np.empty(len(text) + len(sizes) + len(found), dtype=np.int64), 0, 0
     for first, end in groups(sizes):
         size = int(sizes[first:end].sum())
@@ -99,7 +98,6 @@ def distinct(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out[at : at + len(part)] = part
         at, begin = at + len(part), begin + size
     out[at:] = found
-    del found
     out.sort()
     first = np.flatnonzero(np.concatenate([[True], out[1:] != out[:-1]]) if len(out) else [])
     return out[first], np.diff(np.append(first, len(out)))
@@ -201,7 +199,8 @@ def counted(blocks: DataFrame, buckets: int) -> DataFrame:
         ends = np.cumsum(sizes)
         for out in (False, True):  # learned documents, then those held out: these give strings without counts
             some = np.flatnonzero(held == out)
-            found[out] = distinct(b"".join([text[ends[k] - sizes[k] : ends[k]] for k in some]), sizes[some])
+            part = b"".join([text[ends[k] - sizes[k] : ends[k]] for k in some])
+            found[out] = distinct(part, sizes[some], words(part, sizes[some])[0])
         keys = np.union1d(found[False][0], found[True][0])
         total = np.zeros(len(keys), dtype=np.int64)
         total[np.searchsorted(keys, found[False][0])] = found[False][1]
@@ -302,11 +301,12 @@ def scored(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
     total, kinds = (found or 0) + ends, kinds + (1 if ends else 0)
     values = probabilities(counts.where("key >= 0"), path).join(counts.where("key >= 0").select("key", "bucket"), "key").select("bucket", "key", "value")
     values = written(values.union(counts.where("key < 0").select("bucket", "key", F.col("n").cast("double"))), f"{path}/sent")
-    below = float(np.log10(total + kinds + 1))
+    share = total + kinds + 1
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, held, sizes, data = opened(left)
-        keys, _ = distinct(data, sizes)
+        numbers, n = words(data, sizes)
+        keys, _ = distinct(data, sizes, numbers)
         bucket, value = bucket_of(keys, buckets), np.empty(len(keys))
         for k, part in zip(right.column("bucket").to_pylist(), right.column("values"), strict=True):
             value[bucket == k] = unzipped(part.as_py(), "<f8")
@@ -317,10 +317,9 @@ def scored(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
             found = known_values.of(strings(data[begin : begin + int(size.sum())], size))
             score[first:end] = np.add.reduceat(found, np.cumsum(size + 1) - size - 1)
             begin += int(size.sum())
-        numbers, n = words(data, sizes)
         seen = known_values.of(numbers)
         owner = np.repeat(np.arange(len(ids)), n)
-        base = np.bincount(owner, weights=np.log10(seen + 1), minlength=len(ids)) + np.log10(ends + 1) - (n + 1) * below
+        base = np.bincount(owner, weights=np.log10((seen + 1) / share), minlength=len(ids)) + np.log10((ends + 1) / share)
         known = np.bincount(owner[seen > 0], minlength=len(ids)) + (1 if ends else 0)
         cols = [(ids, pa.int64()), (held, pa.bool_()), (n + 1, pa.int64()), (known, pa.int64()), (np.full(len(ids), total), pa.int64()), (base, pa.float64()), (score, pa.float64()), (sizes + 1, pa.int64())]
         return pa.table([pa.array(c, k) for c, k in cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
