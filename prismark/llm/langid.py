@@ -79,9 +79,9 @@ class Automaton:
     def phrases(self, text: str) -> int:
         """Phrases of the greedy parse of a text, walked one by one."""
         n, state = 0, 0
-        for k, c in enumerate(text):
+        for c in text:
             to = self.next[state].get(c)
-            if k == 0 or to is None:
+            if state == 0 or to is None:
                 n += 1
                 to = self.next[0].get(c, 0)
             state = to
@@ -114,7 +114,7 @@ class Model:
                 first[at[c]] = (base + to) * 2 + 1
             table = np.tile(first, (states, 1))
             for s, edges in enumerate(automaton.next):
-                for c, to in edges.items():
+                for c, to in edges.items() if s else ():  # from the root every letter begins a phrase
                     table[s, at[c]] = (base + to) * 2
             tables.append(table)
             self.roots.append(base)
