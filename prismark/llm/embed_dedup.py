@@ -12,7 +12,7 @@ Pairs of blocks are dealt over tasks. A task tells no pairs: it returns link cou
 connect what is linked. Equal vectors of one label are one vector with a count, so copies cost nothing.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a null label,
-link with nothing; vectors of different lengths do not link; rows that share an id are one vector for components and have
+link with nothing; vectors of different lengths do not link; rows that share an id are one vertex, whose links are added up, and have
 a row each; rows with a null id link with nothing and are kept; other columns are ignored.
 """
 
