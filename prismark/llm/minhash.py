@@ -263,12 +263,15 @@ def linked_sets(rows: DataFrame, words: int, part: int, whole: int) -> DataFrame
     return in_blocks(rows, ["data"]).mapInArrow(run, "a long, b long")
 
 
-def mixed_pivots(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members ``pivot, id, component`` of pivots that have several components, with the blocks to deal them over."""
+def mixed_pivots(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """Members ``pivot, id, component`` of pivots that have several components, with the blocks to deal them over.
+
+    The pivots are written first: a join with the sums as they come would keep a pivot's members together in one task.
+    """
     sized = members.join(sets.groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     groups = sized.groupBy("pivot").agg(blocks.alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return members.join(groups.select("pivot", "blocks"), "pivot")
+    return members.join(written(groups.select("pivot", "blocks"), path), "pivot")
 
 
 def near_duplicates(df: DataFrame, words: int = 5, part: int = 80, whole: int = 100, key: str = "doc_id", text: str = "text", miss: float = 1e-4) -> DataFrame:
@@ -288,11 +291,11 @@ def near_duplicates(df: DataFrame, words: int = 5, part: int = 80, whole: int =
     # What a pivot's members have to say to each other, where they belong to more than one component.
     named = known.toDF("id", "found")
     members = written(star.join(named, "id", "left").select("pivot", "id", F.coalesce("found", "id").alias("component")), f"{path}/members")
-    rivalling = mixed_pivots(members, sets).join(sets.select("id", "signature"), "id").select("pivot", "id", "component", "blocks", "signature")
+    rivalling = mixed_pivots(members, sets, f"{path}/mixed-1").join(sets.select("id", "signature"), "id").select("pivot", "id", "component", "blocks", "signature")
     near_ones = written(members.join(close(rivalling, 2 * m - 1), ["pivot", "id"]), f"{path}/close")
     if not near_ones.isEmpty():
         texts = texts_of(near_ones.select("id"), docs).select(F.col("doc_id").alias("id"), "data")
-        more = written(linked_sets(mixed_pivots(near_ones, sets).join(texts, "id"), words, part, whole), f"{path}/links-2")
+        more = written(linked_sets(mixed_pivots(near_ones, sets, f"{path}/mixed-2").join(texts, "id"), words, part, whole), f"{path}/links-2")
         links = links.union(more)
     found = written(components(links, f"{path}/components-2"), f"{path}/found")
     # From sets to documents.
