@@ -48,11 +48,11 @@ def text_features(collapsed) -> Column:
 
 
 def image_code(pixels, bits: int = 64) -> Column:
-    return column(codes.image_code, ISCC, pixels, bits=bits)
+    return column(codes.image_codes, ISCC, pixels, bits=bits, batch=True)
 
 
 def try_image_code(pixels, bits: int = 64) -> Column:
-    return column(codes.image_code, ISCC, pixels, bits=bits, lenient=True)
+    return column(codes.image_codes, ISCC, pixels, bits=bits, batch=True, lenient=True)
 
 
 def audio_code(features, bits: int = 64) -> Column:

@@ -137,8 +137,16 @@ def meta_code(name: str, description: str | None = None, meta: str | None = None
     return found
 
 
+def image_codes(pictures: list[bytes], bits: int = 64) -> list[dict | ValueError]:
+    return [d if isinstance(d, ValueError) else {"iscc": code(MainType.CONTENT, SubType.IMAGE, bits, d)} for d in dct.image_digests(pictures, bits)]
+
+
 def image_code(pixels: bytes, bits: int = 64) -> dict:
-    return {"iscc": code(MainType.CONTENT, SubType.IMAGE, bits, dct.image_digest(np.frombuffer(bytes(pixels), dtype=np.uint8), bits))}
+    """Of 1024 grey pixels, as bytes or numbers from 0 to 255."""
+    found = image_codes([bytes(pixels)], bits)[0]
+    if isinstance(found, ValueError):
+        raise found
+    return found
 
 
 def audio_code(features: list[int], bits: int = 64) -> dict:

@@ -40,10 +40,14 @@ def image_bits(pixels: np.ndarray) -> np.ndarray:
     return np.concatenate([(f > np.median(f, axis=1)[:, None]).astype(np.uint8) for f in flat], axis=1)
 
 
-def image_digest(pixels: np.ndarray, bits: int) -> bytes:
-    """Of one picture."""
-    if len(pixels) != 1024:
-        raise ValueError(f"expected 1024 pixels, got {len(pixels)}")
+def image_digests(pictures: list[bytes], bits: int) -> list[bytes | ValueError]:
+    """Of pictures of 1024 bytes; an error in the place of one that isn't."""
     if bits > 256:
         raise ValueError(f"bits must be <= 256, got {bits}")
-    return np.packbits(image_bits(np.asarray(pixels, dtype=np.uint8)[None])[0, :bits]).tobytes()
+    good = [k for k, p in enumerate(pictures) if len(p) == 1024]
+    out: list = [ValueError(f"expected 1024 pixels, got {len(p)}") for p in pictures]
+    if good:
+        found = image_bits(np.frombuffer(b"".join([bytes(pictures[k]) for k in good]), dtype=np.uint8).reshape(-1, 1024))
+        for k, row in zip(good, np.packbits(found[:, :bits], axis=1), strict=True):
+            out[k] = row.tobytes()
+    return out

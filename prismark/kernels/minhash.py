@@ -9,31 +9,46 @@ from prismark.tables import MERSENNE, MINHASH_A, MINHASH_B
 _A, _B, _P = np.array(MINHASH_A, dtype=np.uint64), np.array(MINHASH_B, dtype=np.uint64), np.uint64(MERSENNE)
 _LOW = np.uint64(0xFFFFFFFF)
 #: Features that go through all hash functions at a time: arrays of this size stay in a processor's cache.
-STEP = 1 << 13
+STEP = 1 << 14
 
 
-def hashed(features: np.ndarray, k: int) -> np.ndarray:
-    """((a f + b) mod 2^64 mod 2^61 - 1), its low 32 bits, for hash function k."""
-    u = features * _A[k] + _B[k]
-    u = (u >> np.uint64(61)) + (u & _P)
-    return np.where(u >= _P, u - _P, u) & _LOW
+def lowest(features: np.ndarray, k: int, starts: np.ndarray, u: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The minima, over runs of features, of ((a f + b) mod 2^64 mod 2^61 - 1), its low 32 bits, for hash function k.
+
+    With u = a f + b mod 2^64, the remainder is u mod 2^61 plus u / 2^61, less 2^61 - 1 if it gets so large. Its low 32
+    bits are those of u plus u / 2^61, but in the last case, which needs low bits of u next to 2^32: looked at anew.
+    """
+    np.multiply(features, _A[k], out=u)
+    np.add(u, _B[k], out=u)
+    np.right_shift(u, np.uint64(61), out=top)
+    low = u.astype(np.uint32)
+    if low.max() >= 0xFFFFFFF8:
+        t = top + (u & _P)
+        return np.minimum.reduceat((np.where(t >= _P, t - _P, t) & _LOW).astype(np.uint32), starts)
+    low += top.astype(np.uint32)
+    return np.minimum.reduceat(low, starts)
 
 
 def minima(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(sets, 64): the minima of joined feature sets, none of them empty, that begin at ``starts``."""
     features = features.astype(np.uint64)
-    out = np.full((len(starts), 64), _LOW, dtype=np.uint64)
+    out = np.full((64, len(starts)), 0xFFFFFFFF, dtype=np.uint32)
     ends = np.append(starts[1:], len(features))
     first = 0
     while first < len(starts):
+        # As many whole sets as fit a step, or one longer set in parts.
         end = max(first + 1, int(np.searchsorted(ends, starts[first] + STEP, side="right")))
-        for at in range(int(starts[first]), int(ends[end - 1]), STEP) if end == first + 1 else (int(starts[first]),):
-            part = features[at : min(at + STEP, int(ends[end - 1])) if end == first + 1 else int(ends[end - 1])]
-            own = starts[first:end] - starts[first] if end > first + 1 else np.zeros(1, np.int64)
+        low, high = int(starts[first]), int(ends[end - 1])
+        size = STEP if end == first + 1 else high - low
+        for at in range(low, high, size):
+            part = features[at : min(at + size, high)]
+            own = starts[first:end] - low if end > first + 1 else np.zeros(1, dtype=np.int64)
+            u, top = np.empty_like(part), np.empty_like(part)
             for k in range(64):
-                np.minimum(out[first:end, k], np.minimum.reduceat(hashed(part, k), own), out=out[first:end, k])
+                found = lowest(part, k, own, u, top)
+                np.minimum(out[k, first:end], found, out=out[k, first:end])
         first = end
-    return out
+    return np.ascontiguousarray(out.T).astype(np.uint64)
 
 
 def compressed(rows: np.ndarray, low_bits: int = 4) -> np.ndarray:

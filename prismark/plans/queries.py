@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from prismark import functions as P
 from prismark import operators as O
 from prismark.selftest import selftest
-from prismark.sources import files, piece_codes
+from prismark.sources import files, piece_codes, spread
 from prismark.tables import MERSENNE, MINHASH_A, MINHASH_B, frame_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +47,7 @@ BLANK = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 
 @query()
 def text_code_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", P.text_code("text").alias("c")).select("doc_id", "c.iscc", "c.characters")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", P.text_code("text").alias("c")).select("doc_id", "c.iscc", "c.characters")
 
 
 @query(f"SELECT doc_id, trim(regexp_replace(text, '{BLANK}+', ' ', 'g')) AS line FROM documents")
@@ -67,7 +67,7 @@ def text_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_collapse_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", P.text_collapse("text").alias("collapsed"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", P.text_collapse("text").alias("collapsed"))
 
 
 @query(r"SELECT c_custkey, c_name || chr(10) || chr(10) || c_mktsegment AS clean FROM customer")
@@ -78,7 +78,7 @@ def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_clean_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", P.text_clean("text").alias("clean"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", P.text_clean("text").alias("clean"))
 
 
 # Windows
@@ -91,7 +91,7 @@ def sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(greatest(length(text) - 12, 1) AS BIGINT) AS n FROM documents")
 def sliding_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(P.sliding_window("text", 13)).cast("bigint").alias("n"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(P.sliding_window("text", 13)).cast("bigint").alias("n"))
 
 
 @query("SELECT s_suppkey, string_agg(hex(encode(substr(s_name, CAST(i AS BIGINT), 4))), ' ' ORDER BY i) AS grams FROM supplier, range(1, greatest(length(s_name) - 2, 2)) t(i) GROUP BY s_suppkey")
@@ -222,7 +222,7 @@ def cdc_chunks_join_to_the_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cdc_chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("b"))
+    rows = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.col("html").cast("binary").alias("b"))
     return O.chunk_rows(rows, "b", "page_id").select("page_id", "seq", F.octet_length("chunk").alias("size"))
 
 
@@ -242,7 +242,7 @@ def dct_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def image_code_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixel = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.lpad(F.hex((F.col("c_custkey") * 31 + i * i + F.shiftright(i, 5) * 7) % 256), 2, "0"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.unhex(F.array_join(pixel, "")).alias("pixels")).select("c_custkey", P.image_code("pixels", 256).iscc.alias("iscc"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", F.unhex(F.array_join(pixel, "")).alias("pixels")).select("c_custkey", P.image_code("pixels", 256).iscc.alias("iscc"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'ISCC:EEAQAAAAAAAAAAAA' END AS iscc FROM customer")
@@ -302,7 +302,7 @@ def iscc_compose_and_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def iscc_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _units(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", P.compose(F.array("meta", "content", "data", "instance")).alias("code"))
+    return _units(spread(table(spark, sf_dir, "customer").select("c_custkey")), "c_custkey").select("c_custkey", P.compose(F.array("meta", "content", "data", "instance")).alias("code"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE true END AS valid FROM customer")
@@ -317,7 +317,7 @@ def iscc_compose_leniently(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("c_custkey").cast("bigint")
     make = lambda t: P.encode_component(F.lit(2), F.lit(t), F.lit(0), F.lit(64), digest64(s * (t + 2)))
-    c = table(spark, sf_dir, "customer").select("c_custkey", P.mixed_code(F.array(make(0), make(1), make(2))).alias("c"))
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", P.mixed_code(F.array(make(0), make(1), make(2))).alias("c"))
     return c.select("c_custkey", "c.iscc", F.size("c.parts").alias("n_parts"))
 
 
@@ -362,7 +362,7 @@ def json_data_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def json_data_url_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", P.try_json_data_url("props").alias("url"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "props")).select("event_id", P.try_json_data_url("props").alias("url"))
 
 
 @query("SELECT event_id, hex(encode(event_type)) AS raw FROM events")
@@ -373,12 +373,12 @@ def data_url_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def meta_code_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", P.meta_code("p_name", "p_type").alias("c")).select("p_partkey", "c.*")
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")).select("p_partkey", P.meta_code("p_name", "p_type").alias("c")).select("p_partkey", "c.*")
 
 
 @query()
 def meta_code_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", P.try_meta_code("event_type", None, "props").alias("c")).select("event_id", "c.iscc", "c.metahash")
+    return spread(table(spark, sf_dir, "events").select("event_id", "event_type", "props")).select("event_id", P.try_meta_code("event_type", None, "props").alias("c")).select("event_id", "c.iscc", "c.metahash")
 
 
 @query("SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS filesize FROM pages")
@@ -388,17 +388,17 @@ def instance_code_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def instance_code_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", P.instance_code(F.col("html").cast("binary")).alias("c")).select("page_id", "c.*")
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", P.instance_code(F.col("html").cast("binary")).alias("c")).select("page_id", "c.*")
 
 
 @query()
 def data_code_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", P.data_code(F.col("html").cast("binary")).iscc.alias("iscc"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", P.data_code(F.col("html").cast("binary")).iscc.alias("iscc"))
 
 
 @query()
 def sum_code_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", P.sum_code(F.col("html").cast("binary"), units=True).alias("c")).select("page_id", "c.iscc", "c.datahash", "c.filesize", F.array_join("c.units", " ").alias("units"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", P.sum_code(F.col("html").cast("binary"), units=True).alias("c")).select("page_id", "c.iscc", "c.datahash", "c.filesize", F.array_join("c.units", " ").alias("units"))
 
 
 @query()
@@ -420,7 +420,7 @@ def hashers_over_turns_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def composite_code_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All units of a document, and its composite code."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", P.text_code("text").iscc.alias("content"), P.sum_code(F.col("text").cast("binary"), units=True).units.alias("u"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", P.text_code("text").iscc.alias("content"), P.sum_code(F.col("text").cast("binary"), units=True).units.alias("u"))
     return docs.select("doc_id", P.compose(F.concat(F.array("content"), "u")).alias("iscc"))
 
 

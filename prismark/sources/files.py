@@ -25,6 +25,15 @@ def file_codes(spark: SparkSession, path: str, bits: int = 64, wide: bool = Fals
     return files(spark, path).select("path", P.sum_code("content", bits, wide, units).alias("c")).select("path", "c.*")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan has fewer splits than that, as a file with one row group has.
+
+    For work that costs far more than a shuffle of its input; a scan of many splits stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 class ChunkedFiles(DataSource):
     """``spark.read.format("chunked_files").option("size", n).load(uri)``: files of any length as rows of chunks.
 

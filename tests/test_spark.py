@@ -124,6 +124,20 @@ def test_files_and_pieces(spark, tmp_path):
     assert {n: (r.sum_code, r.datahash, r.filesize) for n, r in by_piece.items()} == {n: (w["iscc"], w["datahash"], w["filesize"]) for n, w in want.items()}
 
 
+def test_long_assets_go_piece_by_piece(spark, monkeypatch):
+    from prismark.sources import pieces as module
+
+    monkeypatch.setattr(module, "TOGETHER", 2000)
+    rng = random.Random(5)
+    assets = {k: [rng.randbytes(rng.randrange(900)) for _ in range(k % 7)] + [None] for k in range(40)}
+    rows = [(k, n, None if p is None else bytearray(p)) for k, ps in assets.items() for n, p in enumerate(ps)]
+    got = {r.k: r for r in piece_codes(spark.createDataFrame(rows, "k int, n int, d binary").repartition(3), "k", "n", "d").collect()}
+    for k, ps in assets.items():
+        raw = b"".join(p or b"" for p in ps)
+        assert (got[k].data_code, got[k].instance_code, got[k].filesize) == (codes.data_code(raw)["iscc"], codes.instance_code(raw)["iscc"], len(raw))
+    assert len(got) == 40
+
+
 def test_stream(spark, tmp_path):
     rng = random.Random(9)
     assets = {f"a{k}": [rng.randbytes(rng.randrange(3000)) for _ in range(4)] for k in range(5)}
