@@ -351,6 +351,53 @@ def base32_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.hex(P.read_base32(F.lower(P.to_base32(F.col("c_name").cast("binary"))))).alias("raw"))
 
 
+def _text_code_sql(source: str, key: str, text: str) -> str:
+    """The whole text code of ASCII texts of 13 letters or more: collapse, n-grams, XXH32, minima, base32."""
+    p1, p2, p3, p4, p5 = 2654435761, 2246822519, 3266489917, 668265263, 374761393
+    word = lambda n: " + ".join(f"ascii(substr(s, {4 * n + k + 1}, 1))::HUGEINT * {256**k}" for k in range(4))
+    turn = lambda x, n: f"((({x} * {1 << n}) % 4294967296) + ({x} // {1 << (32 - n)}))"
+    steps, last = [], "g"
+    for n in range(3):
+        steps += [f"a{n} AS (SELECT {key}, s, (h + ({word(n)}) * {p3}) % 4294967296 AS h FROM {last})", f"b{n} AS (SELECT {key}, s, {turn('h', 17)} * {p4} % 4294967296 AS h FROM a{n})"]
+        last = f"b{n}"
+    low = ", ".join(f"min((({a}::HUGEINT * f + {b}::HUGEINT) % 18446744073709551616 % {MERSENNE}) % 4294967296)::BIGINT AS m{k}" for k, (a, b) in enumerate(zip(MINHASH_A, MINHASH_B, strict=True)))
+    value = " + ".join(f"(m{k} % 2)::HUGEINT * {1 << (63 - k)}" for k in range(64))
+    return f"""
+WITH t AS (SELECT {key}, lower(regexp_replace({text}, '[\\s\\pP]', '', 'g')) AS t FROM {source}),
+g AS (SELECT DISTINCT {key}, substr(t, CAST(i AS BIGINT), 13) AS s, {p5 + 13}::HUGEINT AS h FROM t, range(1, length(t) - 11) r(i)),
+{", ".join(steps)},
+c AS (SELECT {key}, (h + ascii(substr(s, 13, 1))::HUGEINT * {p5}) % 4294967296 AS h FROM {last}),
+d AS (SELECT {key}, {turn("h", 11)} * {p1} % 4294967296 AS h FROM c),
+e AS (SELECT {key}, xor(h, h // 32768) * {p2} % 4294967296 AS h FROM d), f AS (SELECT {key}, xor(h, h // 8192) * {p3} % 4294967296 AS h FROM e),
+u AS (SELECT {key}, xor(h, h // 65536) AS f FROM f), m AS (SELECT {key}, {low} FROM u GROUP BY {key}), v AS (SELECT {key}, {value} AS v FROM m)
+SELECT {key}, 'ISCC:' || {_unit_sql("8193", "v")} AS iscc, CAST(length(t) AS BIGINT) AS characters FROM v JOIN t USING ({key})"""
+
+
+LONG_NAME = "p_name || ' ' || p_type || ', made by ' || p_brand"
+
+
+@query(_text_code_sql("part", "p_partkey", LONG_NAME))
+def text_code_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", P.text_code(F.expr(LONG_NAME)).alias("c")).select("p_partkey", "c.iscc", "c.characters")
+
+
+@query(_text_code_sql("part", "p_partkey", LONG_NAME))
+def text_code_by_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relational form: a row for each n-gram, 64 minima, and the code from the digest."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", P.text_collapse(F.expr(LONG_NAME)).alias("t"))
+    grams = O.ngram_rows(rows, "t", 13, "p_partkey", "t").select("p_partkey", F.length("t").cast("bigint").alias("characters"), P.xxh32(F.col("gram").cast("binary")).alias("f"))
+    digests = O.minhash_digests(grams, "f", "p_partkey", "characters")
+    code = P.encode_component(F.lit(2), F.lit(0), F.lit(0), F.lit(64), "digest")
+    return digests.select("p_partkey", F.concat(F.lit("ISCC:"), code).alias("iscc"), "characters")
+
+
+@query()
+def frame_buffers_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Video codes of flat buffers of three frames."""
+    number = F.transform(F.sequence(F.lit(0), F.lit(3 * 380 - 1)), lambda i: F.rpad(F.lpad(F.hex((F.col("n_nationkey") * 17 + i * 7) % 256), 2, "0"), 8, "0"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.unhex(F.array_join(number, "")).alias("b")).select("n_nationkey", P.frame_buffer_code("b", 3, 380).iscc.alias("iscc"))
+
+
 # Generators over bytes and metadata
 
 
