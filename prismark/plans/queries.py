@@ -241,8 +241,8 @@ def dct_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def image_code_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixel = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.lpad(F.hex((F.col("c_custkey") * 31 + i * i + F.shiftright(i, 5) * 7) % 256), 2, "0"))
-    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", F.unhex(F.array_join(pixel, "")).alias("pixels")).select("c_custkey", P.image_code("pixels", 256).iscc.alias("iscc"))
+    pixels = F.unhex(F.concat(*[F.sha2(F.concat(F.col("c_custkey").cast("string"), F.lit(f"-{k}")), 512) for k in range(16)]))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", pixels.alias("pixels")).select("c_custkey", P.image_code("pixels", 256).iscc.alias("iscc"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'ISCC:EEAQAAAAAAAAAAAA' END AS iscc FROM customer")
