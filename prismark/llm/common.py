@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows that are turned into Python objects at a time; bounds what one Arrow batch of long texts holds twice.
 SLICE = 128
+#: Folders of intermediate tables made by this process.
+MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/prismark-{uuid.uuid4().hex}"
+    MADE.append(path := f"{base.rstrip('/')}/prismark-{uuid.uuid4().hex}")
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the folders that this process has made, when no frame that reads them is needed any more."""
+    while MADE:
+        remove(spark, MADE.pop())
 
 
 def written(df: DataFrame, path: str, **options: str) -> DataFrame:
