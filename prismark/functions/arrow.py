@@ -42,7 +42,7 @@ def _made(kernel: Callable, ddl: str, lenient: bool, batch: bool, given: tuple)
                     raise x
                 out[i] = None if isinstance(x, ValueError) else x
             return out
-        return [None if row[0] is None else guarded(row) for row in zip(*columns, strict=True)]
+        return [None if any(x is None for x in row) else guarded(row) for row in zip(*columns, strict=True)]
 
     def run(*columns: pa.Array) -> pa.Array:
         parts = [pa.array(rows([c.slice(i, SLICE).to_pylist() for c in columns]), arrow) for i in range(0, len(columns[0]), SLICE)]
@@ -53,9 +53,9 @@ def _made(kernel: Callable, ddl: str, lenient: bool, batch: bool, given: tuple)
 
 
 def column(kernel: Callable, ddl: str, *columns: Column | str, lenient: bool = False, batch: bool = False, **given: object) -> Column:
-    """``kernel`` over columns; ``given`` are its constant arguments. The first column decides about null.
+    """``kernel`` over columns; ``given`` are its constant arguments. A null in any column gives null.
 
-    A ``batch`` kernel takes a list of values (of tuples, for several columns) and may return errors in place of results.
+    For a ``batch`` kernel only the first column decides about that. It takes a list of values (of tuples, for several columns) and may return errors in place of results.
     """
     by_count, kind = _made(kernel, ddl, lenient, batch, tuple(sorted(given.items())))
     return F.arrow_udf(by_count[len(columns)], kind)(*[F.col(c) if isinstance(c, str) else c for c in columns])

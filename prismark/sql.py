@@ -12,10 +12,22 @@ from prismark.functions.codec import DECODED, _decoded
 from prismark.functions.codes import INSTANCE, ISCC, META, MIXED, SUM, TEXT
 from prismark.kernels import cdc, codec, codes, jcs, text
 
+
+
+def _meta_rows(rows: list[tuple]) -> list:
+    """Meta codes of (name, description, metadata, bits); descriptions and metadata may be null."""
+    out: list = [None] * len(rows)
+    for bits in {r[3] for r in rows}:
+        some = [i for i, r in enumerate(rows) if r[3] == bits]
+        for i, x in zip(some, codes.meta_codes([rows[i][:3] for i in some], 64 if bits is None else bits), strict=True):
+            out[i] = x
+    return out
+
+
 #: SQL name: kernel, result, whether it takes batches, number of arguments.
 FUNCTIONS = {
     "text_clean": (text.clean, "string", False, 1), "text_collapse": (text.collapse, "string", False, 1), "text_remove_newlines": (text.remove_newlines, "string", False, 1), "text_trim": (text.trim, "string", False, 2),
-    "sliding_window": (text.ngrams, "array<string>", False, 2), "iscc_meta": (codes.meta_code, META, False, 4), "iscc_text": (codes.text_codes, TEXT, True, 1), "iscc_image": (codes.image_code, ISCC, False, 2),
+    "sliding_window": (text.ngrams, "array<string>", False, 2), "iscc_meta": (_meta_rows, META, True, 4), "iscc_text": (codes.text_codes, TEXT, True, 1), "iscc_image": (codes.image_code, ISCC, False, 2),
     "iscc_audio": (codes.audio_code, ISCC, False, 2), "iscc_video": (codes.video_code, ISCC, False, 2), "iscc_mixed": (codes.mixed_code, MIXED, False, 2), "iscc_data": (codes.data_code, ISCC, False, 2),
     "iscc_instance": (codes.instance_code, INSTANCE, False, 2), "iscc_sum": (codes.sum_code, SUM, False, 4), "iscc_compose": (codec.composed, "string", False, 2), "iscc_decode": (_decoded, DECODED, False, 1),
     "iscc_decompose": (codec.decomposed, "array<string>", False, 1), "iscc_component": (codec.component, "string", False, 5), "base32": (codec.base32, "string", False, 1), "base64_url": (codec.base64_url, "string", False, 1),

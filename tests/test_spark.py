@@ -95,6 +95,7 @@ def test_codec_columns(spark):
     one = spark.createDataFrame([(whole, 2, 0, 0, 64, bytes(range(8)))], "c string, m int, s int, v int, b int, d binary")
     r = one.select(P.decompose("c").alias("parts"), P.decode("c").alias("x"), P.encode_component("m", "s", "v", "b", "d").alias("u"), P.to_base32("d").alias("t"), P.base64_url("d").alias("w")).first()
     assert r.parts == codec.decomposed(whole) and r.x.mtype == 5 and r.u == codec.unit(2, 0, 0, 64, bytes(range(8))) and r.t == codec.base32(bytes(range(8))) and r.w == codec.base64_url(bytes(range(8)))
+    assert one.select(P.encode_component("m", "s", "v", "b", F.lit(None).cast("binary"))).first()[0] is None
     assert [x.unit for x in O.decompose_rows(one, "c").orderBy("pos").collect()] == codec.decomposed(whole)
     grid = spark.createDataFrame([(m, n) for m in range(8) for n in range(300)], "m int, n int")
 
