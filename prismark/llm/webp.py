@@ -34,7 +34,7 @@ ROW = UNIT // 4
 #: Sides of an image have 14 bits.
 SIDE = 1 << 14
 #: Bits looked up at once; bounds a task's arrays.
-BLOCK_BITS = 1 << 20
+BLOCK_BITS = 1 << 17
 #: Longest code the encoder makes; the format allows 15.
 LONGEST = 12
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
@@ -499,6 +499,10 @@ class BitReader:
         self.at = p + n
         return int.from_bytes(self.data[p >> 3 : (p >> 3) + 8], "little") >> (p & 7) & ((1 << n) - 1)
 
+    def peek(self, at: int, n: int) -> int:
+        """The ``n`` bits from a position on."""
+        return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
+
     def symbol(self, table: Table) -> int:
         p = self.at
         k = int.from_bytes(self.data[p >> 3 : (p >> 3) + 4], "little") >> (p & 7) & ((1 << table.bits) - 1)
@@ -517,6 +521,22 @@ class BitReader:
         return (four[:, None] >> np.arange(8, dtype=np.uint32)).ravel()[first & 7 :][:n]
 
 
+def read_codes(r: BitReader, alphabets: tuple[int, ...]) -> list[Table]:
+    """Codes one after another; one that is told by the same bits as the one before is the same, and not read again."""
+    out: list[Table] = []
+    told = size = 0
+    for k, alphabet in enumerate(alphabets):
+        if k and alphabets[k - 1] == alphabet and size > 64 and r.at + size <= r.end and r.peek(r.at, size) == told:
+            out.append(out[-1])
+            r.at += size
+            continue
+        first = r.at
+        out.append(read_code(r, alphabet))
+        size = r.at - first
+        told = r.peek(first, size)
+    return out
+
+
 def read_code(r: BitReader, alphabet: int) -> Table:
     if r.bits(1):
         n = r.bits(1) + 1
@@ -587,7 +607,7 @@ def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
         bits = r.bits(3) + 2
         which = (read_image(r, ceil_div(width, 1 << bits), ceil_div(height, 1 << bits), False) >> 8 & 0xFFFF).reshape(ceil_div(height, 1 << bits), -1)
         groups = int(which.max()) + 1
-    codes = [[read_code(r, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(groups)]
+    codes = [read_codes(r, (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)) for _ in range(groups)]
     if groups == 1:
         return read_at_once(r, codes[0], width, width * height, cache_bits)
     return read_each(r, codes, which, bits, width, width * height, cache_bits)
@@ -634,7 +654,9 @@ def read_at_once(r: BitReader, codes: list[Table], width: int, n: int, cache_bit
             raise ValueError("the stream ends early")
         first, size = r.at, min(BLOCK_BITS, r.end - r.at + margin)
         win = r.windows(first, size + margin)
-        look = lambda t, k, w=win: k if not t.bits else k + t.size[w[k] & np.uint32((1 << t.bits) - 1)]
+        # How long each code's symbol would be at every bit; channels that share a code share this.
+        long = {id(t): t.size[win & np.uint32((1 << t.bits) - 1)] for t in (g, red, blue, alpha) if t.bits}
+        look = lambda t, k, long=long: k + long[id(t)][k] if t.bits else k
         span = min(size, len(win) - margin)
         green = g.symbol[win[:span] & np.uint32((1 << g.bits) - 1)]
         step = np.arange(span, dtype=np.int32)
@@ -646,19 +668,27 @@ def read_at_once(r: BitReader, codes: list[Table], width: int, n: int, cache_bit
             step = np.where(green >= 280, after_green, step)
             odd = np.flatnonzero((green >= 256) & (green < 280))
             step[odd] = -1
-        follow, here, places, end_at = memoryview(np.ascontiguousarray(step, dtype=np.int32)), 0, [], at
-        while here < span and end_at < n:
-            places.append(here)
-            to = follow[here]
-            end_at += 1
+        follow, here, places, end_at, counted = memoryview(np.ascontiguousarray(step, dtype=np.int32)), 0, [], at, 0
+        keep = places.append
+        while end_at < n and here < span:
+            to = 0
+            try:
+                for _ in range(n - end_at):
+                    to = follow[here]
+                    keep(here)
+                    if to < 0:
+                        break
+                    here = to
+            except IndexError:  # the next pixel begins beyond this block
+                pass
+            end_at, counted = end_at + len(places) - counted, len(places)
             if to < 0:
                 r.at = first + int(after_green[here])
                 length = value_of(r, int(green[here]) - 256)
                 back = distance_of(value_of(r, r.symbol(dist)), width)
                 copies[len(places) - 1] = (length, back)
                 end_at += length - 1
-                to = r.at - first
-            here = to
+                here = r.at - first
         r.at = first + here
         if r.at > r.end or end_at > n:
             raise ValueError("the stream ends early" if r.at > r.end else "a back-reference leaves the image")
