@@ -128,6 +128,8 @@ def document_totals(docs: DataFrame, labels: DataFrame) -> DataFrame:
     count = lambda v: F.coalesce(F.regexp_count("text", F.lit(VERSIONS[v])), F.lit(0)).cast("long")
     counted = written(docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("same"), count(one).alias("one"), count(two).alias("two")), f"{path}/counted")
     repeated = counted.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written first: joined with the sums as they come, the copies of one text would stay together in one task.
+    repeated = written(repeated, f"{path}/repeated")
     gone = written(counted.join(repeated, "same").where("doc_id <> kept").select("doc_id", "source", "lang", "one"), f"{path}/gone")
     old, change = side("source", "lang", F.lit(one), "one"), F.col("doc_id").cast("string").alias("change_id")
     rollup = Rollup(spark, f"{path}/rollup")
