@@ -40,12 +40,12 @@ BITS = 9
 START, END, SYMBOLS = 257, 256, 257
 BLOCK_BYTES = 8 << 20
 #: Buckets for each block, as a share: a bucket's strings of all blocks are held by one task.
-BUCKETS_PER_BLOCK = 1 / 8
+BUCKETS_PER_BLOCK = 1 / 3
 LEAST_BUCKETS = 16
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_symbols long"
 
 #: Words are negative numbers, strings of symbols are not.
-word_number = Kept(lambda w: (xxhash.xxh3_64_intdigest(w) >> 1) - (1 << 63))
+word_number = Kept(lambda w: (xxhash.xxh3_64_intdigest(w) >> 1) - (1 << 63), 100_000)
 
 
 def zipped(a: np.ndarray) -> bytes:
@@ -104,11 +104,16 @@ def distinct(text: bytes, sizes: np.ndarray, found: np.ndarray) -> tuple[np.ndar
 
 
 def words(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of joined texts' words, and how many each text has. Words part at ASCII white space."""
-    ends = np.cumsum(sizes)
-    found = [text[e - s : e].split() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    n = np.array([len(x) for x in found], dtype=np.int64)
-    return np.fromiter(map(word_number.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(n.sum())), n
+    """The numbers of joined texts' words, and how many each text has. Words part at ASCII white space.
+
+    By runs of texts: words as objects take many times their bytes.
+    """
+    ends, n, out = np.cumsum(sizes).tolist(), np.zeros(len(sizes), dtype=np.int64), []
+    for first, end in groups(sizes):
+        found = [text[ends[k - 1] if k else 0 : ends[k]].split() for k in range(first, end)]
+        n[first:end] = [len(x) for x in found]
+        out.append(np.fromiter(map(word_number.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(n[first:end].sum())))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64), n
 
 
 class Values:
@@ -181,12 +186,16 @@ def placed(docs: DataFrame, blocks: int) -> DataFrame:
 def opened(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, bytes]:
     """A block's documents in the order of their ids: ids, held out or not, sizes, joined texts."""
     rows = []
-    for r in table.to_pylist():
-        sizes, text = unzipped(r["sizes"], "<i8"), unzipped(r["text"], "u1").tobytes()
-        ends = np.cumsum(sizes).tolist()
-        rows += [(i, h, text[e - n : e]) for i, h, e, n in zip(r["ids"], r["held"], ends, sizes.tolist(), strict=True)]
+    for r in table.to_batches():
+        for ids, held, sizes, text in zip(*(r.column(c) for c in ("ids", "held", "sizes", "text")), strict=True):
+            size, data = unzipped(sizes.as_py(), "<i8").tolist(), unzipped(text.as_py(), "u1").tobytes()
+            at = 0
+            for i, h, n in zip(ids.as_py(), held.as_py(), size, strict=True):
+                rows.append((i, h, data[at : at + n]))
+                at += n
     rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
-    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=bool), np.array([len(r[2]) for r in rows], dtype=np.int64), b"".join([r[2] for r in rows])
+    out = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=bool), np.array([len(r[2]) for r in rows], dtype=np.int64)
+    return *out, b"".join([r[2] for r in rows])
 
 
 def counted(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -219,10 +228,11 @@ def summed(parts: DataFrame) -> DataFrame:
     """``bucket, key, n``: counts over all blocks; strings and words that only held-out documents have count 0."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([unzipped_sorted(x) for x in table.column("keys").to_pylist()])
-        counts = np.concatenate([unzipped(x, "<i8") for x in table.column("counts").to_pylist()])
-        order = np.argsort(keys, kind="stable")
+        keys = np.concatenate([unzipped_sorted(x.as_py()) for x in table.column("keys")])
+        counts = np.concatenate([unzipped(x.as_py(), "<i8") for x in table.column("counts")])
+        order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         return pa.table([pa.array(np.full(len(first), table.column("bucket")[0].as_py())), pa.array(keys[first]), pa.array(np.add.reduceat(counts, first))], names=["bucket", "key", "n"])
 
