@@ -143,10 +143,14 @@ def arrays(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def with_roles(df: DataFrame, key: str, url: str, payload: str, least: int) -> DataFrame:
-    """``page_id, url, data, refers_to``. Only payloads that occur more than once take part in the join."""
+    """``page_id, url, data, refers_to``. Only payloads that occur more than once take part in the join.
+
+    They are written first: joined with the sums as they come, the copies of one payload would stay together in one task.
+    """
     pages = df.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string").cast("binary"), F.lit(b"")).alias("data"))
     pages = pages.withColumn("digest", F.when(F.octet_length("data") >= least, F.sha1("data")))
     again = pages.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = written(again, f"{shared_dir(df.sparkSession)}/repeated")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first"))
     return pages.join(again, "digest", "left").select("page_id", "url", "data", refers.alias("refers_to"))
 
