@@ -25,13 +25,18 @@ def file_codes(spark: SparkSession, path: str, bits: int = 64, wide: bool = Fals
     return files(spark, path).select("path", P.sum_code("content", bits, wide, units).alias("c")).select("path", "c.*")
 
 
+#: The usual size of a Parquet row group, which no split divides.
+ROW_GROUP = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if its scan has fewer splits than that, as a file with one row group has.
+    """``df`` over all cores, if its input is so small that row groups may be fewer than cores.
 
-    For work that costs far more than a shuffle of its input; a scan of many splits stays as it is.
+    For work that costs far more than a shuffle of its input; a scan of a row group or more for each core stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * ROW_GROUP else df
 
 
 class ChunkedFiles(DataSource):
