@@ -6,7 +6,9 @@ cross-colour, subtract-green, palette with bundled pixels). Work goes by arrays,
 start at every bit of a block is looked up at once, and only the chain from pixel to pixel is followed one by one.
 Images with several groups of codes, which are read symbol by symbol, are the slower case.
 
-Payload layout: four bytes are a pixel (red, green, blue, alpha), 144 pixels are a row, so 576 bytes are a row.
+Payload layout: four bytes are a pixel (red, green, blue, alpha), 144 pixels are a row, so 576 bytes are a row. Beyond
+16384 rows a picture is wider; its last row may then go beyond the payload, whose size follows from ``n_bytes``. Beyond
+113 * 16384 units of 576 bytes (1.07 GB) a picture is several files of one width, one after another.
 
 Defined results: a null text is an empty payload, which is one row of 255; equal texts give equal media and features;
 a damaged stream raises ``ValueError``; an empty table gives no rows.
@@ -793,10 +795,14 @@ def padded(data: bytes) -> bytes:
 
 
 def pixels(payload: bytes) -> np.ndarray:
-    """The picture of a padded payload: as many rows of 144 as needed, wider ones beyond 16384 rows."""
-    c = np.frombuffer(payload, dtype=np.uint8).reshape(-1, 4)
-    units = len(c) // ROW
-    per_row = next(k for k in range(1, SIDE // ROW + 1) if units % k == 0 and units // k <= SIDE)
+    """The picture of a padded payload: as many rows of 144 as needed, wider ones beyond 16384 rows.
+
+    Where no width divides the payload, the last row is filled up with 255, which is not part of the payload.
+    """
+    units = len(payload) // UNIT
+    widths = range(min(ceil_div(units, SIDE), SIDE // ROW), SIDE // ROW + 1)
+    per_row = next((k for k in widths if units % k == 0), widths[0])
+    c = np.frombuffer(payload + b"\xff" * (-units % per_row * UNIT), dtype=np.uint8).reshape(-1, 4)
     return np.ascontiguousarray(c[:, [2, 1, 0, 3]]).view(np.uint32).reshape(-1, ROW * per_row)
 
 
@@ -805,10 +811,27 @@ def payload(argb: np.ndarray) -> bytes:
 
 
 def media_of(data: bytes) -> bytes:
-    """Few colours go by a palette; others as they are, with runs as back-references."""
+    """Few colours go by a palette; others as they are, with runs as back-references.
+
+    A picture of more rows than a file can have is several files, one after another.
+    """
     image = pixels(padded(data))
     few = image.size <= 4 * ROW and len(np.unique(image)) <= 16
-    return encode(image, (("palette",),) if few else (), shared=not few)
+    return b"".join(encode(image[y : y + SIDE], (("palette",),) if few else (), shared=not few) for y in range(0, len(image), SIDE))
+
+
+def decode_all(media: bytes) -> np.ndarray:
+    """The picture of ``media_of``: the files' rows in order."""
+    parts, at = [decode(media)], 8 + int.from_bytes(media[4:8], "little")
+    while media[at : at + 4] == b"RIFF":
+        parts.append(decode(media[at:]))
+        at += 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def payload_size(n_bytes: int) -> int:
+    """Bytes of the padded payload of a text."""
+    return UNIT * max(1, ceil_div(n_bytes, UNIT))
 
 
 def feature(data: bytes) -> str:
@@ -837,7 +860,7 @@ def pixel_arrays(df: DataFrame, key: str = "doc_id", media: str = "media") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 32):
-            images = [decode(m) if m is not None else None for m in b.column(1).to_pylist()]
+            images = [decode_all(m) if m is not None else None for m in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([i.shape[1] if i is not None else None for i in images], pa.int32()), pa.array([i.shape[0] if i is not None else None for i in images], pa.int32()), pa.array([payload(i) if i is not None else None for i in images], pa.binary())], ["doc_id", "width", "height", "pixels"])
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(media).alias("media")).mapInArrow(run, "doc_id long, width int, height int, pixels binary")
@@ -853,8 +876,8 @@ def report(media: DataFrame) -> DataFrame:
         for b in slices(batches, 32):
             rows = []
             for doc, n, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                image = decode(m)
-                p = payload(image)
+                image = decode_all(m)
+                p = payload(image)[: payload_size(n)]
                 rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), image.shape[1], image.shape[0], feature(p)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in REPORT.split(", ")])

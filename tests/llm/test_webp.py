@@ -138,3 +138,34 @@ def test_pixel_arrays(spark):
     row = webp.pixel_arrays(spark.createDataFrame([(1, bytearray(data)), (2, None)], "doc_id long, media binary")).orderBy("doc_id").collect()
     assert bytes(row[0].pixels) == webp.padded(b"hello") and (row[0].width, row[0].height) == (144, 1)
     assert row[1].pixels is None
+
+
+@pytest.mark.parametrize("units", [16384, 16385, 16411, 16412, 113 * 200 + 1, 32771])
+def test_any_number_of_units_fits(units):
+    """16,411 and 32,771 are primes: no width divides them."""
+    raw = np.arange(units * webp.ROW, dtype=np.uint32).tobytes()
+    image = webp.pixels(raw)
+    assert max(image.shape) <= webp.SIDE and webp.payload(image)[: len(raw)] == raw
+    assert set(webp.payload(image)[len(raw) :]) <= {255}
+
+
+def test_a_picture_of_several_files(monkeypatch):
+    monkeypatch.setattr(webp, "SIDE", 300)
+    for units in (599, 600, 601, 1205, 1801):
+        raw = b"".join(b"%d " % k for k in range(units * 120))[: units * webp.UNIT - 5]
+        media = webp.media_of(raw)
+        assert media.count(b"RIFF") == -(-units // 600)
+        assert webp.payload(webp.decode_all(media))[: webp.payload_size(len(raw))] == webp.padded(raw)
+
+
+def test_query_of_a_very_long_text(spark):
+    """A text of 16,411 units beside others: no row is lost and its payload has no filling."""
+    long = "word \u00e9" * (16_411 * 576 // 7)
+    texts = ["a", long, None]
+    got = {r.doc_id: r for r in webp.media_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(got) == 3
+    p = webp.padded(long.encode())
+    assert len(p) == 16_411 * 576
+    r = got[1]
+    assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == (len(long.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), webp.feature(p))
+    assert max(r.width, r.height) <= webp.SIDE
