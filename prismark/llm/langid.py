@@ -9,7 +9,8 @@ Parsing walks the automata as tables, for all languages and many pieces of text
 a few array operations for thousands of pieces. Texts are parsed whole, in pieces of ``PIECE`` characters that each start
 a new phrase.
 
-The labelled text is a bounded sample, for that a classifier may: ``sample_chars`` characters a language, from documents
+The labelled text is a bounded sample, for that a classifier may: ``sample_chars`` characters a language (less for each
+where there are so many languages that this would be more than ``MODEL_CHARS``; every label is learned), from documents
 in the order of a hash of their id, at most ``EXCERPT`` characters from each. Languages with the same number of phrases
 go to the one with more labelled documents, then by name.
 
@@ -35,6 +36,8 @@ from prismark.llm.common import slices
 UNKNOWN = "und"
 PIECE = 256
 EXCERPT = 2000
+#: Characters of all samples together; entries up to which the steps are a dense table; languages parsed in step.
+MODEL_CHARS, DENSE, ABREAST = 2_000_000, 1 << 25, 64
 LETTER, NOT_LETTERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}]+")
 
 
@@ -92,7 +95,8 @@ class Model:
     """The automata of all languages as one table.
 
     ``table[state * letters + letter]`` is twice the next state, plus one where a new phrase begins; a phrase that ends
-    and the letter that begins the next are one step.
+    and the letter that begins the next are one step. Beyond ``DENSE`` entries only the automata's edges are kept, in a
+    hash table with open addressing: ``keys`` (state * letters + letter, -1 where free) and ``values``.
     """
 
     def __init__(self, samples: dict[str, str]):
@@ -102,24 +106,70 @@ class Model:
         self.letters = len(letters) + 1  # the last is any other letter
         at = {c: k for k, c in enumerate(letters)}
         self.blank = at[" "]
-        self.codes = np.full(0x110000, self.blank, dtype=np.uint16)
+        self.codes = np.full(0x110000, self.blank, dtype=np.uint16 if self.letters < 1 << 16 else np.uint32)
         for c in LETTER.findall("".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))):
             self.codes[ord(c)] = at.get(c.lower(), len(letters))
-        tables, self.roots, base = [], [], 0
+        keys, values, roots, base = [], [], [], 0
         for text in samples.values():
-            automaton = Automaton(text)
-            states = len(automaton.next)
-            first = np.full(self.letters, base * 2 + 1, dtype=np.int64)
-            for c, to in automaton.next[0].items():
-                first[at[c]] = (base + to) * 2 + 1
-            table = np.tile(first, (states, 1))
-            for s, edges in enumerate(automaton.next):
-                for c, to in edges.items() if s else ():  # from the root every letter begins a phrase
-                    table[s, at[c]] = (base + to) * 2
-            tables.append(table)
-            self.roots.append(base)
-            base += states
-        self.table = np.concatenate(tables).astype(np.int32).ravel()
+            automaton = Automaton(text).next
+            degrees = np.fromiter(map(len, automaton), np.int64, len(automaton))
+            letter = np.fromiter((at[c] for edges in automaton for c in edges), np.int64, int(degrees.sum()))
+            to = np.fromiter((t for edges in automaton for t in edges.values()), np.int64, len(letter))
+            state = np.repeat(np.arange(len(automaton)), degrees)
+            keys.append((base + state) * self.letters + letter)
+            values.append((base + to) * 2 + (state == 0))  # from the root every letter begins a phrase
+            roots.append(base)
+            base += len(automaton)
+        self.roots = np.array(roots, dtype=np.int32)
+        sizes = np.diff([*roots, base])
+        keys, values = np.concatenate(keys), np.concatenate(values).astype(np.int32)
+        if base * self.letters <= DENSE:
+            first = np.repeat(self.roots[:, None] * 2 + 1, self.letters, axis=1)
+            begun = values & 1 == 1
+            first[np.searchsorted(self.roots, keys[begun] // self.letters), keys[begun] % self.letters] = values[begun]
+            self.table = np.repeat(first, sizes, axis=0).ravel()
+            self.table[keys] = values
+        else:
+            self.table = None
+            self._hashed(keys, values)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _hashed(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
+        slots = self._slots(keys)
+        while len(keys):
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[free]  # one of those that want a slot gets it
+            left = self.keys[slots] != keys
+            self.values[slots[~left]] = values[~left]
+            keys, values, slots = keys[left], values[left], (slots[left] + 1) & ((1 << self.bits) - 1)
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, -1 for those that are no edge."""
+        out, todo, slots = np.full(len(keys), -1, dtype=np.int32), np.arange(len(keys)), self._slots(keys)
+        while len(todo):
+            there = self.keys[slots]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.values[slots[hit]]
+            more = ~hit & (there >= 0)
+            todo, slots = todo[more], (slots[more] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def step(self, roots: np.ndarray, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Twice the next states, plus one where a new phrase begins; the arguments are arrays of one shape or broadcast to it."""
+        if self.table is not None:
+            return self.table[state * self.letters + letter]
+        keys = state.astype(np.int64) * self.letters + letter
+        shape, keys = keys.shape, keys.ravel()
+        out = self._found(keys)
+        miss = np.flatnonzero(out < 0)
+        root, letter = np.broadcast_to(roots, shape).ravel()[miss], np.broadcast_to(letter, shape).ravel()[miss]
+        begun = self._found(root.astype(np.int64) * self.letters + letter)
+        out[miss] = np.where(begun < 0, root * 2 + 1, begun)
+        return out.reshape(shape)
 
     def phrases(self, rows: list[str]) -> np.ndarray:
         """(texts, languages) counts of phrases."""
@@ -143,40 +193,47 @@ class Model:
         text, owner, starts, sizes = np.concatenate([*codes, np.zeros(PIECE, np.uint16)]), np.concatenate(owner), np.concatenate(starts), np.concatenate(sizes)
         order = np.argsort(-sizes, kind="stable")
         owner, starts, sizes = owner[order], starts[order], sizes[order]
-        counts = np.ones((len(self.roots), len(owner)), dtype=np.int32)
-        state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], len(owner), axis=1)
         live = np.searchsorted(-sizes, -np.arange(PIECE), side="left")  # pieces longer than k
-        for k in range(int(sizes[0])):
-            n = int(live[k])
-            step = self.table[state[:, :n] * self.letters + text[starts[:n] + k]]
-            if k:
-                counts[:, :n] += step & 1
-            state[:, :n] = step >> 1
-        for lang in range(len(self.roots)):
-            out[:, lang] = np.bincount(owner, weights=counts[lang], minlength=len(rows))
+        for first in range(0, len(self.roots), ABREAST):
+            roots = self.roots[first : first + ABREAST, None]
+            counts = np.ones((len(roots), len(owner)), dtype=np.int32)
+            state = np.repeat(roots, len(owner), axis=1)
+            for k in range(int(sizes[0])):
+                n = int(live[k])
+                step = self.step(roots, state[:, :n], text[starts[:n] + k])
+                if k:
+                    counts[:, :n] += step & 1
+                state[:, :n] = step >> 1
+            for lang in range(len(roots)):
+                out[:, first + lang] = np.bincount(owner, weights=counts[lang], minlength=len(rows))
         return out
 
 
-def learned(labelled: DataFrame, sample_chars: int = 12_000, most_languages: int = 64) -> Model | None:
-    """A model of ``lang, text, id`` rows.
+def learned(labelled: DataFrame, sample_chars: int = 12_000) -> Model | None:
+    """A model of ``lang, text, id`` rows, with every label.
 
-    The driver gets at most about ``2 * sample_chars`` characters for each of the ``most_languages`` commonest labels:
-    each label's rows are thinned, by the hash of their id, to what the sample needs at their mean length.
+    With so many labels that ``sample_chars`` for each are more than ``MODEL_CHARS``, each gets an equal share of that.
+    The driver gets about twice a label's sample and 40 excerpts, of at most a sample's length, for each label: its rows
+    are thinned, by the hash of their id, to what the sample needs at their mean length.
     """
     rows = labelled.where("lang is not null and lang <> '' and text is not null and text <> ''")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(EXCERPT))).alias("chars")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(EXCERPT))).alias("chars")).orderBy(F.desc("n"), "lang").collect()
     if not sizes:
         return None
+    sample_chars = max(1, min(sample_chars, MODEL_CHARS // len(sizes)))
     # Of each label's rows, by hash, a share that holds twice the sample on average, and 40 more rows.
-    share = {r.lang: min(1.0, 2.0 * sample_chars / r.chars + 40 / r.n) for r in sizes}
-    part = F.element_at(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
+    share = [(r.lang, min(1.0, 2.0 * sample_chars / r.chars + 40 / r.n)) for r in sizes]
+    part = F.broadcast(labelled.sparkSession.createDataFrame(share, "lang string, part double"))
     drawn = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    got = rows.where(F.col("lang").isin(list(share)) & (drawn < part)).select("lang", drawn.alias("h"), "id", F.substring("text", 1, EXCERPT).alias("text")).collect()
+    got = rows.join(part, "lang").where(drawn < F.col("part")).select("lang", drawn.alias("h"), "id", F.substring("text", 1, min(EXCERPT, sample_chars)).alias("text")).collect()
+    of: dict[str, list] = {r.lang: [] for r in sizes}
+    for x in got:
+        of[x.lang].append(x)
     samples: dict[str, str] = {}
-    for r in sizes:
-        text = "\n".join(x.text for x in sorted((x for x in got if x.lang == r.lang), key=lambda x: (x.h, x.id is None, x.id, x.text)))
+    for lang, drawn_rows in of.items():
+        text = "\n".join(x.text for x in sorted(drawn_rows, key=lambda x: (x.h, x.id is None, x.id, x.text)))
         if text:
-            samples[r.lang] = text[:sample_chars]
+            samples[lang] = text[:sample_chars]
     return Model(samples) if samples else None
 
 
@@ -185,7 +242,7 @@ def predicted(df: DataFrame, model: Model | None, text: str = "text", lang: str
     columns = [c for c in df.columns if c not in (lang, score)]
     if model is None:
         return df.select(*columns, F.lit(UNKNOWN).alias(lang), F.lit(0.0).alias(score))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: 2 * sample_chars states a language
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the samples: at most 2 * MODEL_CHARS states
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from conftest import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,7 +22,7 @@ def test_automaton_is_a_factor_oracle(text, query):
     assert a.phrases(query) == n
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=20, deadline=None)
 @given(st.lists(st.text("abcdü .D7", max_size=700), min_size=1, max_size=8))
 def test_table_agrees_with_automata(texts):
     samples = {"x": "abab dca. bad", "y": "üda caü bbb"}
@@ -54,3 +57,30 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.001"
     got = op6_cross_parsing(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(got) > 40 and sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text("abcdü .D7", max_size=700), min_size=1, max_size=8))
+def test_sparse_steps_agree_with_the_dense_table(texts):
+    samples = {"x": "abab dca. bad", "y": "üda caü bbb", "z": "cc"}
+    dense = langid.Model(samples)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(langid, "DENSE", 0)
+        patch.setattr(langid, "ABREAST", 2)
+        sparse = langid.Model(samples)
+        assert dense.table is not None and sparse.table is None
+        assert (dense.phrases(texts) == sparse.phrases(texts)).all()
+
+
+@pytest.mark.parametrize("model_chars", [langid.MODEL_CHARS, 90 * 300])
+def test_every_label_is_learned(spark, monkeypatch, model_chars):
+    """90 labels with words of their own: the rare ones are predicted as well as the common ones."""
+    monkeypatch.setattr(langid, "MODEL_CHARS", model_chars)
+    rng = random.Random(4)
+    words = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(20)] for k in range(90)}
+    text = lambda k: " ".join(rng.choices(words[k], k=30))
+    rows = [(k, text(k)) for i, k in enumerate(words) for _ in range(92 - i)]
+    m = langid.learned(spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "lang string, text string, id long"))
+    assert m.languages == list(words)
+    new = spark.createDataFrame([(k, text(k)) for k in words], "lang string, text string")
+    assert all(r.lang == r.lang_pred for r in langid.predicted(new, m).collect())
