@@ -6,8 +6,8 @@ longest phrases that occur in a language's text; a character that occurs nowhere
 phrases, divided by the document's length, estimates the cross entropy; the language that needs fewest wins.
 
 Parsing walks the automata as tables, for all languages and many pieces of text in step, so a step of one character costs
-a few array operations for thousands of pieces. Texts are parsed whole, in pieces of ``PIECE`` characters that each start
-a new phrase.
+a few array operations for thousands of pieces. Texts are parsed whole: in pieces of ``PIECE`` characters first, whose
+counts are then corrected for the phrases that run over the pieces' ends.
 
 The labelled text is a bounded sample, for that a classifier may: ``sample_chars`` characters a language (less for each
 where there are so many languages that this would be more than ``MODEL_CHARS``; every label is learned), from documents
@@ -171,8 +171,8 @@ class Model:
         out[miss] = np.where(begun < 0, root * 2 + 1, begun)
         return out.reshape(shape)
 
-    def phrases(self, rows: list[str]) -> np.ndarray:
-        """(texts, languages) counts of phrases."""
+    def phrases(self, rows: list[str], joined: bool = False) -> np.ndarray:
+        """(texts, languages) counts of phrases: of pieces that each begin a new one, or of the texts as a whole if joined."""
         codes, owner, starts, sizes = [], [], [], []
         at = 0
         for k, t in enumerate(rows):
@@ -192,6 +192,8 @@ class Model:
             return out
         text, owner, starts, sizes = np.concatenate([*codes, np.zeros(PIECE, np.uint16)]), np.concatenate(owner), np.concatenate(starts), np.concatenate(sizes)
         order = np.argsort(-sizes, kind="stable")
+        place = np.argsort(order)
+        after = np.append(np.where(owner[1:] == owner[:-1], place[1:], -1), -1)[order]  # where the text's next piece is
         owner, starts, sizes = owner[order], starts[order], sizes[order]
         live = np.searchsorted(-sizes, -np.arange(PIECE), side="left")  # pieces longer than k
         for first in range(0, len(self.roots), ABREAST):
@@ -204,10 +206,46 @@ class Model:
                 if k:
                     counts[:, :n] += step & 1
                 state[:, :n] = step >> 1
+            if joined:
+                self._join(roots, state, counts, after, text, starts, sizes)
             for lang in range(len(roots)):
                 out[:, first + lang] = np.bincount(owner, weights=counts[lang], minlength=len(rows))
         return out
 
+    def _join(self, roots: np.ndarray, state: np.ndarray, counts: np.ndarray, after: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Corrects the counts of pieces for the states that the pieces before them end in.
+
+        A piece is walked from the state it was counted from and from the right one, until both are in the same state,
+        mostly after a few letters. Where they are not by the piece's end, the piece after it is next.
+        """
+        began = np.repeat(roots, state.shape[1], axis=1)
+        lang, piece = (x.ravel() for x in np.meshgrid(np.arange(len(roots)), np.flatnonzero(after >= 0), indexing="ij"))
+        while len(piece):
+            ends, piece = state[lang, piece], after[piece]
+            told = began[lang, piece]
+            now = np.flatnonzero(ends != told)
+            lang, piece, old, new = lang[now], piece[now], told[now], ends[now]
+            began[lang, piece] = new
+            lanes, unlike = np.arange(len(piece)), []
+            for k in range(PIECE):
+                over = sizes[piece[lanes]] == k
+                unlike.append(lanes[over])
+                state[lang[lanes[over]], piece[lanes[over]]] = new[over]
+                lanes, old, new = lanes[~over], old[~over], new[~over]
+                if not len(lanes):
+                    break
+                letter, root = text[starts[piece[lanes]] + k], roots[lang[lanes], 0]
+                a, b = self.step(root, old, letter), self.step(root, new, letter)
+                counts[lang[lanes], piece[lanes]] += (b & 1) - (a & 1)
+                differ = a >> 1 != b >> 1
+                lanes, old, new = lanes[differ], a[differ] >> 1, b[differ] >> 1
+            else:
+                unlike.append(lanes)
+                state[lang[lanes], piece[lanes]] = new
+            last = np.concatenate(unlike)
+            last = last[after[piece[last]] >= 0]
+            lang, piece = lang[last], piece[last]
+
 
 def learned(labelled: DataFrame, sample_chars: int = 12_000) -> Model | None:
     """A model of ``lang, text, id`` rows, with every label.
@@ -248,7 +286,7 @@ def predicted(df: DataFrame, model: Model | None, text: str = "text", lang: str
         m = shared.value
         for b in slices(batches, 256):
             rows = [t if t and LETTER.search(t) else "" for t in b.column(b.schema.names.index(text)).to_pylist()]
-            n = m.phrases(rows)
+            n = m.phrases(rows, joined=True)
             best = n.argmin(axis=1)
             ordered = np.sort(n, axis=1)
             value = 1 - ordered[:, 0] / np.maximum(ordered[:, 1], 1) if n.shape[1] > 1 else np.ones(len(rows))

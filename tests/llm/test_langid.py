@@ -72,6 +72,29 @@ def test_sparse_steps_agree_with_the_dense_table(texts):
         assert (dense.phrases(texts) == sparse.phrases(texts)).all()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcdü .D7", max_size=700), min_size=1, max_size=8), st.sampled_from([1, 2, 7, 256]), st.booleans())
+def test_joined_pieces_are_the_uncut_parse(texts, piece, long):
+    texts = [*texts, "ab" * 400, "abab dca bad " * 60, "ü" * 600]
+    samples = {"x": "abab dca. bad", "y": "üda caü bbb", "z": texts[0] + ("abab dca bad " * 50 if long else "")}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(langid, "PIECE", piece)
+        patch.setattr(langid, "ABREAST", 2)
+        got = langid.Model(samples).phrases(texts, joined=True)
+    for k, s in enumerate(samples.values()):
+        a = langid.Automaton(langid.plain(s))
+        assert [r[k] for r in got] == [a.phrases(langid.plain(t)) for t in texts]
+
+
+def test_prediction_is_by_the_uncut_parse(spark):
+    """The text is one phrase of one language, though it is longer than a piece."""
+    m = langid.Model({"en": ENGLISH * 10, "de": GERMAN * 10})
+    t = ENGLISH * 5
+    a = [langid.Automaton(langid.plain(x * 10)).phrases(langid.plain(t)) for x in (ENGLISH, GERMAN)]
+    row = langid.predicted(spark.createDataFrame([(1, t)], "doc_id long, text string"), m).first()
+    assert a[0] == 1 and row.lang_pred == "en" and row.score == 1 - 1 / a[1]
+
+
 @pytest.mark.parametrize("model_chars", [langid.MODEL_CHARS, 90 * 300])
 def test_every_label_is_learned(spark, monkeypatch, model_chars):
     """90 labels with words of their own: the rare ones are predicted as well as the common ones."""
