@@ -15,11 +15,20 @@ from prismark.llm.common import shared_dir, written
 from prismark.llm.queries import WORD_BPE
 
 
+#: A document goes if a smaller share of its letters occurs in what the labels teach.
+KNOWN = 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the labels teach; those with no text or no letter go."""
+    """Keeps documents in a language that the labels teach; those with no text, no letter or mostly unknown letters go.
+
+    With no label to learn from, all documents with a letter stay.
+    """
     model = langid.learned(langid.training(docs, F.lit(True)))
-    found = langid.predicted(docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]), model, lang="__lang", score="__score")
-    return found.where(F.col("__lang") != langid.UNKNOWN).select(*docs.columns)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.predicted(docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]), model, lang="__lang", score="__score", known="__known")
+    return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__known") >= KNOWN)).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,6 +171,12 @@ class Model:
         out[miss] = np.where(begun < 0, root * 2 + 1, begun)
         return out.reshape(shape)
 
+    def known(self, rows: list[str]) -> list[float]:
+        """The share of each text's letters that occur in a language's sample."""
+        codes = [self.codes[np.frombuffer(t.encode("utf-32-le", "replace"), dtype=np.uint32)] for t in rows]
+        letters = [c[c != self.blank] for c in codes]
+        return [float((c < self.letters - 1).mean()) if len(c) else 0.0 for c in letters]
+
     def phrases(self, rows: list[str], joined: bool = False) -> np.ndarray:
         """(texts, languages) counts of phrases: of pieces that each begin a new one, or of the texts as a whole if joined."""
         codes, owner, starts, sizes = [], [], [], []
@@ -275,11 +281,12 @@ def learned(labelled: DataFrame, sample_chars: int = 12_000) -> Model | None:
     return Model(samples) if samples else None
 
 
-def predicted(df: DataFrame, model: Model | None, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``df`` with the predicted language of each whole text and its score."""
-    columns = [c for c in df.columns if c not in (lang, score)]
+def predicted(df: DataFrame, model: Model | None, text: str = "text", lang: str = "lang_pred", score: str = "score", known: str | None = None) -> DataFrame:
+    """``df`` with the predicted language of each whole text, its score and, if named, the share of its letters that are known."""
+    more = [known] if known else []
+    columns = [c for c in df.columns if c not in (lang, score, known)]
     if model is None:
-        return df.select(*columns, F.lit(UNKNOWN).alias(lang), F.lit(0.0).alias(score))
+        return df.select(*columns, F.lit(UNKNOWN).alias(lang), F.lit(0.0).alias(score), *[F.lit(0.0).alias(c) for c in more])
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the samples: at most 2 * MODEL_CHARS states
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,9 +299,9 @@ def predicted(df: DataFrame, model: Model | None, text: str = "text", lang: str
             value = 1 - ordered[:, 0] / np.maximum(ordered[:, 1], 1) if n.shape[1] > 1 else np.ones(len(rows))
             langs = [m.languages[k] if t else UNKNOWN for k, t in zip(best, rows, strict=True)]
             scores = [float(v) if t else 0.0 for v, t in zip(value, rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, lang, score])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(m.known(rows), pa.float64()) for _ in more]], [*b.schema.names, lang, score, *more])
 
-    schema = T.StructType([*df.select(*columns).schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    schema = T.StructType([*df.select(*columns).schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in more]])
     return df.select(*columns).mapInArrow(run, schema)
 
 

@@ -33,3 +33,13 @@ def test_names():
     found = sorted(queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [n.split("_")[0] for n in found] == [f"op{k}" for k in range(1, 11)] and set(oracle_sql()) <= set(found)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near duplicates", "packing"]
+
+
+def test_language_rejects_scripts_that_no_label_teaches(spark):
+    taught = [(k, "the dog runs through the green forest" if k % 2 else "der hund läuft durch den wald", "en" if k % 2 else "de") for k in range(20)]
+    odd = [(100, "собака бежит через лес", None), (101, "日本語 テキスト", ""), (102, "the dog 犬", None), (103, "12 !!", None), (104, None, None)]
+    kind = "doc_id long, text string, lang string"
+    got = corpus_pipeline.language(spark, spark.createDataFrame(taught + odd, kind), "")
+    assert got.columns == ["doc_id", "text", "lang"] and sorted(r.doc_id for r in got.collect()) == [*range(20), 102]
+    bare = spark.createDataFrame([(i, t, None if i % 2 else "") for i, t, _ in taught + odd], kind)
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, bare, "").collect()) == [*range(20), 100, 101, 102]
