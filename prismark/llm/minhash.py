@@ -306,9 +306,18 @@ def near_duplicates(df: DataFrame, words: int = 5, part: int = 80, whole: int =
 
 
 def deduplicated(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` whose document is kept, one for each id; rows with a null id stay."""
-    key = options.get("key", "doc_id")
-    kept = written(near_duplicates(df, **options).where("kept and doc_id is not null").select("doc_id").distinct(), f"{shared_dir(df.sparkSession)}/kept")
-    has = df.where(F.col(key).isNotNull())
-    one = has.join(kept.withColumnRenamed("doc_id", "__kept"), F.col(key) == F.col("__kept"), "left_semi").dropDuplicates([key])
-    return one.unionByName(df.where(F.col(key).isNull()))
+    """One row of each class of near copies: that of the lowest id, null last, and of those the lowest hash of the text.
+
+    Rows are told apart by a number of their own, so rows that share an id, or have none, are compared like others. Rows
+    without shingles stay, but of those that share an id and a text one does.
+    """
+    key, text = options.pop("key", "doc_id"), options.pop("text", "text")
+    path = shared_dir(df.sparkSession)
+    rows = written(df.withColumn("__row", F.monotonically_increasing_id()), f"{path}/rows")
+    found = near_duplicates(rows, key="__row", text=text, **options).select(F.col("doc_id").alias("__row"), "component_id", "n_shingles")
+    named = rows.select("__row", F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h")).join(found, "__row")
+    bare = F.col("n_shingles") == 0
+    own = F.when(~bare | F.col("id").isNull(), F.col("component_id"))
+    classes = named.groupBy(own.alias("class"), F.when(bare, F.col("id")).alias("id"), F.when(bare, F.col("h")).alias("h"))
+    kept = written(classes.agg(F.min(F.struct(F.col("id").isNull(), "id", "h", "__row"))["__row"].alias("__row")).select("__row"), f"{path}/kept")
+    return rows.join(kept, "__row", "left_semi").select(*df.columns)

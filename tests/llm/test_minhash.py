@@ -106,3 +106,17 @@ def test_spanning():
         linked[x, y] = linked[y, x] = True
     links = minhash.spanning(linked, np.arange(5))
     assert len(links) == 3 and len(minhash.spanning(linked, np.array([0, 0, 0, 3, 4]))) == 1
+
+
+def test_clashing_and_null_ids_are_compared(spark):
+    """Decided per row: texts that share an id are no copies, rows without an id are compared."""
+    one, two, three, four = (" ".join(f"{c}{k}" for k in range(60)) for c in "abcd")
+    near = one + " more"
+    rows = [(1, one), (1, two), (1, near), (2, near), (None, two), (None, three), (None, three), (None, three + " more"), (0, four), (None, four), (1, ""), (1, ""), (3, ""), (None, ""), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = None
+    for n in (1, 4):
+        got = [tuple(r) for r in minhash.deduplicated(df.repartition(n)).collect()]
+        assert sorted((i is None, i or 0, t.removesuffix(" more")) for i, t in got) == sorted([(False, 0, four), (False, 1, one), (False, 1, two), (False, 1, ""), (False, 3, ""), (True, 0, three), (True, 0, ""), (True, 0, "")])
+        first = sorted(got, key=str) if n == 1 else first
+        assert sorted(got, key=str) == first
