@@ -17,8 +17,8 @@ import json
 import re
 import struct
 import unicodedata
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 import regex
@@ -28,10 +28,8 @@ from tokenizers import Regex
 from tokenizers.normalizers import NFC, Lowercase, Replace, Sequence
 from tokenizers.pre_tokenizers import Split
 
-from prismark.llm.common import slices, texts
+from prismark.llm.common import CACHES, Kept, between_stages, slices, texts
 
-#: Words kept in a worker's cache: at about 250 bytes each, 100 MB at most.
-CACHE_WORDS = 400_000
 #: Below U+0558 the letters, digits and lower-case forms are alike in every Unicode version since 6; beyond, the library's own tables decide.
 WIDE = re.compile("[^\\x00-\u0557]")
 NARROW_SPACE = "\t\n\x0b\x0c\r \x85\xa0"
@@ -60,10 +58,7 @@ class WordBpe:
         self.strings = {i: s for s, i in self.vocab.items()}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings.update({i: s for s, i in self.specials.items()})
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        self.path = path
         self.alphabet = byte_alphabet()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         narrow = pattern
@@ -71,6 +66,19 @@ class WordBpe:
             narrow = narrow.replace(name, "".join(re.escape(chr(c)) for c in range(0x558) if (start and unicodedata.category(chr(c))[0] == start) or (not start and chr(c) in NARROW_SPACE)))
         self.split, self.wide_plain, self.wide_split = re.compile(narrow), Sequence([NFC(), Replace(Regex(r"\s+"), " "), Lowercase()]), Split(Regex(pattern), "removed", invert=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
+        #: Characters that every special string has one of; a text without them needs no search.
+        self.marks = {min(s, key=lambda c: (c.isalnum(), c.isspace(), c)) for s in self.specials}
+
+    @cached_property
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Pair of ids -> (rank, merged id)."""
+        with open(self.path, encoding="utf-8") as f:
+            listed = json.load(f)["model"]["merges"]
+        out = {}
+        for rank, pair in enumerate(listed):
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            out[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        return out
 
     def merge(self, ids: list[int]) -> list[int]:
         """Applies the merges, lowest rank first and leftmost among equals.
@@ -109,7 +117,7 @@ class WordBpe:
 
     def pieces(self, text: str) -> list[str]:
         """The words that the merges work on, special strings as they are. White space parts words and is in none."""
-        if self.special and "<" in text:
+        if any(c in text for c in self.marks):
             parts = self.special.split(text)
             if len(parts) > 1:
                 return [w for p in parts for w in ((p,) if p in self.specials else self.plain(p))]
@@ -130,20 +138,6 @@ class WordBpe:
         return " ".join(self.strings[i] for i in ids if i in self.strings)
 
 
-class Kept(dict):
-    """word -> what ``make`` returns, emptied when full."""
-
-    def __init__(self, make: Callable, most: int = CACHE_WORDS):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key: str):
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = out = self.make(key)
-        return out
-
-
 @lru_cache(maxsize=2)
 def worker(path: str) -> tuple[WordBpe, Kept]:
     """The tokenizer and its cache, made once in a Python worker: word -> (ids as bytes, their strings as bytes)."""
@@ -156,6 +150,8 @@ def worker(path: str) -> tuple[WordBpe, Kept]:
     return bpe, Kept(both)
 
 
+CACHES.append(worker.cache_clear)
+
 def encoded(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids, decoded``: each whole text's ids as little-endian unsigned 32-bit integers, and the decoded text.
 
@@ -163,6 +159,7 @@ def encoded(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between_stages()
         bpe, kept = worker(path)
         for b in slices(batches):
             ids, out = [], []
@@ -179,6 +176,7 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
     """``encoded`` reduced in the same task to counts and SHA-256 digests, so that no token leaves the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between_stages()
         (bpe, kept), sha = worker(path), hashlib.sha256
         for b in slices(batches):
             n, ids, out = [], [], []

@@ -3,28 +3,78 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that are turned into Python objects at a time; bounds what one Arrow batch of long texts holds twice.
-SLICE = 128
+#: Rows, and bytes, that are turned into Python objects at a time; they bound what one Arrow batch of long texts holds twice.
+SLICE, SLICE_BYTES = 128, 1 << 20
+#: Entries of a word cache, and the characters of the longest word that is kept: about 20 MB for each cache.
+CACHE_WORDS, LONGEST_WORD = 100_000, 64
 #: Folders of intermediate tables made by this process.
 MADE: list[str] = []
+#: What empties a worker's caches, and the stage that they were filled by.
+CACHES: list[Callable[[], object]] = []
+_filled_by: int | None = None
+
+
+class Kept(dict):
+    """word -> what ``make`` returns, for at most ``most`` words; long words are made anew each time.
+
+    Words are kept in two generations: when the newer one has half of all it becomes the older one, whose words go unless
+    they are asked for again. So words that occur once don't drive out frequent ones.
+    """
+
+    def __init__(self, make: Callable, most: int = CACHE_WORDS):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str):
+        out = self.older.pop(key, None)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= LONGEST_WORD:
+            if 2 * len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
+def between_stages() -> None:
+    """Python workers outlive a stage; what they kept for another one is given back to the system."""
+    global _filled_by
+    task = TaskContext.get()
+    if task is None or task.stageId() == _filled_by:
+        return
+    if _filled_by is not None:
+        for empty in CACHES:
+            empty()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+    _filled_by = task.stageId()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is missing (tests, one machine) a temporary folder is made and set for the session.
+    Where the setting is missing on one machine (tests) a temporary folder is made and set for the session; on a cluster
+    that is an error, as each executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="prismark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -33,9 +83,9 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def clean(spark: SparkSession) -> None:
-    """Deletes the folders that this process has made, when no frame that reads them is needed any more."""
-    while MADE:
+def clean(spark: SparkSession, keep: int = 0) -> None:
+    """Deletes the folders that this process has made, but for the first ``keep``, when no frame reads them any more."""
+    while len(MADE) > keep:
         remove(spark, MADE.pop())
 
 
@@ -54,17 +104,38 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by name, whatever characters a name has."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as no column of the frame has; Spark's names don't tell cases apart."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def fold(key: str | Column, n: int) -> Column:
     """crc32 of the id as decimal text, modulo ``n``; a null id is in fold 0."""
     c = F.col(key) if isinstance(key, str) else key
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and ``most`` bytes, or of one row."""
+    between_stages()
     for b in batches:
         for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+            todo = [b.slice(i, rows)]
+            while todo:
+                part = todo.pop()
+                if part.num_rows > 1 and part.nbytes > most:
+                    half = part.num_rows // 2
+                    todo += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
 
 
 def texts(column: pa.Array) -> list[str]:

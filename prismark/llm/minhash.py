@@ -31,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismark.llm.bpe import Kept
-from prismark.llm.common import shared_dir, slices, written
+from prismark.llm.common import quoted, remove, shared_dir, slices, unused, written
 from prismark.llm.components import components
+from prismark.llm.words import mixed, word_hashes
 
 SYMBOLS = 32
 #: Members of a bucket that are compared in one block.
@@ -55,32 +55,29 @@ def chunks_for(similarity: float, miss: float = 1e-4, symbols: int = SYMBOLS) ->
     raise ValueError("no split of the signature reaches so low a similarity")
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(31)) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ x >> np.uint64(33)
-
-
 def numbers(n: int, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(f"{seed}:{i}") for i in range(n)], dtype=np.uint64)
 
 
 FACTORS, SHIFTS = numbers(SYMBOLS, 1) | np.uint64(1), numbers(SYMBOLS, 2)
-word_hash = Kept(xxhash.xxh3_64_intdigest)
 
 
-def shingles(raw: bytes, words: int) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct shingles. Words part at ASCII white space; A-Z are lowered."""
-    found = raw.lower().split()
-    h = np.fromiter(map(word_hash.__getitem__, found), dtype=np.uint64, count=len(found))
-    if not len(h):
-        return h
-    width = min(words, len(h))
-    out = np.full(len(h) - width + 1, width, dtype=np.uint64)
-    for k in range(width):
-        out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return np.unique(mixed(out))
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """The sorted 64-bit hashes of each text's distinct shingles."""
+    h, sizes = word_hashes(texts)
+
+    def joined(h: np.ndarray, width: int) -> np.ndarray:
+        out = np.full(max(0, len(h) - width + 1), width, dtype=np.uint64)
+        for k in range(width):
+            out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return mixed(out)
+
+    every, out, at = joined(h, words), [], 0
+    for n in sizes.tolist():
+        out.append(np.unique(every[at : at + n - words + 1]) if n >= words else joined(h[at : at + n], n) if n else h[:0])
+        at += n
+    return out
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -98,7 +95,7 @@ def summarised(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = [shingles(x or b"", words) for x in b.column(1).to_pylist()]
+            sets = shingle_sets([x or b"" for x in b.column(1).to_pylist()], words)
             full = iter(signatures([s for s in sets if len(s)]))
             yield pa.record_batch(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([next(full).tobytes() if len(s) else None for s in sets], pa.binary())],
@@ -159,13 +156,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, part: int, whole: i
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, np.zeros(0, np.uint64)
         for b in slices(batches, 64):
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, left = x, shingles(x or b"", words)
-                right = shingles(y or b"", words)
+            both = [[x or b"" for x in b.column(k).to_pylist()] for k in (2, 3)]
+            texts = list({*both[0], *both[1]})
+            of, keep = dict(zip(texts, shingle_sets(texts, words), strict=True)), []
+            for x, y in zip(*both, strict=True):
+                left, right = of[x], of[y]
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(whole * common >= part * (len(left) + len(right) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -239,7 +235,7 @@ def linked_sets(rows: DataFrame, words: int, part: int, whole: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in by_block(batches, 64):
-            sets = [shingles(r[6] or b"", words) for r in block]
+            sets = shingle_sets([r[6] or b"" for r in block], words)
             n = np.array([len(x) for x in sets], dtype=np.int64)
             every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
             order = np.argsort(every, kind="stable")
@@ -298,6 +294,8 @@ def near_duplicates(df: DataFrame, words: int = 5, part: int = 80, whole: int =
         more = written(linked_sets(mixed_pivots(near_ones, sets, f"{path}/mixed-2").join(texts, "id"), words, part, whole), f"{path}/links-2")
         links = links.union(more)
     found = written(components(links, f"{path}/components-2"), f"{path}/found")
+    for name in ("buckets", "star", "near", "members", "mixed-1", "mixed-2", "close", "links", "links-2", "known", "components-1", "components-2"):
+        remove(df.sparkSession, f"{path}/{name}")
     # From sets to documents.
     of_set = sets.join(found, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("component_id"))
     whole_rows = rows.join(of_set, "set_key", "left")
@@ -312,12 +310,12 @@ def deduplicated(df: DataFrame, **options) -> DataFrame:
     without shingles stay, but of those that share an id and a text one does.
     """
     key, text = options.pop("key", "doc_id"), options.pop("text", "text")
-    path = shared_dir(df.sparkSession)
-    rows = written(df.withColumn("__row", F.monotonically_increasing_id()), f"{path}/rows")
-    found = near_duplicates(rows, key="__row", text=text, **options).select(F.col("doc_id").alias("__row"), "component_id", "n_shingles")
-    named = rows.select("__row", F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h")).join(found, "__row")
+    path, number = shared_dir(df.sparkSession), unused(df, "__row")
+    rows = written(df.withColumn(number, F.monotonically_increasing_id()), f"{path}/rows")
+    found = near_duplicates(rows, key=number, text=text, **options).select(F.col("doc_id").alias("row"), "component_id", "n_shingles")
+    named = rows.select(F.col(number).alias("row"), F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h")).join(found, "row")
     bare = F.col("n_shingles") == 0
     own = F.when(~bare | F.col("id").isNull(), F.col("component_id"))
     classes = named.groupBy(own.alias("class"), F.when(bare, F.col("id")).alias("id"), F.when(bare, F.col("h")).alias("h"))
-    kept = written(classes.agg(F.min(F.struct(F.col("id").isNull(), "id", "h", "__row"))["__row"].alias("__row")).select("__row"), f"{path}/kept")
-    return rows.join(kept, "__row", "left_semi").select(*df.columns)
+    kept = written(classes.agg(F.min(F.struct(F.col("id").isNull(), "id", "h", "row"))["row"].alias(number)).select(number), f"{path}/kept")
+    return rows.join(kept, number, "left_semi").select(*quoted(df.columns))

@@ -10,7 +10,8 @@ Packing works on groups of bounded size within a task: no shuffle, nothing globa
 task that is run again after a loss gives whole sequences by itself.
 
 Defined results: null text counts as empty; every document has at least its end id, so empty ones are pieces of one id;
-equal texts are packed each for themselves; an empty table gives no pieces.
+equal texts are packed each for themselves, as are rows that share an id or have none; other columns are ignored; an empty
+table gives no pieces.
 """
 
 from __future__ import annotations
@@ -23,16 +24,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from prismark.llm.bpe import CACHE_WORDS, WIDE, WordBpe
-from prismark.llm.common import slices, texts
+from prismark.llm.bpe import WIDE, WordBpe
+from prismark.llm.common import CACHE_WORDS, CACHES, slices, texts
 
+#: Ids of known words after which these become the older generation, as with half of ``CACHE_WORDS`` words.
+CACHE_IDS = 1 << 20
 #: Sequence ids: the task's number times this, plus the sequence's number in the task.
 TASK_STRIDE = 1 << 40
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment int, sequence_length long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment int, sequence_length long, loss_length long"
 
 
 @dataclass(frozen=True)
@@ -141,7 +144,11 @@ def pack(items: list[tuple[object, np.ndarray]], limits: Limits, cut: bool = Tru
 
 
 class Ids(dict):
-    """word -> its number; the ids of all known words lie in one array. Words met for the first time wait in ``new``."""
+    """word -> its number; the ids of all known words lie in one array. Words met for the first time wait in ``new``.
+
+    Words are kept in two generations: a full one becomes the older one, of which words are taken over when they are met
+    again, so words that occur once don't drive out frequent ones.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -150,9 +157,11 @@ class Ids(dict):
         self.tokenizer.no_padding()
         self.ends = np.zeros(max(self.bpe.strings) + 1, dtype=bool)
         self.ends[[i for i, s in self.bpe.strings.items() if s.endswith(self.bpe.end)]] = True
-        self.forget()
+        self.turn()
 
-    def forget(self) -> None:
+    def turn(self) -> None:
+        """The words so far are the older generation from now on."""
+        self.older = (dict(self), self.flat, self.starts, self.sizes) if self else ({},) + (np.zeros(0, np.int64),) * 3
         self.clear()
         self.new: list[str] = []
         self.flat, self.used = np.zeros(1 << 16, dtype="<u4"), 0
@@ -166,10 +175,19 @@ class Ids(dict):
     def learn(self) -> None:
         """Encodes the waiting words with the library, many in one text: a word's last id is the one with the end mark."""
         first, new = len(self) - len(self.new), self.new
-        apart = [k for k, w in enumerate(new) if w in self.bpe.specials or WIDE.search(w)]
-        joined = sorted(set(range(len(new))) - set(apart))
         if len(self.starts) < len(self):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self)), np.resize(self.sizes, 2 * len(self))
+        known, flat, starts, sizes = self.older
+        before = np.fromiter((known.get(w, -1) for w in new), dtype=np.int64, count=len(new))
+        again = np.flatnonzero(before >= 0)
+        if len(again):
+            n = sizes[before[again]]
+            ends = np.cumsum(n)
+            self.sizes[first + again], self.starts[first + again] = n, self.used + ends - n
+            self.append(flat[np.repeat(starts[before[again]] - ends + n, n) + np.arange(int(ends[-1]))])
+        unknown = np.flatnonzero(before < 0).tolist()
+        apart = [k for k in unknown if new[k] in self.bpe.specials or WIDE.search(new[k])]
+        joined = sorted(set(unknown) - set(apart))
         for i in range(0, len(joined), 4096):
             some = joined[i : i + 4096]
             ids = self.encode(" ".join([new[k] for k in some]))
@@ -198,16 +216,30 @@ class Ids(dict):
 
 
 worker = lru_cache(maxsize=2)(Ids)
+CACHES.append(worker.cache_clear)
 
 
-def tokens(rows: list[str], path: str, end_id: int) -> list[np.ndarray]:
-    """Each text's ids with the end id."""
-    known, out = worker(path), []
-    if len(known) > CACHE_WORDS:
-        known.forget()
+def numbered(rows: list[str], path: str) -> tuple[Ids, list[np.ndarray]]:
+    """The known words, and the numbers of each text's words."""
+    known = worker(path)
+    if 2 * len(known) > CACHE_WORDS or known.used > CACHE_IDS:
+        known.turn()
     numbers = [np.fromiter(map(known.__getitem__, w), dtype=np.int64, count=len(w)) for w in map(known.bpe.pieces, rows)]
     if known.new:
         known.learn()
+    return known, numbers
+
+
+def counts(rows: list[str], path: str) -> list[int]:
+    """How many ids each text has."""
+    known, numbers = numbered(rows, path)
+    return [int(known.sizes[n].sum()) for n in numbers]
+
+
+def tokens(rows: list[str], path: str, end_id: int) -> list[np.ndarray]:
+    """Each text's ids with the end id."""
+    out = []
+    known, numbers = numbered(rows, path)
     for n in numbers:
         sizes = known.sizes[n]
         ends = np.cumsum(sizes)
@@ -218,43 +250,45 @@ def tokens(rows: list[str], path: str, end_id: int) -> list[np.ndarray]:
     return out
 
 
-def packed(df: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, group_tokens: int = 1 << 21, key: str = "doc_id", text: str = "text") -> DataFrame:
+def packed(df: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, group_tokens: int = 1 << 21, key: str = "doc_id", text: str = "text", loss: Column | None = None) -> DataFrame:
     """Whole texts as ids, cut and packed; a row for each piece, with the CRC-32 of its ids.
 
-    A task holds one group: the ends of texts, ``group_tokens`` ids, plus one slice of texts. Every id of a document
-    bears loss. Groups are filled in the order of the input's rows.
+    loss: whether a row's ids bear loss, as those of an assistant's turns do and those of a user's don't; null is false, and
+    without the column all do. A task holds one group: the ends of texts, ``group_tokens`` ids, plus one slice of texts.
+    Groups are filled in the order of the input's rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
-        held: list[tuple[int | None, np.ndarray, int]] = []  # id, ids, tokens before these
+        held: list[tuple[int | None, np.ndarray, int, int, bool]] = []  # id, ids, tokens before these, of all, bearing loss
 
         def rows(seqs) -> pa.RecordBatch:
             nonlocal n
             out = []
             for seq in seqs:
                 at, total = 0, sum(x[2] for x in seq)
-                for k, ((doc, ids, before, whole), start, length) in enumerate(seq):
-                    out.append((doc, before + start, length, zlib.crc32(ids[start : start + length].tobytes()), whole, task * TASK_STRIDE + n, at, k, total))
+                for k, ((doc, ids, before, whole, bears), start, length) in enumerate(seq):
+                    out.append((doc, before + start, length, zlib.crc32(ids[start : start + length].tobytes()), whole, task * TASK_STRIDE + n, at, k, total, length if bears else 0))
                     at += length
                 n += 1
-            kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
+            kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64(), pa.int64()]
             return pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], kind) for kind in kinds], [x.split()[0] for x in PIECES.split(", ")])
 
         def close() -> pa.RecordBatch:
-            whole = [(i, ids, before, total) for i, ids, before, total in held]
-            named = [[(whole[k], s, length) for k, s, length in seq] for seq in pack([(k, np.ones(len(x[1]), np.int8)) for k, x in enumerate(whole)], limits)]
+            whole = list(held)
+            named = [[(whole[k], s, length) for k, s, length in seq] for seq in pack([(k, np.full(len(x[1]), x[4], np.int8)) for k, x in enumerate(whole)], limits)]
             held.clear()
             return rows(named)
 
-        count, step = 0, min(limits.tokens, limits.loss)
+        count, step = 0, limits.tokens
         for b in slices(batches):
             full = []
-            for doc, ids in zip(b.column(0).to_pylist(), tokens(texts(b.column(1)), path, end_id), strict=True):
-                cut = len(ids) // step * step if step == limits.tokens else 0
-                full += [[((doc, ids, 0, len(ids)), s, step)] for s in range(0, cut, step)]
+            for doc, bears, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), tokens(texts(b.column(1)), path, end_id), strict=True):
+                # A text longer than a sequence gives whole sequences, unless the limit on loss forbids that.
+                cut = len(ids) // step * step if limits.loss >= step or not bears else 0
+                full += [[((doc, ids, 0, len(ids), bears), s, step)] for s in range(0, cut, step)]
                 if cut < len(ids):
-                    held.append((doc, ids[cut:].copy(), cut, len(ids)))
+                    held.append((doc, ids[cut:].copy(), cut, len(ids), bears))
                     count += len(ids) - cut
             if full:
                 yield rows(full)
@@ -264,4 +298,5 @@ def packed(df: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1,
         if held:
             yield close()
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECES)
+    bears = F.lit(True) if loss is None else F.coalesce(loss.cast("boolean"), F.lit(False))
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), bears.alias("bears")).mapInArrow(run, PIECES)
