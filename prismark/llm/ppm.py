@@ -10,11 +10,13 @@ What a context has seen, its shorter ones have seen too, so the symbols left out
 and a symbol's probability depends only on the string of context and symbol. The trie is a set of tables of such strings
 and their counts, one table an order. All of the corpus is counted; no count is dropped or capped.
 
-Exchange: documents lie in blocks of about ``BLOCK_BYTES`` by a hash of their id. A block gives its distinct strings (and
-the hashes of its words, for the unigram base score) as sorted arrays, dealt over buckets by the string's hash. A bucket
-sums them over all blocks; tables of probabilities come from joins; a bucket sends each block the values for its strings,
-and the block scores its documents. So no model is broadcast or held whole by one task, and traffic is in proportion to
-blocks' distinct strings, not to the text.
+Exchange: a task's documents lie in blocks of about ``BLOCK_BYTES``, in the order they are read, so no id decides where a
+row goes. A block gives its distinct strings (and the hashes of its words, for the unigram base score) as sorted arrays,
+dealt over at most ``FAN`` parts by a digit of the strings' hash. At each level up to ``FAN`` blocks, or groups of them,
+are merged for each part and dealt on by the next digit, until one group is left, so a block and a level have at most
+``FAN`` rows however many blocks there are. The merged counts become tables of probabilities by joins; the values go back
+by the same levels, and each block scores its documents. So no model is broadcast or held whole by one task, and traffic
+is in proportion to blocks' distinct strings, not to the text.
 
 Defined results: null texts count as empty; an empty text has the end symbol only; equal texts have equal scores; rows
 that share an id each get a row; a null id is in fold 0, which is learned from; with nothing learned, symbols are
@@ -24,30 +26,28 @@ uniform over 257; other columns are ignored. Words are told apart by 63 bits of
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismark.llm.bpe import Kept
-from prismark.llm.common import fold, shared_dir, slices, written
+from prismark.llm.common import fold, remove, shared_dir, slices, written
+from prismark.llm.words import word_hashes
 
 ORDER = 5
 BITS = 9
 START, END, SYMBOLS = 257, 256, 257
 BLOCK_BYTES = 8 << 20
-#: Buckets for each block, as a share: a bucket's strings of all blocks are held by one task.
-BUCKETS_PER_BLOCK = 1 / 3
-LEAST_BUCKETS = 16
+#: Blocks that are merged at a time, and parts that strings are dealt over at a time.
+FAN = 128
+#: Most tasks of an exchange; beyond, a task has several blocks or groups, one after another.
+MOST_TASKS = 1 << 15
+LEAST_PARTS = 16
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_symbols long"
 
-#: Words are negative numbers, strings of symbols are not.
-word_number = Kept(lambda w: (xxhash.xxh3_64_intdigest(w) >> 1) - (1 << 63), 100_000)
-
-
 def zipped(a: np.ndarray) -> bytes:
     return np.int64(a.nbytes).tobytes() + pa.compress(a.tobytes(), codec="zstd", asbytes=True)
 
@@ -89,30 +89,45 @@ def strings(text: bytes, sizes: np.ndarray, order: int = ORDER) -> np.ndarray:
     return out[np.arange(len(own)) - own + np.repeat(ends - n, n - order)]
 
 
-def distinct(text: bytes, sizes: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct strings and words (``found``) of texts, in order, and how often each occurs. Holds one array."""
-    out, at, begin = np.empty(len(text) + len(sizes) + len(found), dtype=np.int64), 0, 0
-    for first, end in groups(sizes):
-        size = int(sizes[first:end].sum())
-        part = strings(text[begin : begin + size], sizes[first:end])
-        out[at : at + len(part)] = part
-        at, begin = at + len(part), begin + size
-    out[at:] = found
-    out.sort()
-    first = np.flatnonzero(np.concatenate([[True], out[1:] != out[:-1]]) if len(out) else [])
-    return out[first], np.diff(np.append(first, len(out)))
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")  # runs in order are merged
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else [])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def words(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of joined texts' words, and how many each text has. Words part at ASCII white space.
+def distinct(text: bytes, sizes: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings and words of joined texts, in order, and how often each occurs in texts that are not held out.
 
-    By runs of texts: words as objects take many times their bytes.
+    By pieces of about a megabyte, which are merged: the array of all strings would be eight times the text.
     """
+    parts, ends = [], np.concatenate([[0], np.cumsum(sizes)])
+    for first, end in groups(sizes, 1 << 20):
+        for out in (False, True):
+            some = first + np.flatnonzero(held[first:end] == out)
+            if len(some):
+                data = b"".join([text[ends[k] : ends[k + 1]] for k in some])
+                found, at = [words(data, sizes[some])[0]], 0
+                for i, j in groups(sizes[some]):
+                    size = int(sizes[some[i:j]].sum())
+                    found.append(strings(data[at : at + size], sizes[some[i:j]]))
+                    at += size
+                keys = np.concatenate(found)
+                keys.sort()
+                here = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                parts.append((keys[here], np.zeros(len(here), np.int64) if out else np.diff(np.append(here, len(keys)))))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+
+
+def words(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of joined texts' words, and how many each text has. Words are negative numbers, strings of symbols are not."""
     ends, n, out = np.cumsum(sizes).tolist(), np.zeros(len(sizes), dtype=np.int64), []
     for first, end in groups(sizes):
-        found = [text[ends[k - 1] if k else 0 : ends[k]].split() for k in range(first, end)]
-        n[first:end] = [len(x) for x in found]
-        out.append(np.fromiter(map(word_number.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(n[first:end].sum())))
+        h, n[first:end] = word_hashes([text[ends[k - 1] if k else 0 : ends[k]] for k in range(first, end)])
+        out.append((h | np.uint64(1 << 63)).view(np.int64))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int64), n
 
 
@@ -152,96 +167,114 @@ class Values:
         return out
 
 
-def placed(docs: DataFrame, blocks: int) -> DataFrame:
-    """``block, ids, held, sizes, text``: a task's documents of one block together, compressed."""
+def placed(docs: DataFrame) -> DataFrame:
+    """``block, ids, held, sizes, text``: a task's documents as they come, in blocks, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
-        size = 0
+        held: list[tuple] = []
+        size, block = 0, TaskContext.get().partitionId() << 32
 
         def give() -> pa.RecordBatch:
-            rows = []
-            for block, docs_in in held.items():
-                ids, out, data = zip(*docs_in, strict=True)
-                rows.append((block, list(ids), list(out), zipped(np.array([len(x) for x in data], dtype=np.int64)), zipped(np.frombuffer(b"".join(data), dtype=np.uint8))))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            ids, out, data = zip(*held, strict=True)
+            row = block, list(ids), list(out), zipped(np.array([len(x) for x in data], dtype=np.int64)), zipped(np.frombuffer(b"".join(data), dtype=np.uint8))
             held.clear()
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()), strict=True)], ["block", "ids", "held", "sizes", "text"])
+            return pa.record_batch([pa.array([c], k) for c, k in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()), strict=True)], ["block", "ids", "held", "sizes", "text"])
 
         for b in slices(batches):
-            for doc, out, block, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = (data or b"").lower()
-                held.setdefault(block, []).append((doc, out, data))
-                size += len(data)
-            if size >= 2 * BLOCK_BYTES:
+            for doc, out, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append((doc, out, (data or b"").lower()))
+                size += len(held[-1][2])
+            if size >= BLOCK_BYTES:
                 yield give()
-                size = 0
+                size, block = 0, block + 1
         if held:
             yield give()
 
-    block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(blocks))
-    return docs.select("doc_id", "held_out", block.alias("block"), "data").mapInArrow(run, "block long, ids array<long>, held array<boolean>, sizes binary, text binary")
+    return docs.select("doc_id", "held_out", "data").mapInArrow(run, "block long, ids array<long>, held array<boolean>, sizes binary, text binary")
 
 
-def opened(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, bytes]:
-    """A block's documents in the order of their ids: ids, held out or not, sizes, joined texts."""
-    rows = []
-    for r in table.to_batches():
-        for ids, held, sizes, text in zip(*(r.column(c) for c in ("ids", "held", "sizes", "text")), strict=True):
-            size, data = unzipped(sizes.as_py(), "<i8").tolist(), unzipped(text.as_py(), "u1").tobytes()
-            at = 0
-            for i, h, n in zip(ids.as_py(), held.as_py(), size, strict=True):
-                rows.append((i, h, data[at : at + n]))
-                at += n
-    rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
-    out = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=bool), np.array([len(r[2]) for r in rows], dtype=np.int64)
-    return *out, b"".join([r[2] for r in rows])
+def opened(batch: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray, bytes]:
+    """A block's documents: ids, held out or not, sizes, joined texts. batch has one row."""
+    ids, held, sizes, text = (batch.column(batch.schema.names.index(c))[0] for c in ("ids", "held", "sizes", "text"))
+    return ids.as_py(), np.array(held.as_py(), dtype=bool), unzipped(sizes.as_py(), "<i8"), unzipped(text.as_py(), "u1").tobytes()
 
 
-def counted(blocks: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, block, keys, counts``: a block's distinct strings and words; counts are of learned documents only."""
+def fans(blocks: int) -> list[int]:
+    """How many parts strings are dealt over at each level: at most ``FAN``, together about one for each block."""
+    out = []
+    while blocks > FAN:
+        out.append(FAN)
+        blocks = -(-blocks // FAN)
+    return [*out, max(LEAST_PARTS, blocks)]
 
-    def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        _, held, sizes, text = opened(table)
-        found: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
-        ends = np.cumsum(sizes)
-        for out in (False, True):  # learned documents, then those held out: these give strings without counts
-            some = np.flatnonzero(held == out)
-            part = b"".join([text[ends[k] - sizes[k] : ends[k]] for k in some])
-            found[out] = distinct(part, sizes[some], words(part, sizes[some])[0])
-        keys = np.union1d(found[False][0], found[True][0])
-        total = np.zeros(len(keys), dtype=np.int64)
-        total[np.searchsorted(keys, found[False][0])] = found[False][1]
-        bucket = bucket_of(keys, buckets)
-        rows = [(k, block, zipped_sorted(keys[bucket == k]), zipped(total[bucket == k])) for k in np.unique(bucket).tolist()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "counts"])
 
-    return blocks.groupBy("block").applyInArrow(run, "bucket long, block long, keys binary, counts binary")
+def digit_of(keys: np.ndarray, fan: list[int], level: int) -> np.ndarray:
+    """The part of each key at a level, by its hash."""
+    rest = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+    for f in fan[:level]:
+        rest = rest // np.uint64(f)
+    return (rest % np.uint64(fan[level])).astype(np.uint8)
+
+
+def dealt(keys: np.ndarray, fan: list[int], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted keys by part, stable, and where each part ends."""
+    digit = digit_of(keys, fan, level)
+    return np.argsort(digit, kind="stable"), np.cumsum(np.bincount(digit, minlength=fan[level]))
+
+
+PARTS = "place long, prefix long, member long, keys binary, counts binary"
+
 
+def parts_of(place: int, prefix: int, member: int, keys: np.ndarray, counts: np.ndarray, fan: list[int], level: int) -> pa.RecordBatch:
+    """A row of ``PARTS`` for each part of the keys that has any."""
+    order, ends = dealt(keys, fan, level)
+    keys, counts = keys[order], counts[order]
+    rows = [(place, prefix * fan[level] + k, member, zipped_sorted(keys[i:j]), zipped(counts[i:j])) for k, (i, j) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if j > i]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in PARTS.split(", ")])
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
+def counted(blocks: DataFrame, fan: list[int], places: int) -> DataFrame:
+    """The strings and words of each block, dealt for the first level; counts are of learned documents only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            block = b.column(0)[0].as_py()
+            _, held, sizes, text = opened(b)
+            keys, counts = distinct(text, sizes, held)
+            yield parts_of(xxhash.xxh3_64_intdigest(str(block)) % places, 0, block, keys, counts, fan, 0)
+
+    return blocks.mapInArrow(run, PARTS)
+
+
+def together(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """Dealt over a number of tasks that follows the blocks, not the session's settings."""
+    return df.repartition(tasks, *keys)
+
+
+def merged_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of a group's parts."""
+    return summed(np.concatenate([unzipped_sorted(x.as_py()) for x in table.column("keys")]), np.concatenate([unzipped(x.as_py(), "<i8") for x in table.column("counts")]))
 
-def summed(parts: DataFrame) -> DataFrame:
-    """``bucket, key, n``: counts over all blocks; strings and words that only held-out documents have count 0."""
+
+def merged(parts: DataFrame, fan: list[int], level: int, tasks: int) -> DataFrame:
+    """The sums of each place's parts, dealt on for the next level; at the last one ``bucket, key, n``."""
+    last = level == len(fan)
 
     def run(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([unzipped_sorted(x.as_py()) for x in table.column("keys")])
-        counts = np.concatenate([unzipped(x.as_py(), "<i8") for x in table.column("counts")])
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        del order
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return pa.table([pa.array(np.full(len(first), table.column("bucket")[0].as_py())), pa.array(keys[first]), pa.array(np.add.reduceat(counts, first))], names=["bucket", "key", "n"])
+        place, prefix = (table.column(c)[0].as_py() for c in ("place", "prefix"))
+        keys, counts = merged_keys(table)
+        if last:
+            return pa.table([pa.array(np.full(len(keys), prefix)), pa.array(keys), pa.array(counts)], names=["bucket", "key", "n"])
+        return pa.Table.from_batches([parts_of(place // FAN, prefix, place, keys, counts, fan, level)])
 
-    return parts.groupBy("bucket").applyInArrow(run, "bucket long, key long, n long")
+    return together(parts, tasks, "place", "prefix").groupBy("place", "prefix").applyInArrow(run, "bucket long, key long, n long" if last else PARTS)
 
 
 def probabilities(counts: DataFrame, path: str, order: int = ORDER) -> DataFrame:
     """``key, value``: log10 of each string's probability. counts: ``key, n`` for all strings, 0 for those not learned."""
     symbols = lambda c, n: F.col(c).bitwiseAND(F.lit((1 << BITS * n) - 1))
+    # Strings of two symbols are 258 * 257 at most, so such a table may be broadcast; longer ones are not.
+    side = lambda df, n: F.broadcast(df) if n <= 2 else df.hint("merge")
     nodes, contexts = {}, {}
     nodes[order] = counts.where("n > 0").select("key", "n")
     for o in range(order, -1, -1):
@@ -250,17 +283,17 @@ def probabilities(counts: DataFrame, path: str, order: int = ORDER) -> DataFrame
         contexts[o] = nodes[o].groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     for o in range(order, 0, -1):  # what a context's own symbols amount to in the next shorter one
         shorter = nodes[o - 1].select(F.col("key").alias("short"), F.col("n").alias("short_n"))
-        out = nodes[o].withColumn("short", symbols("key", o)).join(shorter, "short")
+        out = nodes[o].withColumn("short", symbols("key", o)).join(side(shorter, o), "short")
         out = out.groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum("short_n").alias("left_out"))
-        contexts[o] = written(contexts[o].join(out, "context"), f"{path}/contexts-{o}")
+        contexts[o] = written(contexts[o].join(side(out, o), "context"), f"{path}/contexts-{o}")
 
     def level(o: int, keys: DataFrame) -> DataFrame:
         """``key, value`` for strings whose symbol the context of order o + 1, if there is one, has not seen."""
         x = keys.select("key", symbols("key", o + 1).alias("node")).withColumn("context", F.shiftright("node", BITS))
-        x = x.join(nodes[o].toDF("node", "n"), "node", "left").join(contexts[o].select("context", "total", "kinds"), "context", "left")
+        x = x.join(side(nodes[o].toDF("node", "n"), o + 1), "node", "left").join(side(contexts[o].select("context", "total", "kinds"), o), "context", "left")
         if o < order:
             longer = contexts[o + 1].select(F.col("context").alias("longer"), F.col("kinds").alias("longer_kinds"), "left_out")
-            x = x.withColumn("longer", F.shiftright("key", BITS)).join(longer, "longer", "left")
+            x = x.withColumn("longer", F.shiftright("key", BITS)).join(side(longer, o + 1), "longer", "left")
         else:
             x = x.withColumns({"longer_kinds": F.lit(0), "left_out": F.lit(0)})
         kinds = F.coalesce("kinds", F.lit(0)) - F.coalesce("longer_kinds", F.lit(0))
@@ -271,7 +304,7 @@ def probabilities(counts: DataFrame, path: str, order: int = ORDER) -> DataFrame
         miss = x.where("n is null")
         if o:
             lower = level(o - 1, miss.select(F.col("node").alias("key")).distinct())
-            missed = miss.join(lower.toDF("node", "rest"), "node").select("key", (escape + F.col("rest")).alias("value"))
+            missed = miss.join(side(lower.toDF("node", "rest"), o + 1), "node").select("key", (escape + F.col("rest")).alias("value"))
         else:
             missed = miss.select("key", (escape - F.log10(F.lit(SYMBOLS) - F.col("seen"))).alias("value"))
         return hit.union(missed)
@@ -279,48 +312,72 @@ def probabilities(counts: DataFrame, path: str, order: int = ORDER) -> DataFrame
     return written(level(order, counts.select("key")), f"{path}/values")
 
 
-def sent(parts: DataFrame, values: DataFrame) -> DataFrame:
-    """``block, bucket, values``: for each block the values of its strings and words, in their order.
+VALUES = "place long, prefix long, digit int, values binary"
+
+
+def valued(keys: np.ndarray, table: pa.Table, fan: list[int], level: int) -> np.ndarray:
+    """The values of sorted keys from those of their parts."""
+    order, ends = dealt(keys, fan, level)
+    starts, out = np.concatenate([[0], ends[:-1]]), np.empty(len(keys))
+    for k, part in zip(table.column("digit").to_pylist(), table.column("values"), strict=True):
+        out[order[starts[k] : ends[k]]] = unzipped(part.as_py(), "<f8")
+    return out
 
-    The block knows its strings from its texts, so they don't travel back.
+
+def returned(parts: DataFrame, values: DataFrame, fan: list[int], level: int, tasks: int) -> DataFrame:
+    """``VALUES`` for the members that gave ``parts`` to a level, in the order of each one's strings.
+
+    A member knows its strings, so they don't travel back. values: of the level after this, at the last ``bucket, key, value``.
     """
+    last = level == len(fan)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, value = (right.column(c).to_numpy() for c in ("key", "value"))
-        order = np.argsort(keys)
-        keys, value = keys[order], value[order]
-        rows = [tuple(x) for x in zip(left.column("block").to_pylist(), left.column("bucket").to_pylist(), (zipped(value[np.searchsorted(keys, unzipped_sorted(k.as_py()))]) for k in left.column("keys")), strict=True)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "bucket", "values"])
+        if last:
+            keys, value = (right.column(c).to_numpy() for c in ("key", "value"))
+            order = np.argsort(keys)
+            keys, value = keys[order], value[order]
+        else:
+            keys, _ = merged_keys(left)
+            value = valued(keys, right, fan, level)
+        prefix = left.column("prefix").to_numpy()
+        found = [zipped(value[np.searchsorted(keys, unzipped_sorted(k.as_py()))]) for k in left.column("keys")]
+        return pa.table([left.column("member"), pa.array(prefix // fan[level - 1]), pa.array((prefix % fan[level - 1]).astype(np.int32)), pa.array(found, pa.binary())], names=[x.split()[0] for x in VALUES.split(", ")])
 
-    return parts.select("bucket", "block", "keys").groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(run, "block long, bucket long, values binary")
+    if last:
+        return together(parts, tasks, "prefix").groupBy("prefix").cogroup(together(values, tasks, "bucket").groupBy("bucket")).applyInArrow(run, VALUES)
+    return together(parts, tasks, "place", "prefix").groupBy("place", "prefix").cogroup(together(values, tasks, "place", "prefix").groupBy("place", "prefix")).applyInArrow(run, VALUES)
 
 
 def scored(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's log10 probability and unigram base score, learned from the documents that are not held out."""
-    path = shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    path = shared_dir(spark)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("string").cast("binary").alias("data"))
     size, ends = docs.agg(F.sum(F.coalesce(F.octet_length("data"), F.lit(0)) + 1), F.sum(F.when(F.col("held_out"), 0).otherwise(1))).first()
-    blocks = max(1, -(-(size or 0) // BLOCK_BYTES))
-    buckets = max(LEAST_BUCKETS, round(blocks * BUCKETS_PER_BLOCK))
-    laid = placed(docs, blocks)
-    parts = written(counted(laid, buckets), f"{path}/parts", compression="uncompressed")
-    counts = written(summed(parts), f"{path}/counts")
+    # Many small partitions would be as many small blocks.
+    few = max(-(-(size or 0) // BLOCK_BYTES), spark.sparkContext.defaultParallelism)
+    laid = written(placed(docs.coalesce(few)), f"{path}/laid", compression="uncompressed")
+    blocks = max(1, laid.count())
+    fan, tasks, places = fans(blocks), min(MOST_TASKS, 2 * blocks), [-(-blocks // FAN)]
+    parts = [written(counted(laid, fan, places[0]), f"{path}/parts-1", compression="uncompressed")]
+    for level in range(1, len(fan)):
+        parts.append(written(merged(parts[-1], fan, level, tasks), f"{path}/parts-{level + 1}", compression="uncompressed"))
+    counts = written(merged(parts[-1], fan, len(fan), tasks), f"{path}/counts")
     found, kinds = counts.where("key < 0 and n > 0").agg(F.sum("n"), F.count("*")).first()
     ends = ends or 0
     total, kinds = (found or 0) + ends, kinds + (1 if ends else 0)
-    values = probabilities(counts.where("key >= 0"), path).join(counts.where("key >= 0").select("key", "bucket"), "key").select("bucket", "key", "value")
-    values = written(values.union(counts.where("key < 0").select("bucket", "key", F.col("n").cast("double"))), f"{path}/sent")
+    values = probabilities(counts.where("key >= 0"), f"{path}/trie").join(counts.where("key >= 0").select("key", "bucket"), "key").select("bucket", "key", "value")
+    values = written(values.union(counts.where("key < 0").select("bucket", "key", F.col("n").cast("double"))), f"{path}/values")
+    remove(spark, f"{path}/trie")
+    for level in range(len(fan), 0, -1):
+        values = returned(parts[level - 1], values, fan, level, tasks)
     share = total + kinds + 1
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, held, sizes, data = opened(left)
+        ids, held, sizes, data = opened(left.to_batches()[0])
         numbers, n = words(data, sizes)
-        keys, _ = distinct(data, sizes, numbers)
-        bucket, value = bucket_of(keys, buckets), np.empty(len(keys))
-        for k, part in zip(right.column("bucket").to_pylist(), right.column("values"), strict=True):
-            value[bucket == k] = unzipped(part.as_py(), "<f8")
-        known_values = Values(keys, value)
+        keys, _ = distinct(data, sizes, held)
+        known_values = Values(keys, valued(keys, right, fan, 0))
         score, begin = np.zeros(len(ids)), 0
         for first, end in groups(sizes):
             size = sizes[first:end]
@@ -334,7 +391,7 @@ def scored(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
         cols = [(ids, pa.int64()), (held, pa.bool_()), (n + 1, pa.int64()), (known, pa.int64()), (np.full(len(ids), total), pa.int64()), (base, pa.float64()), (score, pa.float64()), (sizes + 1, pa.int64())]
         return pa.table([pa.array(c, k) for c, k in cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return laid.groupBy("block").cogroup(sent(parts, values).groupBy("block")).applyInArrow(run, SCHEMA)
+    return together(laid, tasks, "block").groupBy("block").cogroup(together(values, tasks, "place").groupBy("place")).applyInArrow(run, SCHEMA)
 
 
 def held_out_by(n: int = 7, rest: int = 2, key: str = "doc_id"):

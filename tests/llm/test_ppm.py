@@ -92,3 +92,26 @@ def test_values_table():
     values = rng.random(len(keys))
     some = rng.integers(0, len(keys), 20_000)
     assert (ppm.Values(keys, values).of(keys[some]) == values[some]).all()
+
+
+def test_fans():
+    assert ppm.fans(1) == [ppm.LEAST_PARTS] and ppm.fans(128) == [128] and ppm.fans(129) == [128, 16]
+    assert ppm.fans(6000) == [128, 47] and ppm.fans(12_000_000) == [128, 128, 128, 16]
+    keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
+    places = [tuple(int(ppm.digit_of(keys[k : k + 1], [3, 2, 4], level)[0]) for level in range(3)) for k in range(0, 5000, 50)]
+    assert len(set(places)) > 20
+
+
+def test_several_levels(spark, monkeypatch):
+    """Many blocks of documents, merged two at a time over four levels; hot and null ids are rows like others."""
+    monkeypatch.setattr(ppm, "FAN", 2)
+    monkeypatch.setattr(ppm, "LEAST_PARTS", 2)
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 64)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["ab", "Abra", "cad", "abr", "x"], rng.integers(0, 30))) for _ in range(45)]
+    ids = [7 if k < 15 else None if k < 20 else k for k in range(45)]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i in ids]
+    assert any(held) and not all(held)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(9)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 8), round(r.score, 8)) for r in ppm.scored(df, ppm.held_out_by()).collect())
+    assert got == sorted((-1 if i is None else i, *w[:3], round(w[3], 8), round(w[4], 8)) for i, w in zip(ids, brute(texts, held), strict=True))
