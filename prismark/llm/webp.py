@@ -3,8 +3,14 @@
 The decoder reads the whole lossless format: simple and normal prefix codes, several groups of codes by an entropy image,
 back-references with the two-dimensional distance codes, the colour cache, and the four transforms (predictor,
 cross-colour, subtract-green, palette with bundled pixels). Work goes by arrays, not by symbols: the symbol that would
-start at every bit of a block is looked up at once, and only the chain from pixel to pixel is followed one by one.
-Images with several groups of codes, which are read symbol by symbol, are the slower case.
+start at every bit of a block is looked up at once, for each group of codes, and only the chain from pixel to pixel is
+followed one by one. Back-references and cached colours are then resolved together, as pointers to earlier pixels.
+
+The encoder chooses by estimated bits, for each picture: a transform of the pixels (none, a palette, subtract-green, a
+predictor, cross-colour multipliers), earlier pixels to refer back to, the size of the colour cache or none, and one or two
+groups of codes; what estimates find likely is encoded, and the smallest file is kept. ``features`` tells what a file uses. On bytes of text the cache and
+back-references pay; neighbouring bytes don't predict each other as those of photographs do, so transforms are hardly
+ever the smallest there.
 
 Payload layout: four bytes are a pixel (red, green, blue, alpha), 144 pixels are a row, so 576 bytes are a row. Beyond
 16384 rows a picture is wider; its last row may then go beyond the payload, whose size follows from ``n_bytes``. Beyond
@@ -16,18 +22,17 @@ a damaged stream raises ``ValueError``; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-import heapq
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prismark.llm.common import shared_dir, slices, written
 
@@ -39,6 +44,10 @@ SIDE = 1 << 14
 BLOCK_BITS = 1 << 17
 #: Longest code the encoder makes; the format allows 15.
 LONGEST = 12
+#: Groups of codes up to which a picture is read at once; with more, symbol by symbol.
+MOST_AT_ONCE = 4
+#: Pixels of the shortest and longest back-reference that the encoder makes.
+LEAST_MATCH, LONGEST_MATCH = 3, 4096
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 
 # Fixed values of the format: the order of the code length code, and the neighbours that the first 120 distances name.
@@ -82,6 +91,10 @@ class BitWriter:
     def put(self, value: int, bits: int) -> None:
         self.small.append((value, bits))
 
+    def put_long(self, value: int, bits: int) -> None:
+        """A piece of any size."""
+        self.put_all(*words_of(value, bits))
+
     def flush(self) -> None:
         if self.small:
             v, n = zip(*self.small, strict=True)
@@ -99,40 +112,65 @@ class BitWriter:
         self.flush()
         v, n = np.concatenate(self.values), np.concatenate(self.sizes)
         ends = np.cumsum(n)
-        total, starts = int(ends[-1]), ends - n
-        word, shift = starts >> 5, (starts & 31).astype(np.uint64)
-        out = np.zeros((total >> 5) + 4, dtype=np.float64)
-        low = (v << shift) & np.uint64(0xFFFFFFFF)  # bits of different pieces never meet, so sums are unions
-        rest = np.where(shift > 0, v >> (np.uint64(32) - shift), v >> np.uint64(32))
-        for k, part in enumerate((low, rest & np.uint64(0xFFFFFFFF), rest >> np.uint64(32))):
-            out += np.bincount(word + k, weights=part.astype(np.float64), minlength=len(out))
-        return out.astype(np.uint32).tobytes()[: ceil_div(total, 8)]
+        return joined(v, ends - n, int(ends[-1])).tobytes()[: ceil_div(int(ends[-1]), 8)]
+
+
+def words_of(value: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A long piece as pieces of 32 bits."""
+    n = ceil_div(bits, 32)
+    sizes = np.full(n, 32, dtype=np.int64)
+    sizes[-1:] -= 32 * n - bits
+    return np.frombuffer(value.to_bytes(4 * n, "little"), dtype="<u4").astype(np.uint64), sizes
+
+
+def joined(v: np.ndarray, starts: np.ndarray, total: int) -> np.ndarray:
+    """Words of 32 bits with pieces of at most 62 bits at their places."""
+    word, shift = starts >> 5, (starts & 31).astype(np.uint64)
+    out = np.zeros((total >> 5) + 4, dtype=np.float64)
+    low = (v << shift) & np.uint64(0xFFFFFFFF)  # bits of different pieces never meet, so sums are unions
+    rest = np.where(shift > 0, v >> (np.uint64(32) - shift), v >> np.uint64(32))
+    for k, part in enumerate((low, rest & np.uint64(0xFFFFFFFF), rest >> np.uint64(32))):
+        out += np.bincount(word + k, weights=part.astype(np.float64), minlength=len(out))
+    return out.astype(np.uint32)
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     """Lengths of a prefix code for the counts, at most ``longest`` bits; small counts are raised until it fits."""
     out = np.zeros(len(counts), dtype=np.int64)
     used = np.flatnonzero(counts)
-    if len(used) < 2:
+    n = len(used)
+    if n < 2:
         out[used] = 1
         return out
-    weights = counts[used].tolist()
+    used = used[np.argsort(counts[used], kind="stable")]
+    sorted_weights = counts[used]
     floor = 1
     while True:
-        heap = [(max(w, floor), i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent, n = [0] * (2 * len(weights)), len(weights)
-        while len(heap) > 1:
-            a, i = heapq.heappop(heap)
-            b, j = heap[0]
-            parent[i] = parent[j] = n
-            heapq.heapreplace(heap, (a + b, n))
-            n += 1
-        depth = [0] * n
-        for i in range(n - 2, -1, -1):
+        # Leaves in order, then the nodes made of them, which come in order as well: the next is at either one's front.
+        weights = np.maximum(sorted_weights, floor).tolist()
+        weights.append(1 << 62)
+        made: list[int] = []
+        parent = [0] * (2 * n - 1)
+        leaf, node, key = 0, 0, n
+        for _ in range(n - 1):
+            total = 0
+            for _ in (0, 1):
+                if node < key - n and made[node] < weights[leaf]:
+                    total += made[node]
+                    parent[n + node] = key
+                    node += 1
+                else:
+                    total += weights[leaf]
+                    parent[leaf] = key
+                    leaf += 1
+            made.append(total)
+            key += 1
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, n - 1, -1):
             depth[i] = depth[parent[i]] + 1
-        if max(depth[: len(weights)]) <= longest:
-            out[used] = depth[: len(weights)]
+        found = np.array(depth, dtype=np.int64)[np.array(parent[:n])] + 1
+        if found.max() <= longest:
+            out[used] = found
             return out
         floor *= 2
 
@@ -166,39 +204,39 @@ class Code:
 
 def put_code(w: BitWriter, counts: np.ndarray) -> Code:
     """Writes a prefix code and returns it."""
-    small, code = code_of(counts.astype(np.int64).tobytes())
-    w.small += small
+    value, bits, code = code_of(counts.astype(np.int64).tobytes())
+    w.put_long(value, bits)
     return code
 
 
 @lru_cache(maxsize=8)
-def code_of(key: bytes) -> tuple[tuple, Code]:
-    """A code for the counts and the pieces that tell it; channels with equal counts share one."""
-    counts, w = np.frombuffer(key, dtype=np.int64), BitWriter()
+def code_of(key: bytes) -> tuple[int, int, Code]:
+    """A code for the counts, and what tells it as one number and its bits; channels with equal counts share one."""
+    counts, value, at = np.frombuffer(key, dtype=np.int64), 0, 0
+
+    def put(x: int, bits: int) -> None:
+        nonlocal value, at
+        value |= x << at
+        at += bits
+
     used = np.flatnonzero(counts)
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
         symbols = used.tolist() or [0]
-        w.put(1, 1)
-        w.put(len(symbols) - 1, 1)
-        w.put(int(symbols[0] > 1), 1)
-        w.put(symbols[0], 8 if symbols[0] > 1 else 1)
+        put(1, 1)
+        put(len(symbols) - 1, 1)
+        put(int(symbols[0] > 1), 1)
+        put(symbols[0], 8 if symbols[0] > 1 else 1)
         if len(symbols) == 2:
-            w.put(symbols[1], 8)
+            put(symbols[1], 8)
         sizes, bits = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
         if len(symbols) == 2:
             sizes[symbols], bits[symbols[1]] = 1, 1
-        return tuple(w.small), Code(bits, sizes)
+        return value, at, Code(bits, sizes)
     lengths = code_lengths(counts)
-    w.put(0, 1)
     runs: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    values = lengths.tolist()
-    i, before = 0, 8
-    while i < len(values):
-        x, j = values[i], i
-        while j < len(values) and values[j] == x:
-            j += 1
-        n = j - i
-        i = j
+    before = 8
+    for x, same in groupby(lengths.tolist()):
+        n = len(list(same))
         if x == 0:
             while n >= 3:
                 m = min(n, 138)
@@ -212,95 +250,312 @@ def code_of(key: bytes) -> tuple[tuple, Code]:
                 m = min(n, 6)
                 runs.append((16, m - 3, 2))
                 n -= m
-        runs += [(x, 0, 0)] * n
+        if n:
+            runs += [(x, 0, 0)] * n
     outer = code_lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
-    order = [int(outer[s]) for s in LENGTH_ORDER]
-    n = max(4, max((k + 1 for k, x in enumerate(order) if x), default=4))
-    w.put(n - 4, 4)
-    for x in order[:n]:
-        w.put(x, 3)
-    w.put(0, 1)  # as many lengths as symbols
-    bits, single = canonical(outer).tolist(), np.count_nonzero(outer) == 1
-    for s, extra, size in runs:
-        if not single:
-            w.put(bits[s], int(outer[s]))
-        if size:
-            w.put(extra, size)
+    sizes, bits = outer.tolist(), canonical(outer).tolist()
+    order = [sizes[s] for s in LENGTH_ORDER]
+    told = max(4, max((k + 1 for k, x in enumerate(order) if x), default=4))
+    put(0, 1)
+    put(told - 4, 4)
+    for x in order[:told]:
+        put(x, 3)
+    put(0, 1)  # as many lengths as symbols
+    if sum(x > 0 for x in sizes) == 1:
+        sizes, bits = [0] * 19, [0] * 19
+    for s, extra, more in runs:
+        value |= (bits[s] | extra << sizes[s]) << at
+        at += sizes[s] + more
     if np.count_nonzero(lengths) == 1:
-        return tuple(w.small), Code(np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64))
-    return tuple(w.small), Code(canonical(lengths), lengths)
+        return value, at, Code(np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64))
+    return value, at, Code(canonical(lengths), lengths)
+
 
+def prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``prefix_of`` for an array: prefix symbols, numbers of extra bits, their values."""
+    v = values.astype(np.int64) - 1
+    high = np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1
+    extra = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + (v >> extra & 1)), extra, np.where(v < 4, 0, v & ((1 << extra) - 1))
 
-def put_image(w: BitWriter, argb: np.ndarray, main: bool, cache_bits: int = 0, run: int = 6, shared: bool = False) -> None:
-    """Pixels in reading order: runs of one pixel as back-references, known pixels by the cache, others as literals."""
-    n = len(argb)
+
+@lru_cache(maxsize=16)
+def names_of(width: int) -> dict[int, int]:
+    """Distance -> the first of the 120 codes that names it in a picture of this width."""
+    out: dict[int, int] = {}
+    for code in range(1, 121):
+        out.setdefault(distance_of(code, width), code)
+    return out
+
+
+def earlier(keys: np.ndarray) -> np.ndarray:
+    """For each place the last earlier one with an equal key, -1 where there is none."""
+    order, out = np.argsort(keys, kind="stable"), np.full(len(keys), -1, dtype=np.int64)
+    same = keys[order[1:]] == keys[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def matches(argb: np.ndarray, starts: np.ndarray | None = None, least: int = LEAST_MATCH) -> np.ndarray:
+    """Back-references (place, length, distance) from left to right, each to the last place with the same ``least`` pixels.
+
+    starts: where pictures begin, if there are several one after another; none refers to another picture.
+    """
+    n, starts = len(argb) - least + 1, np.zeros(1, np.int64) if starts is None else starts
+    out: list[tuple[int, int, int]] = []
+    if n >= 2:
+        picture = np.searchsorted(starts, np.arange(len(argb)), side="right")
+        ends = np.append(starts[1:], len(argb))
+        key = picture[:n].astype(np.uint64)
+        for k in range(least):
+            key = (key ^ argb[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        before = earlier(key)
+        some = np.flatnonzero(before >= 0)
+        some = some[(picture[some] == picture[some + least - 1]) & (picture[before[some]] == picture[some])]
+        for k in range(least):  # equal hashes are not enough
+            some = some[argb[some + k] == argb[before[some] + k]]
+        # Where the next place's reference goes on with this one's, a match is as long as that run of places.
+        follows = np.append((some[1:] == some[:-1] + 1) & (before[some[1:]] == before[some[:-1]] + 1), False)
+        last = np.flatnonzero(~follows)
+        run = some[last[np.searchsorted(last, np.arange(len(some)))]] - some + least
+        free = 0
+        for i, j, m, end in zip(some.tolist(), before[some].tolist(), run.tolist(), ends[picture[some] - 1].tolist(), strict=True):
+            if i >= free and end - i >= least:
+                m = min(m, LONGEST_MATCH, end - i)
+                out.append((i, m, i - j))
+                free = i + m
+    return np.array(out, dtype=np.int64).reshape(-1, 3)
+
+
+def literals(n: int, copies: np.ndarray) -> np.ndarray:
+    """The places of pixels that no back-reference covers."""
+    change = np.zeros(n + 1, dtype=np.int8)
+    change[copies[:, 0]] += 1
+    np.subtract.at(change, copies[:, 0] + copies[:, 1], 1)
+    return np.flatnonzero(np.cumsum(change[:-1], dtype=np.int8) == 0)
+
+
+def slots_of(argb: np.ndarray, cache_bits: int) -> np.ndarray:
+    return argb * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)
+
+
+def cached(argb: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Which pixels are in the colour cache when their turn comes."""
+    before = earlier(slots_of(argb, cache_bits))
+    return (before >= 0) & (argb[before] == argb)
+
+
+def put_image(w: BitWriter, argb: np.ndarray, main: bool, cache_bits: int = 0, width: int = 0, groups: np.ndarray | None = None, group_bits: int = 0, shared: bool = False, copies: np.ndarray | None = None) -> None:
+    """Pixels in reading order: repeated ones as back-references, known ones by the cache, others as literals.
+
+    groups: the group of codes for each block of 2^group_bits pixels square; width is that of the picture.
+    """
+    n, copies = len(argb), matches(argb) if copies is None else copies
     w.put(int(cache_bits > 0), 1)
     if cache_bits:
         w.put(cache_bits, 4)
     if main:
-        w.put(0, 1)  # one group of codes
-    fresh = np.ones(n, dtype=bool)
-    fresh[1:] = argb[1:] != argb[:-1]
-    begins = np.flatnonzero(fresh)
-    ends = np.append(begins[1:], n)
-    literal = np.ones(n, dtype=bool)
-    copies: list[tuple[int, int]] = []
-    for k in np.flatnonzero(ends - begins > run):
-        at, end = int(begins[k]) + 1, int(ends[k])
-        literal[at:end] = False
-        while at < end:
-            m = min(end - at, 4096)
-            copies.append((at, m))
-            at += m
-    places = np.flatnonzero(literal)
+        w.put(int(groups is not None), 1)
+        if groups is not None:
+            w.put(group_bits - 2, 3)
+            put_image(w, np.uint32(0xFF000000) | groups.ravel().astype(np.uint32) << np.uint32(8), False, width=groups.shape[1])
+    places = literals(n, copies)
     pixels = argb[places].astype(np.int64)
     green, red, blue, alpha = ((pixels >> s) & 255 for s in (8, 16, 0, 24))
-    hit = np.zeros(len(places), dtype=bool)
+    plain = np.ones(len(places), dtype=bool)
     if cache_bits:
-        # A copied pixel equals the one before it, so it changes nothing in the cache.
-        slots = ((pixels * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)).tolist()
-        cache: dict[int, int] = {}
-        for k, (s, p) in enumerate(zip(slots, pixels.tolist(), strict=True)):
-            hit[k] = cache.get(s, 0) == p
-            cache[s] = p
-        green = np.where(hit, 280 + np.array(slots, dtype=np.int64), green)
-    plain = ~hit
-    lengths = [prefix_of(m) for _, m in copies]
-    counts = np.bincount(green, minlength=280 + (1 << cache_bits if cache_bits else 0)) + np.bincount([256 + p for p, _, _ in lengths], minlength=280 + (1 << cache_bits if cache_bits else 0)).astype(np.int64)
-    if shared:  # one code for the four channels
-        every = np.bincount(np.concatenate([c[plain] for c in (green, red, blue, alpha)]), minlength=256)
-        counts[:256] = every
-        g = put_code(w, counts)
-        r, b, a = (put_code(w, every) for _ in range(3))
-    else:
-        g = put_code(w, counts)
-        r, b, a = (put_code(w, np.bincount(c[plain], minlength=256)) for c in (red, blue, alpha))
-    distance = prefix_of(2)  # the second named neighbour: the pixel to the left
-    d = put_code(w, np.bincount([distance[0]], minlength=40) if copies else np.zeros(40, np.int64))
-    value, size = g.bits[green], g.sizes[green]
-    for code, c in ((r, red), (b, blue), (a, alpha)):
-        value = value | np.where(plain, code.bits[c], 0) << size
-        size = size + np.where(plain, code.sizes[c], 0)
-    if copies:
-        v, s = [], []
-        for p, extra, low in lengths:
-            x, z = int(g.bits[256 + p]), int(g.sizes[256 + p])
-            x |= low << z
-            z += extra
-            v.append(x | int(d.bits[distance[0]]) << z)
-            s.append(z + int(d.sizes[distance[0]]))
-        at = np.concatenate([places, [x for x, _ in copies]])
-        order = np.argsort(at, kind="stable")
+        plain = ~cached(argb, cache_bits)[places]
+        green = np.where(plain, green, 280 + slots_of(argb, cache_bits)[places].astype(np.int64))
+    at, length, back = copies.T
+    name = names_of(width or n)
+    p, p_extra, p_low = prefixes(length)
+    q, q_extra, q_low = prefixes(np.array([name.get(x, x + 120) for x in back.tolist()], dtype=np.int64))
+    whole = np.zeros(n, dtype=np.int64) if groups is None else spread(groups, group_bits, (ceil_div(n, width), width)).ravel()[:n].astype(np.int64)
+    of_literal, of_copy = whole[places], whole[at]
+    alphabet = 280 + (1 << cache_bits if cache_bits else 0)
+    value, size = np.zeros(len(places), dtype=np.int64), np.zeros(len(places), dtype=np.int64)
+    v, s = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    for group in range(int(whole.max()) + 1 if groups is not None else 1):
+        mine, ours = (slice(None), slice(None)) if groups is None else (of_literal == group, of_copy == group)
+        known = plain[mine]
+        counts = np.bincount(green[mine], minlength=alphabet) + np.bincount(256 + p[ours], minlength=alphabet)
+        if shared:  # red, blue and alpha have one code
+            every = np.bincount(np.concatenate([c[mine][known] for c in (red, blue, alpha)]), minlength=256)
+            codes = [put_code(w, counts), *(put_code(w, every) for _ in range(3))]
+        else:
+            codes = [put_code(w, counts), *(put_code(w, np.bincount(c[mine][known], minlength=256)) for c in (red, blue, alpha))]
+        d = put_code(w, np.bincount(q[ours], minlength=40))
+        x, z = codes[0].bits[green[mine]], codes[0].sizes[green[mine]]
+        for code, c in zip(codes[1:], (red, blue, alpha), strict=True):
+            c = c[mine]
+            x = x | np.where(known, code.bits[c], 0) << z
+            z = z + np.where(known, code.sizes[c], 0)
+        value[mine], size[mine] = x, z
+        x, z = codes[0].bits[256 + p[ours]], codes[0].sizes[256 + p[ours]]
+        for bits, more in ((p_low[ours], p_extra[ours]), (d.bits[q[ours]], d.sizes[q[ours]]), (q_low[ours], q_extra[ours])):
+            x, z = x | bits << z, z + more
+        v[ours], s[ours] = x, z
+    if len(at):
+        order = np.argsort(np.concatenate([places, at]), kind="stable")
         value, size = np.concatenate([value, v])[order], np.concatenate([size, s])[order]
     w.put_all(value, size)
 
 
-def encode(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, run: int = 6, shared: bool = False) -> bytes:
+#: Bits that a code takes, on average, to tell a symbol's length.
+TOLD = 3.5
+#: Bits of the colour cache that the encoder chooses by itself.
+CACHE_BITS = 6
+#: Blocks that an entropy image has its groups for, and what a second group has to save: it costs time as well.
+GROUP_BITS, LEAST_SAVING = 4, 0.03
+
+
+def bits_of(counts: np.ndarray) -> np.ndarray:
+    """Estimated bits of codes and of the symbols in them, for counts in the last axis."""
+    c = counts.astype(np.float64)
+    total = c.sum(axis=-1)
+    known = np.log2(c, out=np.zeros_like(c), where=c > 0)
+    return total * np.log2(np.maximum(total, 1)) - (c * known).sum(axis=-1) + TOLD * np.count_nonzero(counts, axis=-1)
+
+
+def mixed(images: list[np.ndarray]) -> list[bool]:
+    """Whether blocks of a picture differ so much in the classes of their bytes (their upper four bits) that groups may pay."""
+    width, rows = images[0].shape[1], np.array([len(x) for x in images])
+    wide = ceil_div(width, 1 << GROUP_BITS)
+    high = (rows + (1 << GROUP_BITS) - 1) >> GROUP_BITS
+    of, first = np.repeat(np.arange(len(images)), rows), np.cumsum(rows) - rows
+    start = np.cumsum(high * wide) - high * wide
+    y = np.arange(int(rows.sum())) - first[of]
+    block = (start[of] + (y >> GROUP_BITS) * wide)[:, None] + (np.arange(width) >> GROUP_BITS)
+    c = np.concatenate(images).view(np.uint8).reshape(-1, width, 4)
+    counts = np.bincount((block[:, :, None] * 16 + (c >> 4)).ravel(), minlength=int((high * wide).sum()) * 16).reshape(-1, 16).astype(np.float64)
+    total = np.add.reduceat(counts, start, axis=0)
+    size = total.sum(axis=1)
+    plogp = lambda x: (x * np.log2(x, out=np.zeros_like(x), where=x > 0)).sum(axis=1)
+    own = counts.sum(axis=1)
+    inside = np.add.reduceat(own * np.log2(np.maximum(own, 1)) - plogp(counts), start)
+    gain = size * np.log2(np.maximum(size, 1)) - plogp(total) - inside
+    return (gain > np.maximum(LEAST_SAVING * 5 * size, 1000)).tolist()
+
+
+def histograms(of: np.ndarray, symbols: np.ndarray, pictures: int, size: int) -> np.ndarray:
+    """(pictures, size) counts of symbols."""
+    return np.bincount(of * size + symbols, minlength=pictures * size).reshape(pictures, size)
+
+
+def by_cache(argb: np.ndarray, of: np.ndarray, places: np.ndarray, pictures: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pictures are estimated to take fewer bits with a cache, and which literal places are then in it."""
+    own, c = of[places], argb[places].view(np.uint8).reshape(-1, 4)
+    slots = slots_of(argb, CACHE_BITS)
+    key = of << CACHE_BITS | slots
+    before = earlier(key.astype(np.uint16) if pictures <= 1 << 16 - CACHE_BITS else key)
+    hit = ((before >= 0) & (argb[before] == argb))[places]
+
+    def price(some: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        o, d = own[some], c[some]
+        return histograms(o, d[:, 1], pictures, 256), sum(histograms(o, d[:, k], pictures, 256) for k in (0, 2, 3))
+
+    green, rest = price(slice(None))
+    without = bits_of(green) + bits_of(rest)
+    green, rest = price(~hit)
+    known = histograms(own[hit], slots[places[hit]].astype(np.int64), pictures, 1 << CACHE_BITS)
+    use = bits_of(np.concatenate([green, known], axis=1)) + bits_of(rest) < without
+    return use, hit & use[own]
+
+
+def groups_for(argb: np.ndarray, width: int, copies: np.ndarray) -> np.ndarray | None:
+    """Two groups of codes by block, or None: blocks go to the nearer of two distributions of bytes, which are then theirs."""
+    places = literals(len(argb), copies)
+    wide = ceil_div(width, 1 << GROUP_BITS)
+    block = (places // width >> GROUP_BITS) * wide + (places % width >> GROUP_BITS)
+    n = ceil_div(ceil_div(len(argb), width), 1 << GROUP_BITS) * wide
+    counts = histograms(np.repeat(block, 4), argb[places].view(np.uint8), n, 256)
+    total, size = counts.sum(axis=0), counts.sum(axis=1)
+    own = -(counts @ np.log2((total + 1) / (total.sum() + 256)))  # what each block costs with the code of all
+    side = np.zeros(n, dtype=bool)
+    side[np.argmax(np.where(size, own / np.maximum(size, 1), 0))] = True
+    for _ in range(3):
+        logs = np.stack([np.log2((counts[side == k].sum(axis=0) + 0.5) / (counts[side == k].sum() + 128)) for k in (False, True)], axis=1)
+        price = -(counts @ logs)
+        side = price[:, 1] < price[:, 0]
+        if side.all() or not side.any():
+            return None
+    both = np.stack([counts[~side].sum(axis=0), counts[side].sum(axis=0)])
+    best = float(bits_of(total))
+    saved = best - float(bits_of(both).sum()) - TOLD * np.count_nonzero(both.min(axis=0)) - n - 100
+    return side.astype(np.int64).reshape(-1, wide) if saved >= LEAST_SAVING * best else None
+
+
+def transforms_for(images: list[np.ndarray]) -> list[tuple]:
+    """The transforms that are estimated to save most for each picture of one width; mostly none, on text.
+
+    The estimate looks at every fourth pixel of every row. One mode or multiplier serves a picture.
+    """
+    rows = np.array([len(x) for x in images])
+    c = np.concatenate(images).view(np.uint8).reshape(int(rows.sum()), -1, 4)
+    of = np.repeat(np.arange(len(images)), rows)
+    first = np.cumsum(rows) - rows
+    x, left = c[:, 3::4].astype(np.int16), c[:, 2:-1:4].astype(np.int16)
+    top, corner = np.roll(x, 1, axis=0), np.roll(left, 1, axis=0)
+    top[first], corner[first] = left[first], left[first]  # a first row is predicted from the left
+
+    def price(v: np.ndarray) -> np.ndarray:
+        at = (of * 256)[:, None, None] + (v & 255)
+        counts = np.bincount(at.ravel(), minlength=256 * len(images)).reshape(-1, 256)
+        return 4 * (bits_of(counts) - TOLD * np.count_nonzero(counts, axis=-1)) + TOLD * np.count_nonzero(counts, axis=-1)
+
+    def shares() -> np.ndarray:
+        """(pictures, 3) multipliers of green to red, green to blue, red to blue, by least squares."""
+        s = x.astype(np.int8).astype(np.float64)
+        sums = lambda v: np.add.reduceat(v.sum(axis=1), first)
+        out = []
+        for a, b in ((1, 2), (1, 0), (2, 0)):
+            n = sums(np.ones_like(s[..., 0]))
+            mean = sums(s[..., a]) / n, sums(s[..., b]) / n
+            spread_of = sums(s[..., a] ** 2) / n - mean[0] ** 2
+            out.append(np.where(spread_of > 0, (sums(s[..., a] * s[..., b]) / n - mean[0] * mean[1]) / np.maximum(spread_of, 1e-9), 0))
+        out[2] = np.zeros_like(out[2])  # green's share of blue already has what red has in common with it
+        return np.clip(np.round(32 * np.stack(out, axis=1)), -127, 127).astype(np.int64)
+
+    by_green = x.copy()
+    by_green[..., [0, 2]] -= x[..., 1:2]
+    m = shares()
+    crossed = x.copy()
+    signed = x.astype(np.int8).astype(np.int64)
+    crossed[..., 2] -= ((m[of, 0][:, None] * signed[..., 1]) >> 5).astype(np.int16)
+    crossed[..., 0] -= ((m[of, 1][:, None] * signed[..., 1]) >> 5).astype(np.int16)
+    told = 64  # bits of a block image of one colour
+    candidates = [((), x, 0), ((("green",),), by_green, 3)]
+    candidates += [((("predictor", 9, mode),), x - guess, told) for mode, guess in ((1, left), (2, top), (7, left + top >> 1), (12, np.clip(left + top - corner, 0, 255)))]
+    candidates += [((("cross", 9, None),), crossed, told)]
+    prices = np.stack([price(v) + extra for _, v, extra in candidates])
+    out = []
+    for k, best in enumerate(prices.argmin(axis=0).tolist()):
+        shape = ceil_div(int(rows[k]), 512), ceil_div(images[k].shape[1], 512)
+        chosen = []
+        for name, *rest in candidates[best][0]:
+            if name == "predictor":
+                rest = [rest[0], np.full(shape, rest[1])]
+            elif name == "cross":
+                rest = [rest[0], np.tile(m[k], (*shape, 1))]
+            chosen.append((name, *rest))
+        out.append(tuple(chosen))
+    return out
+
+
+def few_colours(image: np.ndarray) -> bool:
+    """Whether a palette can be told and some colours come again, other than in runs."""
+    flat = image.ravel()
+    colours = len(np.unique(flat))
+    return colours <= 256 and int(np.count_nonzero(flat[1:] != flat[:-1])) + 1 >= 1.1 * colours
+
+
+def encode(argb: np.ndarray, transforms: tuple = (), cache_bits: int | None = 0, groups: np.ndarray | None = None, group_bits: int = 0, shared: bool = False, by_cost: bool | None = None) -> bytes:
     """A lossless WebP file of a (height, width) array of 32-bit ARGB.
 
     transforms, in this order of application: ("predictor", block bits, modes), ("cross", block bits, multipliers),
     ("green",), ("palette",). modes and multipliers are block images, a mode or (green to red, green to blue, red to
-    blue) as signed bytes for each block. shared: the channels have one code, as suits bytes that are no colours.
+    blue) as signed bytes for each block. groups: the group of codes for each block. shared: red, blue and alpha have one
+    code, as suits bytes that are no colours. by_cost: the cache is chosen by estimated bits, and where it is true groups too.
     """
     argb = np.ascontiguousarray(argb, dtype=np.uint32)
     height, width = argb.shape
@@ -346,14 +601,79 @@ def encode(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, run: i
                 u = blocks.astype(np.int8).view(np.uint8).astype(np.uint32)
                 image = np.uint32(0xFF000000) | u[..., 2] << np.uint32(16) | u[..., 1] << np.uint32(8) | u[..., 0]
                 argb = cross_colour(argb, image, bits, -1)
-            put_image(w, image.ravel(), False)
+            put_image(w, image.ravel(), False, width=image.shape[1])
     w.put(0, 1)
-    put_image(w, argb.ravel(), True, cache_bits, run, shared)
-    data = w.bytes()
+    flat = argb.ravel()
+    copies = matches(flat)
+    if by_cost is not None:
+        use, _ = by_cache(flat, np.zeros(len(flat), np.int64), literals(len(flat), copies), 1)
+        cache_bits, group_bits = CACHE_BITS if use[0] else 0, GROUP_BITS
+        groups = groups_for(flat, argb.shape[1], copies) if by_cost else None
+    put_image(w, flat, True, cache_bits, argb.shape[1], groups, group_bits, shared, copies)
+    return in_file(w.bytes())
+
+
+def in_file(data: bytes) -> bytes:
+    """A lossless stream as a file."""
     data += b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", len(data) + 12) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
 
 
+def encode_all(images: list[np.ndarray]) -> list[bytes]:
+    """``encode(image, shared=True, by_cost=False)`` of pictures of one width: the same files, made from arrays over all of them."""
+    sizes, width, n = np.array([x.size for x in images]), images[0].shape[1], len(images)
+    starts = np.cumsum(sizes) - sizes
+    flat, of = np.concatenate([x.ravel() for x in images]), np.repeat(np.arange(n), sizes)
+    copies = matches(flat, starts)
+    places = literals(len(flat), copies)
+    use, hit = by_cache(flat, of, places, n)
+    own, plain, pixels = of[places], ~hit, flat[places].astype(np.int64)
+    green, red, blue, alpha = ((pixels >> s) & 255 for s in (8, 16, 0, 24))
+    green[hit] = 280 + slots_of(flat[places[hit]], CACHE_BITS)
+    at, length, back = copies.T
+    theirs, name = of[at], names_of(width)
+    p, p_extra, p_low = prefixes(length)
+    q, q_extra, q_low = prefixes(np.array([name.get(x, x + 120) for x in back.tolist()], dtype=np.int64))
+    alphabet = 280 + (1 << CACHE_BITS)
+    first = histograms(own, green, n, alphabet) + histograms(theirs, 256 + p, n, alphabet)
+    rest = sum(histograms(own[plain], c[plain], n, 256) for c in (red, blue, alpha))
+    distances = histograms(theirs, q, n, 40)
+    codes = [tuple(np.zeros((n, m), dtype=np.int64) for _ in (0, 1)) for m in (alphabet, 256, 40)]
+    heads, alpha_used = [], np.bitwise_and.reduceat(flat, starts) >> 24 != 255
+    for k, image in enumerate(images):
+        value = 0x2F | (width - 1) << 8 | (len(image) - 1) << 22 | int(alpha_used[k]) << 36
+        bits = 41  # with three bits of version, and no transform
+        value |= int(use[k]) << bits | (CACHE_BITS << bits + 1 if use[k] else 0)
+        bits += 6 if use[k] else 2  # and one group of codes
+        for counts, times, (all_bits, all_sizes) in zip((first[k, : alphabet if use[k] else 280], rest[k], distances[k]), (1, 3, 1), codes, strict=True):
+            told, size, code = code_of(counts.tobytes())
+            all_bits[k, : len(counts)], all_sizes[k, : len(counts)] = code.bits, code.sizes
+            for _ in range(times):
+                value, bits = value | told << bits, bits + size
+        heads.append((value, bits))
+    (gb, gs), (rb, rs), (db, ds) = codes
+    value, size = gb[own, green], gs[own, green]
+    for c in (red, blue, alpha):
+        value = value | np.where(plain, rb[own, c], 0) << size
+        size = size + np.where(plain, rs[own, c], 0)
+    v, s = gb[theirs, 256 + p], gs[theirs, 256 + p]
+    for x, more in ((p_low, p_extra), (db[theirs, q], ds[theirs, q]), (q_low, q_extra)):
+        v, s = v | x << s, s + more
+    order = np.argsort(np.concatenate([places, at]), kind="stable")
+    value, size, owner = (np.concatenate(x)[order] for x in ((value, v), (size, s), (own, theirs)))
+    # Each picture's stream begins at a word of its own.
+    long = np.array([b for _, b in heads])
+    total = long + np.bincount(owner, weights=size, minlength=n).astype(np.int64)
+    begin = np.cumsum((total + 31) // 32) - (total + 31) // 32 << 5
+    ends = np.cumsum(size)
+    before = np.concatenate([[0], ends])[np.searchsorted(owner, np.arange(n))]
+    pieces, lengths = zip(*(words_of(*x) for x in heads), strict=True)
+    counts = np.array([len(x) for x in pieces])
+    where = np.repeat(begin, counts) + 32 * (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts))
+    words = joined(np.concatenate([*pieces, value.astype(np.uint64)]), np.concatenate([where, ends - size + (begin + long - before)[owner]]), int(begin[-1] + total[-1]))
+    return [in_file(words[b >> 5 : (b >> 5) + ceil_div(t, 32)].tobytes()[: ceil_div(t, 8)]) for b, t in zip(begin.tolist(), total.tolist(), strict=True)]
+
+
 # Transforms
 
 
@@ -493,6 +813,8 @@ class BitReader:
     def __init__(self, data: bytes):
         self.words = np.frombuffer(data + b"\0" * 16, dtype=np.uint8)
         self.data, self.at, self.end = data + b"\0" * 16, 0, 8 * len(data)
+        #: Features of the format that were met.
+        self.used: set[str] = set()
 
     def bits(self, n: int) -> int:
         p = self.at
@@ -604,14 +926,17 @@ def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = r.bits(4) if r.bits(1) else 0
     if cache_bits > 11:
         raise ValueError("a colour cache has at most 11 bits")
+    if cache_bits:
+        r.used.add("cache")
     groups, which, bits = 1, None, 0
     if main and r.bits(1):
         bits = r.bits(3) + 2
+        r.used.add("groups")
         which = (read_image(r, ceil_div(width, 1 << bits), ceil_div(height, 1 << bits), False) >> 8 & 0xFFFF).reshape(ceil_div(height, 1 << bits), -1)
         groups = int(which.max()) + 1
     codes = [read_codes(r, (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)) for _ in range(groups)]
-    if groups == 1:
-        return read_at_once(r, codes[0], width, width * height, cache_bits)
+    if groups <= MOST_AT_ONCE:
+        return read_at_once(r, codes, None if which is None else spread(which, bits, (height, width)).ravel(), width, width * height, cache_bits)
     return read_each(r, codes, which, bits, width, width * height, cache_bits)
 
 
@@ -643,105 +968,152 @@ def read_each(r: BitReader, codes: list[list[Table]], which: np.ndarray, bits: i
     return np.array(out, dtype=np.uint32)
 
 
-def read_at_once(r: BitReader, codes: list[Table], width: int, n: int, cache_bits: int) -> np.ndarray:
-    """With one group of codes: symbols are looked up for every bit of a block, then the chain of pixels is followed."""
-    g, red, blue, alpha, dist = codes
-    if not any(t.bits for t in (g, red, blue, alpha)) and g.symbol[0] < 256:
+def read_at_once(r: BitReader, codes: list[list[Table]], which: np.ndarray | None, width: int, n: int, cache_bits: int) -> np.ndarray:
+    """Symbols are looked up for every bit of a block, for each group of codes, then the chain of pixels is followed.
+
+    which: the group of each pixel, None if there is one group.
+    """
+    g, red, blue, alpha, _ = codes[0]
+    if which is None and not any(t.bits for t in (g, red, blue, alpha)) and g.symbol[0] < 256:
         return np.full(n, int(g.symbol[0]) << 8 | int(red.symbol[0]) << 16 | int(blue.symbol[0]) | int(alpha.symbol[0]) << 24, dtype=np.uint32)
-    out, at, cache = np.zeros(n, dtype=np.uint32), 0, [0] * (1 << cache_bits)
-    margin = 160  # more bits than any pixel or back-reference takes
-    special = bool((g.symbol >= 256).any())
+    at, margin = 0, 160  # more bits than any pixel or back-reference takes
+    told: list[tuple] = []  # green symbols, pixels and sizes of tokens, by block
+    copies: list[tuple[int, int, int]] = []  # token, length, distance
+    tokens, group_of = 0, None if which is None else which.tolist()
     while at < n:
         if r.at >= r.end:
             raise ValueError("the stream ends early")
         first, size = r.at, min(BLOCK_BITS, r.end - r.at + margin)
         win = r.windows(first, size + margin)
-        # How long each code's symbol would be at every bit; channels that share a code share this.
-        long = {id(t): t.size[win & np.uint32((1 << t.bits) - 1)] for t in (g, red, blue, alpha) if t.bits}
-        look = lambda t, k, long=long: k + long[id(t)][k] if t.bits else k
         span = min(size, len(win) - margin)
-        green = g.symbol[win[:span] & np.uint32((1 << g.bits) - 1)]
-        step = np.arange(span, dtype=np.int32)
-        step = after_green = look(g, step)
-        for t in (red, blue, alpha):
-            step = look(t, step)
-        copies: dict[int, tuple[int, int]] = {}
-        if special:
-            step = np.where(green >= 280, after_green, step)
-            odd = np.flatnonzero((green >= 256) & (green < 280))
-            step[odd] = -1
-        follow, here, places, end_at, counted = memoryview(np.ascontiguousarray(step, dtype=np.int32)), 0, [], at, 0
-        keep = places.append
+        greens, afters, follow, longs = [], [], [], {}
+        for tables in codes:
+            # How long each code's symbol would be at every bit; channels that share a code share this.
+            for t in tables[:4]:
+                if t.bits and id(t) not in longs:
+                    longs[id(t)] = t.size[win & np.uint32((1 << t.bits) - 1)]
+            look = lambda t, k: k + longs[id(t)][k] if t.bits else k  # noqa: E731, B023
+            green = tables[0].symbol[win[:span] & np.uint32((1 << tables[0].bits) - 1)]
+            step = after_green = look(tables[0], np.arange(span, dtype=np.int32))
+            for t in tables[1:4]:
+                step = look(t, step)
+            if (tables[0].symbol >= 256).any():
+                step = np.where(green >= 280, after_green, step)
+                step[(green >= 256) & (green < 280)] = -1
+            greens.append(green)
+            afters.append(after_green)
+            follow.append(memoryview(np.ascontiguousarray(step, dtype=np.int32)))
+        here, places, sizes, chosen, end_at = 0, [], [], [], at
+        chain, keep = follow[0], places.append
         while end_at < n and here < span:
-            to = 0
+            to, counted = 0, len(places)
             try:
-                for _ in range(n - end_at):
-                    to = follow[here]
-                    keep(here)
-                    if to < 0:
-                        break
-                    here = to
+                if group_of is None:
+                    for _ in range(n - end_at):
+                        to = chain[here]
+                        keep(here)
+                        if to < 0:
+                            break
+                        here = to
+                else:
+                    for k in range(end_at, n):
+                        to = follow[group_of[k]][here]
+                        keep(here)
+                        chosen.append(group_of[k])
+                        if to < 0:
+                            break
+                        here = to
             except IndexError:  # the next pixel begins beyond this block
                 pass
-            end_at, counted = end_at + len(places) - counted, len(places)
+            end_at += len(places) - counted
             if to < 0:
-                r.at = first + int(after_green[here])
-                length = value_of(r, int(green[here]) - 256)
-                back = distance_of(value_of(r, r.symbol(dist)), width)
-                copies[len(places) - 1] = (length, back)
+                own = chosen[-1] if chosen else 0
+                r.at = first + int(afters[own][here])
+                length = value_of(r, int(greens[own][here]) - 256)
+                back = distance_of(value_of(r, r.symbol(codes[own][4])), width)
+                copies.append((tokens + len(places) - 1, length, back))
+                r.used.add("copies")
                 end_at += length - 1
+                if back > end_at - length or end_at > n:
+                    raise ValueError("a back-reference leaves the image")
                 here = r.at - first
         r.at = first + here
-        if r.at > r.end or end_at > n:
-            raise ValueError("the stream ends early" if r.at > r.end else "a back-reference leaves the image")
+        if r.at > r.end:
+            raise ValueError("the stream ends early")
         k = np.array(places, dtype=np.int64)
-        s = green[k].astype(np.uint32)
-        pixels = s << np.uint32(8)
-        q = after_green[k]
-        for t, shift in ((red, 16), (blue, 0), (alpha, 24)):
-            w = win[q] & np.uint32((1 << t.bits) - 1)
-            pixels |= t.symbol[w].astype(np.uint32) << np.uint32(shift)
-            q = q + t.size[w]
-        if not copies and not cache_bits:
-            out[at:end_at] = pixels
-        elif not cache_bits:
-            where, sizes = np.zeros(len(k), dtype=np.int64), np.ones(len(k), dtype=np.int64)
-            for i, (length, _) in copies.items():
-                sizes[i] = length
-            where = at + np.cumsum(sizes) - sizes
-            plain = np.ones(len(k), dtype=bool)
-            plain[list(copies)] = False
-            out[where[plain]] = pixels[plain]
-            for i, (length, back) in copies.items():
-                copy(out, int(where[i]), length, back)
-        else:
-            values, symbols, to = pixels.tolist(), s.tolist(), at
-            for i, sym in enumerate(symbols):
-                if i in copies:
-                    length, back = copies[i]
-                    copy(out, to, length, back)
-                    new = out[to : to + length].tolist()
-                else:
-                    new = [cache[sym - 280] if sym >= 280 else values[i]]
-                    out[to] = new[0]
-                for p in new:
-                    cache[(p * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)] = p
-                to += len(new)
+        of = None if group_of is None else np.array(chosen, dtype=np.int64)
+        symbols, pixels = np.empty(len(k), dtype=np.int64), np.empty(len(k), dtype=np.uint32)
+        for own, (_, *tables, _) in enumerate(codes):
+            mine = slice(None) if of is None else of == own
+            p = k[mine]
+            s = greens[own][p]
+            x, q = s.astype(np.uint32) << np.uint32(8), afters[own][p]
+            for t, shift in zip(tables, (16, 0, 24), strict=True):
+                code = win[q] & np.uint32((1 << t.bits) - 1)
+                x |= t.symbol[code].astype(np.uint32) << np.uint32(shift)
+                q = q + t.size[code]
+            symbols[mine], pixels[mine] = s, x
+        told.append((symbols, pixels))
+        tokens += len(k)
         at = end_at
-    return out
+    symbols, pixels = told[0] if len(told) == 1 else (np.concatenate(x) for x in zip(*told, strict=True))
+    return pixels if not copies and not cache_bits else resolved(symbols, pixels, copies, n, cache_bits)
+
 
+def resolved(symbols: np.ndarray, pixels: np.ndarray, copies: list[tuple[int, int, int]], n: int, cache_bits: int) -> np.ndarray:
+    """The image of literals, copies (token, length, distance) and cached colours (green symbols from 280 on).
 
-def copy(out: np.ndarray, at: int, length: int, back: int) -> None:
-    if back > at or at + length > len(out):
-        raise ValueError("a back-reference leaves the image")
-    if back >= length:
-        out[at : at + length] = out[at - back : at - back + length]
-    else:
-        out[at : at + length] = np.resize(out[at - back : at], length)
+    A copied pixel points to the one it repeats, a cached one to the last earlier one in its slot; pointers are followed to
+    literals by halving what is left of the way, for all pixels at once.
+    """
+    token, length, back = np.array(copies, dtype=np.int64).reshape(-1, 3).T
+    sizes = np.ones(len(symbols), dtype=np.int64)
+    sizes[token] = length
+    where = np.cumsum(sizes) - sizes
+    literal = np.ones(len(symbols), dtype=bool)
+    literal[token] = False
+    hit = symbols >= 280
+    literal &= ~hit
+    out, to = np.zeros(n, dtype=np.uint32), np.arange(n)
+    out[where[literal]] = pixels[literal]
+    if len(token):
+        copied = np.repeat(where[token] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        to[copied] -= np.repeat(back, length)
+        to = followed(to)
+    if cache_bits and hit.any():
+        slot = slots_of(out, cache_bits).astype(np.int64)
+        known = where[hit]
+        slot[known] = symbols[hit] - 280
+        before = earlier(slot[to])[known]
+        if (before < 0).any():
+            return one_by_one(symbols, pixels, copies, n, cache_bits)
+        to[known] = before
+        to = followed(to)
+    return out[to]
+
+
+def followed(to: np.ndarray) -> np.ndarray:
+    """Every pointer's last goal; a goal points to itself."""
+    while True:
+        further = to[to]
+        if (further == to).all():
+            return to
+        to = further
+
+
+def one_by_one(symbols: np.ndarray, pixels: np.ndarray, copies: list[tuple[int, int, int]], n: int, cache_bits: int) -> np.ndarray:
+    """``resolved`` for streams that ask the cache for a slot that nothing was put in, which holds 0."""
+    out, cache, copied = [], [0] * (1 << cache_bits), {t: (m, d) for t, m, d in copies}
+    for k, (s, p) in enumerate(zip(symbols.tolist(), pixels.tolist(), strict=True)):
+        m, d = copied.get(k, (1, 0))
+        for _ in range(m):
+            out.append(out[-d] if d else cache[s - 280] if s >= 280 else p)
+            cache[(out[-1] * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)] = out[-1]
+    return np.array(out, dtype=np.uint32)
 
 
-def decode(media: bytes) -> np.ndarray:
-    """The (height, width) array of 32-bit ARGB in a lossless WebP file."""
+def decode(media: bytes, used: set[str] | None = None) -> np.ndarray:
+    """The (height, width) array of 32-bit ARGB in a lossless WebP file. used: gets the features that the file has."""
     if len(media) < 20 or media[:4] != b"RIFF" or media[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     size = struct.unpack("<I", media[16:20])[0]
@@ -759,6 +1131,7 @@ def decode(media: bytes) -> np.ndarray:
         if kind in seen:
             raise ValueError("a transform comes twice")
         seen.add(kind)
+        r.used.add(("predictor", "cross", "green", "palette")[kind])
         if kind == SUBTRACT_GREEN:
             undo.append(lambda x: add_green(x, 1))
         elif kind == PALETTE:
@@ -782,6 +1155,8 @@ def decode(media: bytes) -> np.ndarray:
             image = read_image(r, ceil_div(wide, 1 << bits), ceil_div(height, 1 << bits), False).reshape(ceil_div(height, 1 << bits), -1)
             undo.append((lambda x, i=image, b=bits: unpredicted(x, i >> 8 & 15, b)) if kind == PREDICTOR else (lambda x, i=image, b=bits: cross_colour(x, i, b, 1)))
     argb = read_image(r, wide, height, True).reshape(height, wide)
+    if used is not None:
+        used |= r.used
     for f in reversed(undo):
         argb = f(argb)
     return argb
@@ -811,20 +1186,34 @@ def payload(argb: np.ndarray) -> bytes:
 
 
 def media_of(data: bytes) -> bytes:
-    """Few colours go by a palette; others as they are, with runs as back-references.
+    return medias_of([data])[0]
+
 
-    A picture of more rows than a file can have is several files, one after another.
+def medias_of(rows: list[bytes]) -> list[bytes]:
+    """The stored forms of texts: for each picture the smallest of the files that its features make likely.
+
+    Every picture is encoded without a transform; a palette, another transform or groups are tried where estimates tell that
+    they may take fewer bits. A picture of more rows than a file can have is several files, one after another.
     """
-    image = pixels(padded(data))
-    few = image.size <= 4 * ROW and len(np.unique(image)) <= 16
-    return b"".join(encode(image[y : y + SIDE], (("palette",),) if few else (), shared=not few) for y in range(0, len(image), SIDE))
+    files = [(k, image[y : y + SIDE]) for k, image in enumerate(map(pixels, map(padded, rows))) for y in range(0, len(image), SIDE)]
+    made: list[bytes] = [b""] * len(files)
+    for width in {f.shape[1] for _, f in files}:
+        some = [n for n, (_, f) in enumerate(files) if f.shape[1] == width]
+        images = [files[n][1] for n in some]
+        for n, image, data, transforms, groups in zip(some, images, encode_all(images), transforms_for(images), mixed(images), strict=True):
+            tried = [(t, False) for t in ((("palette",),) if few_colours(image) else (), transforms) if t] + [((), True)] * groups
+            made[n] = min([data, *(encode(image, t, shared=True, by_cost=g) for t, g in tried)], key=len)
+    out = [b""] * len(rows)
+    for (k, _), data in zip(files, made, strict=True):
+        out[k] += data
+    return out
 
 
-def decode_all(media: bytes) -> np.ndarray:
+def decode_all(media: bytes, used: set[str] | None = None) -> np.ndarray:
     """The picture of ``media_of``: the files' rows in order."""
-    parts, at = [decode(media)], 8 + int.from_bytes(media[4:8], "little")
+    parts, at = [decode(media, used)], 8 + int.from_bytes(media[4:8], "little")
     while media[at : at + 4] == b"RIFF":
-        parts.append(decode(media[at:]))
+        parts.append(decode(media[at:], used))
         at += 8 + int.from_bytes(media[at + 4 : at + 8], "little")
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
@@ -834,7 +1223,7 @@ def payload_size(n_bytes: int) -> int:
     return UNIT * max(1, ceil_div(n_bytes, UNIT))
 
 
-def feature(data: bytes) -> str:
+def feature_of(data: bytes) -> str:
     """64 bits of a difference hash (eight bands of the payload, nine means each) and the mean sample."""
     c = np.frombuffer(data, dtype=np.uint8)
     edges = np.linspace(0, len(c), 73).astype(np.int64)
@@ -849,40 +1238,51 @@ def stored(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             raw = [x or b"" for x in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([media_of(x) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.record_batch([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(medias_of(raw), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     media = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("data")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
     return written(media, path, compression="uncompressed")
 
 
-def pixel_arrays(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """``doc_id, width, height, pixels``: decoded media, pixels as red, green, blue and alpha bytes."""
+DECODED = {"width": T.IntegerType(), "height": T.IntegerType(), "pixels": T.BinaryType(), "features": T.StringType()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 32):
-            images = [decode_all(m) if m is not None else None for m in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([i.shape[1] if i is not None else None for i in images], pa.int32()), pa.array([i.shape[0] if i is not None else None for i in images], pa.int32()), pa.array([payload(i) if i is not None else None for i in images], pa.binary())], ["doc_id", "width", "height", "pixels"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(media).alias("media")).mapInArrow(run, "doc_id long, width int, height int, pixels binary")
+def pixel_arrays(df: DataFrame, media: str = "media", n_bytes: str | None = None, feature: str | None = None) -> DataFrame:
+    """``df`` without ``media``, and with ``width, height, pixels, features``: decoded files of any lossless WebP encoder.
 
+    pixels are red, green, blue and alpha bytes in reading order; features names what of the format the file uses. n_bytes
+    names a column with the size of the text that was stored: pixels are cut to its padded payload, and a column called as
+    ``feature`` says is added. A null file gives nulls; columns that are named like a result are replaced.
+    """
+    added = DECODED | ({feature: T.StringType()} if feature else {})
+    kept = [c for c in df.columns if c != media and c not in added]
 
-REPORT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, feature string"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 32):
+            rows: list[tuple] = []
+            sizes = b.column(kept.index(n_bytes)).to_pylist() if n_bytes else [None] * b.num_rows
+            for m, size in zip(b.column(len(kept)).to_pylist(), sizes, strict=True):
+                if m is None:
+                    rows.append((None,) * len(added))
+                    continue
+                used: set[str] = set()
+                image = decode_all(m, used)
+                data = payload(image)[: None if size is None else payload_size(size)]
+                rows.append((image.shape[1], image.shape[0], data, "+".join(sorted(used)), *([feature_of(data)] if feature else [])))
+            kinds = [pa.int32(), pa.int32(), pa.binary(), *[pa.string()] * (len(added) - 3)]
+            yield pa.record_batch([*b.columns[:-1], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], [*kept, *added])
+
+    schema = T.StructType([*df.select(*kept).schema.fields, *(T.StructField(c, k) for c, k in added.items())])
+    return df.select(*kept, F.col(media).alias("__media")).mapInArrow(run, schema)
 
 
 def report(media: DataFrame) -> DataFrame:
-    """Reads stored media back and reduces each payload, in the task that decodes it, to its digests and feature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 32):
-            rows = []
-            for doc, n, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                image = decode_all(m)
-                p = payload(image)[: payload_size(n)]
-                rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), image.shape[1], image.shape[0], feature(p)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in REPORT.split(", ")])
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, REPORT)
+    """Reads stored media back as pixel arrays, and reduces each to its digests and feature; Spark digests what Python decoded."""
+    told = media.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    arrays = pixel_arrays(told, n_bytes="n_bytes", feature="feature")
+    size = F.octet_length("pixels")
+    digests = [size.cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.substring("pixels", -32, 32)).alias("tail_crc32")]
+    return arrays.select("doc_id", "n_bytes", *digests, "media_bytes", "media_sha256", "width", "height", "feature", "features")
 
 
 def media_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
