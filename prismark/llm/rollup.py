@@ -5,26 +5,35 @@ a revision (another tokenizer, a corrected count, another language) has both. Ea
 their sum by key. Totals are the sum of all committed batches, so they never need the documents again.
 
 A batch is written to a staging folder and committed by one rename to the folder of its id. A batch whose id is there
-already is not applied again, whoever repeats it and however far an earlier attempt came; a change that a batch holds
-twice, by its id, counts once. Compaction replaces batches by one folder of their sums, whose name lists nothing but a
-number and whose ledger lists the batches, and is committed by a rename as well; totals read the newest one and the
-batches that its ledger lacks.
+already, or has a marker, is not applied again, whoever repeats it and however far an earlier attempt came; a change that a
+batch holds twice, by its id, counts once. Compaction lists the live batches once, sums these with the compaction before,
+and is committed by a rename as well; its ledger names the batches it took. These get their markers and go afterwards; if
+that was broken off, the next compaction finishes it first, and totals leave out what the newest ledger names. So looking
+an id up asks for two paths, and ledgers hold the batches of one compaction, however many there have been.
 
 Sums are partial before the shuffle, so a source with a third of all changes is a handful of rows a task.
 
 Defined results: null keys are a key; a null count is 0; a change without both sides does nothing; keys whose documents
 and tokens are both 0 are not in the totals; a null change id is never taken for a repeat; an empty batch is committed
-and changes nothing.
+and changes nothing. In the documents' history every row counts by itself, also rows that share an id or have none; null
+texts are never repeats of each other and have no tokens; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
+import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from prismark.llm.common import remove, shared_dir, written
+from prismark.llm.common import CACHES, remove, shared_dir, slices, texts, written
+from prismark.llm.packing import counts
 
 KEYS = ("source", "lang", "tokenizer_version")
 DELTAS = "source string, lang string, tokenizer_version string, n_documents long, n_tokens long"
@@ -76,84 +85,111 @@ class Rollup:
         """Commits a batch; False, and no work, if it is committed already. Ids are words of letters, digits, - and _."""
         if not batch_id or not batch_id.replace("-", "a").replace("_", "a").isalnum():
             raise ValueError(f"not a batch id: {batch_id!r}")
-        if batch_id in self.committed():
+        if self._there(f"batches/{batch_id}") or self._there(f"markers/{batch_id}"):
             return False
         staged = f"{self.folder}/staging/{uuid.uuid4().hex}"
         deltas(changes).write.parquet(staged)
         return self._commit(staged, f"batches/{batch_id}")
 
-    def _newest(self) -> tuple[str | None, list[str]]:
-        """The newest compaction and the batches it holds."""
+    def _there(self, name: str) -> bool:
+        return self.files.exists(self.path(f"{self.folder}/{name}"))
+
+    def _newest(self) -> tuple[str | None, set[str]]:
+        """The newest compaction, and the batches that it took."""
         done = self._names("compactions")
         if not done:
-            return None, []
+            return None, set()
         at = f"{self.folder}/compactions/{done[-1]}"
-        return f"{at}/sums", [r.batch for r in self.spark.read.schema("batch string").parquet(f"{at}/ledger").collect()]
+        return at, {r.batch for r in self.spark.read.schema("batch string").parquet(f"{at}/ledger").collect()}
 
     def committed(self) -> list[str]:
-        return sorted({*self._newest()[1], *self._names("batches")})
+        """All ids, for reports: nothing else lists the markers."""
+        return sorted({*self._names("markers"), *self._names("batches")})
 
-    def totals(self) -> DataFrame:
-        """``source, lang, tokenizer_version, n_documents, n_tokens`` over all committed batches."""
-        sums, held = self._newest()
-        paths = ([sums] if sums else []) + [f"{self.folder}/batches/{b}" for b in self._names("batches") if b not in set(held)]
+    def _sums(self, newest: str | None, batches: list[str]) -> DataFrame:
+        paths = ([f"{newest}/sums"] if newest else []) + [f"{self.folder}/batches/{b}" for b in batches]
         rows = self.spark.read.schema(DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], DELTAS)
         return rows.groupBy(*KEYS).agg(F.sum("n_documents").alias("n_documents"), F.sum("n_tokens").alias("n_tokens")).where("n_documents <> 0 or n_tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """``source, lang, tokenizer_version, n_documents, n_tokens`` over all committed batches."""
+        newest, held = self._newest()
+        return self._sums(newest, [b for b in self._names("batches") if b not in held])
+
     def compact(self) -> None:
         """One folder of sums for all batches so far; the batches' own folders go afterwards."""
-        batches = self.committed()
+        newest, held = self._newest()
+        self._cleared(held)
+        batches = [b for b in self._names("batches") if b not in held]
         staged = f"{self.folder}/staging/{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{staged}/sums")
+        self._sums(newest, batches).write.parquet(f"{staged}/sums")
         self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.parquet(f"{staged}/ledger")
-        if self._commit(staged, f"compactions/{len(self._names('compactions')):08d}"):
-            for b in batches:
+        number = int(newest.rpartition("/")[2]) + 1 if newest else 0
+        if self._commit(staged, f"compactions/{number:08d}"):
+            self._cleared(set(batches))
+
+    def _cleared(self, batches: set[str]) -> None:
+        """Batches that a committed compaction took: the marker first, then the folder goes."""
+        for b in sorted(batches):
+            if self._there(f"batches/{b}"):
+                self.files.mkdirs(self.path(f"{self.folder}/markers/{b}"))
                 self.files.delete(self.path(f"{self.folder}/batches/{b}"), True)
 
 
 # The synthetic tables' history
 
-#: Two versions of a tokenizer: words between ASCII white space; runs of ASCII letters, and other characters one by one.
-VERSIONS = {"words-1": r"[^\x20\x09-\x0D]+", "pieces-2": r"[A-Za-z]+|[^A-Za-z\x20\x09-\x0D]"}
+#: The versions that documents are counted by: a file of the tokenizers library, then one of ranks for tiktoken.
+VERSIONS = ("word_bpe_49k", "byte_bpe_multi_50k")
+
+
+@lru_cache(maxsize=2)
+def ranked(path: str, pattern: str) -> tiktoken.Encoding:
+    """A file of byte strings and their ranks as an encoder without special strings."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
 
+CACHES.append(ranked.cache_clear)
 
-def document_totals(docs: DataFrame, labels: DataFrame) -> DataFrame:
+
+def token_counts(docs: DataFrame, words: str, ranks: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` without the text, with ``one`` and ``two``: its tokens by the file of words, and by the file of ranks."""
+    kept = [c for c in docs.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = texts(b.column(len(kept)))
+            one, two = counts(rows, words), [len(ranked(ranks, pattern).encode_ordinary(t)) for t in rows]
+            yield pa.record_batch([*b.columns[:-1], pa.array(one, pa.int64()), pa.array(two, pa.int64())], [*kept, "one", "two"])
+
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("one", T.LongType()), T.StructField("two", T.LongType())])
+    return docs.select(*kept, text).mapInArrow(run, schema)
+
+
+def document_totals(docs: DataFrame, labels: DataFrame, words: str, ranks: str, pattern: str) -> DataFrame:
     """Totals after four batches: all documents inserted, repeated texts deleted, labelled ones counted anew, one replay.
 
-    Of documents with equal texts the one with the smallest id stays. The deletion is sent twice, as after a lost answer.
+    Documents count by ``words``, labelled ones then by ``ranks``. Of rows with equal texts the one with the smallest id
+    stays, of those one. The deletion is sent twice, as after a lost answer.
     """
     spark = docs.sparkSession
     path = shared_dir(spark)
     one, two = VERSIONS
-    count = lambda v: F.coalesce(F.regexp_count("text", F.lit(VERSIONS[v])), F.lit(0)).cast("long")
-    counted = written(docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("same"), count(one).alias("one"), count(two).alias("two")), f"{path}/counted")
-    repeated = counted.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.sha2("text", 256).alias("same"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    counted = written(token_counts(rows, words, ranks, pattern), f"{path}/counted")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("kept")
+    repeated = counted.where("same is not null").groupBy("same").agg(first, F.count("*").alias("n")).where("n > 1").drop("n")
     # Written first: joined with the sums as they come, the copies of one text would stay together in one task.
     repeated = written(repeated, f"{path}/repeated")
-    gone = written(counted.join(repeated, "same").where("doc_id <> kept").select("doc_id", "source", "lang", "one"), f"{path}/gone")
-    old, change = side("source", "lang", F.lit(one), "one"), F.col("doc_id").cast("string").alias("change_id")
+    gone = written(counted.join(repeated, "same").where("row <> kept").select("row", "source", "lang", "one"), f"{path}/gone")
+    old, change = side("source", "lang", F.lit(one), "one"), F.col("row").cast("string").alias("change_id")
     rollup = Rollup(spark, f"{path}/rollup")
     rollup.apply("load", counted.select(change, missing().alias("before"), old.alias("after")))
     removal = gone.select(change, old.alias("before"), missing().alias("after"))
     rollup.apply("repeats", removal)
-    again = counted.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").join(gone.select("doc_id"), "doc_id", "left_anti")
+    again = counted.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").join(gone.select("row"), "row", "left_anti")
     rollup.apply("recount", again.select(change, old.alias("before"), side("source", "lang", F.lit(two), "two").alias("after")))
     rollup.compact()
     rollup.apply("repeats", removal)
     return rollup.totals()
-
-
-TOTALS_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, lang, text,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS one,
-         coalesce(len(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z\x20\x09-\x0D]')), 0) AS two,
-         min(doc_id) OVER (PARTITION BY text) AS kept
-  FROM documents
-), k AS (
-  SELECT *, doc_id IN (SELECT doc_id FROM labels) AS again FROM d WHERE text IS NULL OR doc_id = kept
-)
-SELECT source, lang, CASE WHEN again THEN 'pieces-2' ELSE 'words-1' END AS tokenizer_version,
-       count(*) AS n_documents, CAST(sum(CASE WHEN again THEN two ELSE one END) AS BIGINT) AS n_tokens
-FROM k GROUP BY ALL
-"""
