@@ -1,6 +1,6 @@
 """Language identification by cross-parsing: the language whose text parses a document into the fewest phrases.
 
-Texts are lower-cased, and each run of other characters than letters becomes one blank, in samples and documents alike.
+Letters are lower-cased one by one, and each run of other characters becomes one blank, in samples and documents alike.
 For each language a suffix automaton is built over its labelled text. A document is cut, from left to right, into the
 longest phrases that occur in a language's text; a character that occurs nowhere is a phrase by itself. The count of
 phrases, divided by the document's length, estimates the cross entropy; the language that needs fewest wins.
@@ -10,9 +10,10 @@ a few array operations for thousands of pieces. Texts are parsed whole: in piece
 counts are then corrected for the phrases that run over the pieces' ends.
 
 The labelled text is a bounded sample, for that a classifier may: ``sample_chars`` characters a language (less for each
-where there are so many languages that this would be more than ``MODEL_CHARS``; every label is learned), from documents
-in the order of a hash of their id, at most ``EXCERPT`` characters from each. Languages with the same number of phrases
-go to the one with more labelled documents, then by name.
+where there are so many languages that this would be more than ``MODEL_CHARS``; every label is learned), from distinct
+texts in the order of a hash of the text, at most ``EXCERPT`` characters from each, from a place that the hash tells as
+well. So neither ids, nulls and repeats among them included, nor groups of copies sway the sample. Languages with the same
+number of phrases go to the one with more labelled documents, then by name.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; score is the share of phrases saved
 against the second best language (0 to 1; 1 if there is only one); labels that are null or empty are not learned; with
@@ -23,6 +24,7 @@ are replaced, others pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismark.llm.common import slices
+from prismark.llm.common import quoted, slices
 
 UNKNOWN = "und"
 PIECE = 256
@@ -41,9 +43,20 @@ MODEL_CHARS, DENSE, ABREAST = 2_000_000, 1 << 25, 64
 LETTER, NOT_LETTERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}]+")
 
 
+def folded(letter: str) -> str:
+    """A letter's lower-case form, by itself and as one character: a final sigma is a sigma, a dotted I an i."""
+    return letter.lower()[:1]
+
+
+@lru_cache(maxsize=1)
+def folds() -> dict[int, str]:
+    """What ``folded`` changes, for ``str.translate``."""
+    return {ord(c): folded(c) for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if folded(c) != c}
+
+
 def plain(text: str) -> str:
     """Lower-case letters, other runs as one blank."""
-    return NOT_LETTERS.sub(" ", text.lower())
+    return NOT_LETTERS.sub(" ", text).translate(folds())
 
 
 class Automaton:
@@ -108,7 +121,7 @@ class Model:
         self.blank = at[" "]
         self.codes = np.full(0x110000, self.blank, dtype=np.uint16 if self.letters < 1 << 16 else np.uint32)
         for c in LETTER.findall("".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))):
-            self.codes[ord(c)] = at.get(c.lower(), len(letters))
+            self.codes[ord(c)] = at.get(folded(c), len(letters))
         keys, values, roots, base = [], [], [], 0
         for text in samples.values():
             automaton = Automaton(text).next
@@ -254,28 +267,32 @@ class Model:
 
 
 def learned(labelled: DataFrame, sample_chars: int = 12_000) -> Model | None:
-    """A model of ``lang, text, id`` rows, with every label.
+    """A model of ``lang, text`` rows, with every label.
 
     With so many labels that ``sample_chars`` for each are more than ``MODEL_CHARS``, each gets an equal share of that.
-    The driver gets about twice a label's sample and 40 excerpts, of at most a sample's length, for each label: its rows
-    are thinned, by the hash of their id, to what the sample needs at their mean length.
+    The driver gets about twice a label's sample and 40 excerpts, of at most a sample's length, for each label: its distinct
+    texts are thinned, by their hash, to what the sample needs at their mean length.
     """
     rows = labelled.where("lang is not null and lang <> '' and text is not null and text <> ''")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(EXCERPT))).alias("chars")).orderBy(F.desc("n"), "lang").collect()
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(11)))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"), F.avg(F.least(F.length("text"), F.lit(EXCERPT))).alias("chars")).orderBy(F.desc("n"), "lang").collect()
     if not sizes:
         return None
     sample_chars = max(1, min(sample_chars, MODEL_CHARS // len(sizes)))
     # Of each label's rows, by hash, a share that holds twice the sample on average, and 40 more rows.
-    share = [(r.lang, min(1.0, 2.0 * sample_chars / r.chars + 40 / r.n)) for r in sizes]
+    share = [(r.lang, min(1.0, (2.0 * sample_chars / r.chars + 40) / max(r.texts, 1))) for r in sizes]
     part = F.broadcast(labelled.sparkSession.createDataFrame(share, "lang string, part double"))
-    drawn = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    got = rows.join(part, "lang").where(drawn < F.col("part")).select("lang", drawn.alias("h"), "id", F.substring("text", 1, min(EXCERPT, sample_chars)).alias("text")).collect()
+    drawn, most = F.pmod("h", F.lit(1 << 40)) / float(1 << 40), min(EXCERPT, sample_chars)
+    # Where an excerpt begins is told by other bits of the hash than whether the text is drawn.
+    begin = 1 + F.pmod(F.shiftrightunsigned("h", 40), F.greatest(F.length("text") - most + 1, F.lit(1)))
+    some = rows.join(part, "lang").where(drawn < F.col("part")).select("lang", "h", F.expr("text").substr(begin.cast("int"), F.lit(most)).alias("text"))
+    got = some.dropDuplicates(["lang", "h"]).collect()
     of: dict[str, list] = {r.lang: [] for r in sizes}
     for x in got:
         of[x.lang].append(x)
     samples: dict[str, str] = {}
     for lang, drawn_rows in of.items():
-        text = "\n".join(x.text for x in sorted(drawn_rows, key=lambda x: (x.h, x.id is None, x.id, x.text)))
+        text = "\n".join(x.text for x in sorted(drawn_rows, key=lambda x: (x.h % (1 << 40), x.h, x.text)))
         if text:
             samples[lang] = text[:sample_chars]
     return Model(samples) if samples else None
@@ -286,7 +303,7 @@ def predicted(df: DataFrame, model: Model | None, text: str = "text", lang: str
     more = [known] if known else []
     columns = [c for c in df.columns if c not in (lang, score, known)]
     if model is None:
-        return df.select(*columns, F.lit(UNKNOWN).alias(lang), F.lit(0.0).alias(score), *[F.lit(0.0).alias(c) for c in more])
+        return df.select(*quoted(columns), F.lit(UNKNOWN).alias(lang), F.lit(0.0).alias(score), *[F.lit(0.0).alias(c) for c in more])
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the samples: at most 2 * MODEL_CHARS states
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,9 +318,10 @@ def predicted(df: DataFrame, model: Model | None, text: str = "text", lang: str
             scores = [float(v) if t else 0.0 for v, t in zip(value, rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(m.known(rows), pa.float64()) for _ in more]], [*b.schema.names, lang, score, *more])
 
-    schema = T.StructType([*df.select(*columns).schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in more]])
-    return df.select(*columns).mapInArrow(run, schema)
+    df = df.select(*quoted(columns))
+    schema = T.StructType([*df.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in more]])
+    return df.mapInArrow(run, schema)
 
 
-def training(df: DataFrame, where: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    return df.where(where).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col(key).alias("id"))
+def training(df: DataFrame, where: Column, text: str = "text", lang: str = "lang") -> DataFrame:
+    return df.where(where).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))

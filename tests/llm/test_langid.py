@@ -107,3 +107,25 @@ def test_every_label_is_learned(spark, monkeypatch, model_chars):
     assert m.languages == list(words)
     new = spark.createDataFrame([(k, text(k)) for k in words], "lang string, text string")
     assert all(r.lang == r.lang_pred for r in langid.predicted(new, m).collect())
+
+
+def test_samples_and_documents_fold_alike():
+    """A dotted capital I, a final sigma and letters without case: a text's codes are its own sample's."""
+    for t in ("İSTANBUL'DAN ISPARTA'YA", "ΣΑΣ ΟΔΟΣ σας", "Straße ẞ ǅ ﬁ", "日本語"):
+        m = langid.Model({"x": t, "y": "zzz"})
+        assert m.phrases([t], joined=True)[0, 0] == 1 and m.known([t]) == [1.0]
+        assert [len(langid.plain(c)) for c in t] == [1] * len(t)
+
+
+def test_sample_is_of_distinct_texts(spark):
+    """A group of copies, without ids, that is nearly all of a label gives one excerpt, and rare texts are learned."""
+    rows = [("en", "spam spam spam " * 200)] * 3000 + [("en", f"{ENGLISH} {k}") for k in range(30)] + [("de", GERMAN)] * 5
+    df = spark.createDataFrame(rows, "lang string, text string")
+    seen = []
+    model, langid.Model = langid.Model, lambda samples: seen.append(samples) or model(samples)
+    try:
+        m = langid.learned(df, sample_chars=6000)
+    finally:
+        langid.Model = model
+    assert seen[0]["en"].count("spam") <= langid.EXCERPT // 5 + 1 and "quick brown" in seen[0]["en"] and seen[0]["de"] == GERMAN
+    assert m.languages == ["en", "de"]
