@@ -1,23 +1,27 @@
 """Classifier chains: categories are predicted one after another, each linear model also sees the earlier probabilities.
 
 A category's model is logistic over the presence of words (lower-case runs of letters) and of words' first four letters,
-which catch inflected forms, and over the probabilities of the categories before it in the chain. In training those probabilities come from models that did not see the row (out of
-fold), so later links learn from earlier ones as they will be at prediction time. Features are screened by how far their
+which catch inflected forms, and over the probabilities of the categories before it in the chain. In training those
+probabilities come from models that did not see the row (out of fold), so later links learn from earlier ones as they will be at prediction time. Features are screened by how far their
 positive rows are from chance (``min_z`` standard deviations), chosen by an L1 penalty and fitted again with a weak L2
 penalty, so a decisive word keeps its weight and others drop out. A category's threshold is the one with the best F1 on
 out-of-fold probabilities, in the middle of the gap where it lies.
 
-The chain is fitted on the driver, on a bounded sample: at most about ``sample_rows`` labelled rows, thinned by the hash
-of their id, half of them from rows where some category is positive; weights make up for that, and rows with equal words
-count once. A row's words are taken from its whole text.
+The chain is fitted on the driver, on a bounded sample: at most about ``sample_rows`` labelled rows, half of them from rows
+where some category is positive; weights make up for that, and rows with equal words and labels count once. Labels that say
+the same of an id are one row, labels are thinned by the hash of id and labels, and what they find among the documents once
+more by the hash of id and words if many documents share an id. A row's words are taken from its whole text; of a row with
+more than ``MOST_WORDS`` features those with the smallest hashes are kept for fitting.
 
 Defined results: a null or empty text has no words and gets each model's base rate; a null label leaves the row out of
 that category's model; a category without both labels predicts its only label, without any label 0; equal texts give
-equal results; input columns that are named like a result are replaced, others pass through.
+equal results; a null id finds no document; an id with different labels is a row for each; input columns that are named
+like a result are replaced, others pass through.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,13 +29,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Row
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismark.llm.common import fold, slices, texts
+from prismark.llm.common import fold, quoted, remove, shared_dir, slices, texts, written
 
 WORD, STEM = regex.compile(r"\p{L}+"), 4
+#: Features of a labelled row that fitting gets at most.
+MOST_WORDS = 20_000
 
 
 def words(text: str) -> set[str]:
@@ -40,6 +47,11 @@ def words(text: str) -> set[str]:
     return found | {f"{w[:STEM]}-" for w in found if len(w) > STEM}
 
 
+def bounded(features: set[str], most: int = MOST_WORDS) -> list[str]:
+    """Features in order; of very many those with the smallest hashes."""
+    return sorted(features if len(features) <= most else heapq.nsmallest(most, features, key=lambda w: (xxhash.xxh3_64_intdigest(w), w)))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -167,36 +179,43 @@ def chain_of(rows: list[set[str]], labels: dict[str, list[int | None]], weights:
 def learned(docs: DataFrame, labels: DataFrame, categories: list[str], text: str = "text", key: str = "doc_id", sample_rows: int = 4000, **options) -> Chain:
     """A chain from the labels of documents; the driver gets the distinct words of about ``sample_rows`` of them.
 
-    Labels are thinned before they meet the texts, so what is broadcast is the sample's ids.
+    Labels are thinned before they meet the texts, so what is broadcast is the sample's ids: about ``sample_rows`` however
+    often an id is labelled.
     """
     positive = F.greatest(*[F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in categories], F.lit(0)) > 0
-    rows = labels.where(F.coalesce(*[F.col(c).cast("int") for c in categories]).isNotNull()).withColumn("__positive", positive)
-    n = {r["__positive"]: r["n"] for r in rows.groupBy("__positive").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("__positive"), sample_rows / 2 / max(n.get(True, 0), 1)).otherwise(sample_rows / 2 / max(n.get(False, 0), 1))
-    drawn = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
-    sample = rows.where(drawn < share).select(F.col(key).alias("id"), drawn.alias("h"), *[F.col(c).cast("int").alias(f"c{k}") for k, c in enumerate(categories)])
-    picked = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "id").select("id", "h", "text", *[f"c{k}" for k in range(len(categories))])
-    fields = ["id", "h", "words", *[f"c{k}" for k in range(len(categories))]]
+    names = [f"c{k}" for k in range(len(categories))]
+    told = labels.select(F.col(key).alias("id"), positive.alias("positive"), *[F.col(c).cast("int").alias(n) for c, n in zip(categories, names, strict=True)])
+    rows = told.where(F.col("id").isNotNull() & F.coalesce(*names).isNotNull()).distinct()
+    n = {r["positive"]: r["n"] for r in rows.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("positive"), sample_rows / 2 / max(n.get(True, 0), 1)).otherwise(sample_rows / 2 / max(n.get(False, 0), 1))
+    drawn = lambda *of: F.pmod(F.xxhash64(*of, F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
+    sample = rows.select("id", drawn("id").alias("h"), *names, share.alias("share"), drawn("id", *names).alias("own")).where("own < share").select("id", "h", *names)
+    picked = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "id").select("id", "h", "text", *names)
+    fields = ["id", "h", "words", *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(sorted(words(t))) for t in texts(b.column(2))], pa.string()), *b.columns[3:]], fields)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(bounded(words(t))) for t in texts(b.column(2))], pa.string()), *b.columns[3:]], fields)
 
     schema = T.StructType([picked.schema["id"], picked.schema["h"], T.StructField("words", T.StringType()), *[picked.schema[f] for f in fields[3:]]])
-    got: dict[tuple, Row] = {}
-    for r in sorted(picked.mapInArrow(run, schema).collect(), key=lambda r: (r.h, r.id is None, r.id, r.words)):
-        got.setdefault((r.words, *r[3:]), r)
-    rows_in = list(got.values())
-    some = [any(r[3:]) for r in rows_in]
+    path = shared_dir(docs.sparkSession)
+    found = written(picked.mapInArrow(run, schema), f"{path}/found")
+    many = found.count()
+    if many > 2 * sample_rows:  # documents that share an id
+        found = found.where(drawn("id", "words") < 1.5 * sample_rows / many)
+    rows_in = sorted(found.groupBy("words", *names).agg(F.min(F.struct("h", "id")).alias("first")).collect(), key=lambda r: (r.first.h, r.first.id, r.words))
+    remove(docs.sparkSession, path)
+    some = [any(r[1:-1]) for r in rows_in]
     weights = [n.get(p, 0) / max(1, some.count(p)) for p in some]
     return chain_of([set(r.words.split()) for r in rows_in], {c: [r[f"c{k}"] for r in rows_in] for k, c in enumerate(categories)}, weights, **options)
 
 
-def predicted(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """``df`` with ``p_<category>`` and ``is_<category>`` for each category of the chain."""
+def predicted(df: DataFrame, chain: Chain, text: str = "text", prefix: str = "") -> DataFrame:
+    """``df`` with ``p_<category>`` and ``is_<category>``, after the prefix, for each category of the chain."""
     shared = df.sparkSession.sparkContext.broadcast(chain)  # bounded by the sample's words
-    added = [T.StructField(f"{a}_{k.name}", t) for k in chain.links for a, t in (("p", T.DoubleType()), ("is", T.BooleanType()))]
-    columns = [c for c in df.columns if c not in {f.name for f in added}]
+    added = [T.StructField(f"{prefix}{a}_{k.name}", t) for k in chain.links for a, t in (("p", T.DoubleType()), ("is", T.BooleanType()))]
+    columns = [c for c in df.columns if c.lower() not in {f.name.lower() for f in added}]
+    df = df.select(*quoted(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
@@ -207,7 +226,7 @@ def predicted(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
                 out += [pa.array([x[k] for x in p], pa.float64()), pa.array([x[k] >= link.threshold for x in p], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *out], [*columns, *[f.name for f in added]])
 
-    return df.select(*columns).mapInArrow(run, T.StructType([*df.select(*columns).schema.fields, *added]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
 
 #: Labelled rows whose fold of so many is 1 can be held out.
@@ -215,7 +234,7 @@ HELD_OUT = 5
 
 
 def of_documents(docs: DataFrame, labels: DataFrame, hold_out: bool = False, **options) -> Chain:
-    """The chain of the synthetic tables: low quality, then toxic. A document that is labelled twice counts twice."""
+    """The chain of the synthetic tables: low quality, then toxic."""
     rows = labels.where(fold("doc_id", HELD_OUT) != 1) if hold_out else labels
     rows = rows.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     return learned(docs, rows, ["low_quality", "toxic"], **options)

@@ -70,3 +70,98 @@ def test_synthetic_documents(spark):
     chain = toxicity.of_documents(docs, labels, hold_out=True)
     got = toxicity.predicted(docs, chain).where("lang = 'en'").join(labels, "doc_id").where(fold("doc_id", 5) == 1).collect()
     assert len(got) > 30 and sum(r.is_toxic == bool(r.toxic) for r in got) >= 0.95 * len(got)
+
+
+def slow_fit(rows, y, before, weight, keep, l1, l2, steps=6000):
+    """Logistic regression by small steps over dictionaries, one row after another."""
+    import math
+
+    w, d, b, n = dict.fromkeys(keep, 0.0), [0.0] * len(before[0]), 0.0, len(rows)
+    for k in range(steps):
+        gw, gd, gb = dict.fromkeys(keep, 0.0), [0.0] * len(d), 0.0
+        for r, t, p, own in zip(rows, y, before, weight, strict=True):
+            s = b + sum(w[x] for x in r if x in w) + sum(a * v for a, v in zip(d, p, strict=True))
+            e = (1 / (1 + math.exp(-s)) - t) * own / n
+            for x in r:
+                if x in gw:
+                    gw[x] += e
+            gd, gb = [a + e * v for a, v in zip(gd, p, strict=True)], gb + e
+        rate = 0.5
+        for x in w:
+            v = w[x] - rate * (gw[x] + l2 * w[x])
+            w[x] = math.copysign(max(abs(v) - rate * l1, 0), v)
+        d, b = [a - rate * (g + l2 * a) for a, g in zip(d, gd, strict=True)], b - rate * gb
+    return w, d, b
+
+
+def test_fit_against_small_steps():
+    """The accelerated fit finds the same minimum as plain steps, with and without the penalty on size."""
+    import numpy as np
+
+    rng = random.Random(4)
+    names = ["a", "b", "c", "d"]
+    rows = [[w for w in names if rng.random() < 0.5] for _ in range(40)]
+    y = [int(("a" in r) + rng.random() > 0.9) for r in rows]
+    before, weight = [[rng.random()] for _ in rows], [rng.choice([0.5, 1.0, 2.0]) for _ in rows]
+    mean = sum(weight) / len(weight)
+    for l1, l2 in ((0.02, 0.0), (0.0, 0.02)):
+        x = toxicity.Rows.of([np.array([names.index(w) for w in r], dtype=np.int64) for r in rows], np.array(before))
+        w, d, b = toxicity.fitted(x, np.array(y, float), 4, l1, l2, 4000, np.array(weight))
+        want, want_d, want_b = slow_fit(rows, y, before, [v / mean for v in weight], names, l1, l2, 3000)
+        assert max(abs(w[k] - want[n]) for k, n in enumerate(names)) < 0.02 and abs(d[0] - want_d[0]) < 0.05 and abs(b - want_b) < 0.05
+
+
+def test_chain_against_brute_force(monkeypatch):
+    """Out-of-fold probabilities, the models' inputs and the chain's predictions, each told again by plain loops."""
+    import math
+
+    import numpy as np
+
+    rows = [toxicity.words(t) for _, t, _, _ in corpus(120, 9)]
+    labels = {"rude": [r for *_, r, _ in corpus(120, 9)], "bad": [None if k % 13 == 0 else b for k, (*_, b) in enumerate(corpus(120, 9))]}
+    fits, fit = [], toxicity.fitted
+
+    def watched(x, y, features, l1, l2, rounds, weight, only=None):
+        out = fit(x, y, features, l1, l2, rounds, weight, only)
+        if l2:
+            fits.append((len(y), x.dense.copy(), y.copy(), out))
+        return out
+
+    monkeypatch.setattr(toxicity, "fitted", watched)
+    chain = toxicity.chain_of(rows, labels, min_z=2.0)
+
+    def said(link, present, before):
+        s = link.base + sum(a * p for a, p in zip(link.earlier, before, strict=True)) + sum(w for name, w in link.weights.items() if name in present)
+        return 1 / (1 + math.exp(-max(-40, min(40, s))))
+
+    # Three folds and the whole for each of two categories; a fold's model does not see it, nor rows without a label.
+    assert [n for n, *_ in fits] == [80, 80, 80, 120] + [sum(1 for k in range(120) if k % 3 != f and k % 13) for f in range(3)] + [sum(1 for k in range(120) if k % 13)]
+    known = sorted(w for w in set().union(*rows) if sum(w in r for r in rows) >= 4)
+    out_of_fold = [0.0] * 120
+    for f, (_, _, _, (w, _, b)) in enumerate(fits[:3]):
+        weights = dict(zip(known, w.tolist(), strict=True))
+        for k in range(f, 120, 3):
+            out_of_fold[k] = 1 / (1 + math.exp(-(b + sum(weights.get(x, 0.0) for x in rows[k]))))
+    inside = [k for k in range(120) if k % 13]
+    assert np.allclose(fits[-1][1][:, 0], [out_of_fold[k] for k in inside], atol=1e-9)
+    assert fits[-1][2].tolist() == [labels["bad"][k] for k in inside]
+    for _, t, _, _ in corpus(30, 10):
+        p = chain.probabilities(t)
+        first = said(chain.links[0], toxicity.words(t), [])
+        assert np.allclose(p, [first, said(chain.links[1], toxicity.words(t), [first])], atol=1e-12)
+
+
+def test_hot_ids(spark):
+    """An id labelled very often, and one that very many documents share: the sample stays bounded, the rest is learned."""
+    rows = corpus(300, 6)
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows] + [(5000, f"{t} {i}") for i, t, _, _ in corpus(2000, 7)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, r, b) for i, _, r, b in rows] + [(5000, 0, 0)] * 3000, "doc_id long, rude int, bad int")
+    seen = []
+    fit, toxicity.chain_of = toxicity.chain_of, lambda r, *a, **o: seen.append(len(r)) or fit(r, *a, **o)
+    try:
+        chain = toxicity.learned(docs, labels, ["rude", "bad"], sample_rows=600)
+    finally:
+        toxicity.chain_of = fit
+    assert 200 < seen[0] < 1300
+    assert chain.probabilities("mona gromph vilek skarn")[1] > chain.probabilities("mona")[1]
+    assert len(toxicity.bounded({f"w{k}" for k in range(50)}, 10)) == 10 and toxicity.bounded({"b", "a"}) == ["a", "b"]
