@@ -9,7 +9,8 @@ pair, whatever the centroids are. Where vectors have no clusters the bound prune
 products of all pairs of one label; ``probes`` then limits each vector to its nearest cells, at a loss of pairs.
 
 Pairs of blocks are dealt over tasks. A task tells no pairs: it returns link counts for its vectors, and enough links to
-connect what is linked. Equal vectors of one label are one vector with a count, so copies cost nothing.
+connect what is linked. Vectors of one label that are equal, but for a power of two, are one vector with a count, so copies
+cost nothing.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a null label,
 link with nothing; vectors of different lengths do not link; rows that share an id are one vertex, whose links are added up, and have
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +39,26 @@ ROUNDS = 8
 
 
 def vectors(df: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
-    """``vec_id, label, data``: the components as doubles in bytes, null for vectors that link with nothing."""
+    """``vec_id, label, data``: the scaled components as doubles in bytes, null for vectors that link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
-            out = []
-            for v in b.column(2):
-                x = v.values.to_numpy(zero_copy_only=False).astype("<f8") if v.is_valid and v.values.null_count == 0 else None
-                ok = x is not None and len(x) and np.isfinite(x).all() and x.any() and 0 < float(x @ x) < math.inf
-                out.append((x + 0.0).tobytes() if ok else None)
+            out: list[bytes | None] = [None] * b.num_rows
+            lists = b.column(2)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+            flat = lists.flatten()  # without what null lists may hide
+            values, null = flat.to_numpy(zero_copy_only=False).astype("<f8"), flat.is_null().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            for size in set(sizes.tolist()) - {0}:
+                rows = np.flatnonzero(sizes == size)
+                at = starts[rows][:, None] + np.arange(size)
+                x = values[at]
+                ok = ~null[at].any(axis=1) & np.isfinite(x).all(axis=1) & x.any(axis=1)
+                rows, x = rows[ok], x[ok]
+                # By a power of two, so that squares neither overflow nor vanish; that changes no cosine.
+                x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None]) + 0.0
+                for k, data in zip(rows.tolist(), x, strict=True):
+                    out[k] = data.tobytes()
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["vec_id", "label", "data"])
 
     return df.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).alias("v")).mapInArrow(run, "vec_id long, label string, data binary")
@@ -159,7 +172,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, key: str = "vec_id",
         fit = [fit[k] for k in np.linspace(0, len(fit) - 1, min(SAMPLE, len(fit))).astype(int)]
         c = centroids(units(fit), min(cells, len(fit)))
     placed = written(assigned(distinct, c, threshold, probes), f"{path}/cells")
-    sized = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    # Written first: joined with the counts as they come, the vectors of one cell would stay together in one task.
+    sized = written(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), f"{path}/sized")
     own = placed.join(sized, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("data", F.lit(4)), F.col("blocks")))
     to = sized.select("label", "dim", F.col("cell").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other_block"))
     name = lambda cell, block: F.col(cell) * (1 << 32) + F.col(block)

@@ -72,3 +72,12 @@ def test_recall_of_few_probes(spark):
     exact = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df).collect()}
     some = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, probes=1).collect()}
     assert all(some[i] <= n for i, n in exact.items()) and sum(some.values()) >= 0.9 * sum(exact.values())
+
+
+def test_very_small_and_very_large_vectors(spark):
+    """Squares of these under- or overflow; their cosines don't."""
+    base = [0.6, -0.3, 0.2]
+    rows = [(k, [x * s for x in base], "a") for k, s in enumerate((1.0, 1e-200, 1e200, 5e-324 / 0.2, 3.0, 1e-160))] + [(9, [x * 1e-200 for x in (-0.6, 0.3, 0.2)], "a"), (10, [1e308, 1e308, 1e308], "a"), (11, [1e-300] * 3, "a"), (12, [0.0] * 3, "a")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert {k: got[k] for k in (0, 1, 2, 4, 5)} == dict.fromkeys((0, 1, 2, 4, 5), (5 if got[3][0] else 4, 0))
+    assert got[9] == (0, 9) and got[10] == got[11] == (1, 10) and got[12] == (0, 12)
