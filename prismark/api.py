@@ -39,10 +39,9 @@ class Result(dict):
     """A dictionary with its keys as attributes."""
 
     def __getattr__(self, name: str) -> Any:
-        try:
-            return self[name]
-        except KeyError:
-            raise AttributeError(name) from None
+        if name in self:
+            return self.get(name)
+        raise AttributeError(f"this result has no {name}")
 
 
 def _result(found: dict) -> Result:
@@ -116,17 +115,25 @@ def gen_sum_code_v0(path: Any, bits: int = 64, wide: bool = False, add_units: bo
     """Of a file, read once in blocks."""
     hashers = DataHasher(), InstanceHasher()
     try:
-        with open(path, "rb") as f:
-            while block := f.read(tables.READ_SIZE):
-                for h in hashers:
-                    h.update(block)
+        f = open(path, "rb")  # noqa: SIM115
     except OSError as e:
         raise ValueError(f"Cannot open file {path}: {e}") from None
+    with f:
+        while block := _block(f, path):
+            for h in hashers:
+                h.update(block)
     data, instance = (h.finalize(bits) for h in hashers)
     units = [data.iscc, instance.iscc]
     return _result({"iscc": codec.composed(units, wide), "datahash": instance.datahash, "filesize": instance.filesize, "units": units if add_units else None})
 
 
+def _block(f: Any, path: Any) -> bytes:
+    try:
+        return f.read(tables.READ_SIZE)
+    except OSError as e:
+        raise ValueError(f"Cannot read file {path}: {e}") from None
+
+
 class DataHasher(_DataHasher):
     """``update`` takes bytes or an object with ``read``."""
 

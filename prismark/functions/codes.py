@@ -107,6 +107,12 @@ def sum_code(data, bits: int = 64, wide: bool = False, units: bool = False) -> C
     return column(codes.sum_codes, SUM, data, bits=bits, wide=wide, units=units, batch=True)
 
 
+def stream_bytes(text) -> Column:
+    """Native: the bytes that published test vectors spell as ``stream:<hexadecimal digits>``; null for other strings."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.when(c.startswith("stream:"), F.unhex(F.substr(c, F.lit(8))))
+
+
 def xxh32(data) -> Column:
     return column(xxh32_kernel.of, "bigint", data)
 

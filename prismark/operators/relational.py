@@ -44,7 +44,7 @@ def _permuted(f: Column, a: int, b: int) -> Column:
     t = p.bitwiseAND(F.lit(_LOW)) + F.shiftleft(q.bitwiseAND(F.lit(0xFFFF)), 16) + F.lit(b & _LOW)
     top = (F.shiftright(p, 32) + F.shiftright(q, 16) + F.lit(high) * f + F.lit(b >> 32) + F.shiftright(t, 32)).bitwiseAND(F.lit(_LOW))
     t = F.shiftright(top, 29) + F.shiftleft(top.bitwiseAND(F.lit((1 << 29) - 1)), 32) + t.bitwiseAND(F.lit(_LOW))
-    return F.when(t >= MERSENNE, t - MERSENNE).otherwise(t).bitwiseAND(F.lit(_LOW))
+    return (t % F.lit(MERSENNE)).bitwiseAND(F.lit(_LOW))  # told once: the generated code holds each use of t anew
 
 
 def minhash_columns(feature: Column | str) -> list[Column]:

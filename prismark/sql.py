@@ -11,7 +11,7 @@ from prismark.functions.arrow import _made
 from prismark.functions.codec import DECODED, _decoded
 from prismark.functions.codes import INSTANCE, ISCC, META, MIXED, SUM, TEXT
 from prismark.kernels import cdc, codec, codes, jcs, text
-
+from prismark.sources import ChunkedFiles
 
 
 def _meta_rows(rows: list[tuple]) -> list:
@@ -63,7 +63,10 @@ class Decompose:
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Registers everything and returns the names. Arguments are those of the kernels, all of them given."""
+    """Registers everything, the ``chunked_files`` source included, and returns the functions' names.
+
+    Arguments are those of the kernels, all of them given.
+    """
     from pyspark.sql.functions import arrow_udf
 
     for name, (kernel, ddl, batch, n) in FUNCTIONS.items():
@@ -71,4 +74,5 @@ def register(spark: SparkSession) -> list[str]:
         spark.udf.register(name, arrow_udf(by_count[n], kind))
     for name, table in (("ngrams", Ngrams), ("cdc_chunks", CdcChunks), ("decompose", Decompose)):
         spark.udtf.register(name, table)
+    spark.dataSource.register(ChunkedFiles)
     return [*FUNCTIONS, "ngrams", "cdc_chunks", "decompose"]

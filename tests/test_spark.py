@@ -157,6 +157,54 @@ def test_stream(spark, tmp_path):
         assert (r.data_code, r.instance_code, r.filesize) == (codes.data_code(whole)["iscc"], codes.instance_code(whole)["iscc"], len(whole))
 
 
+def test_stream_tells_what_comes_out_of_order_or_after_the_end(spark, tmp_path):
+    """Batches in this order: a gap, a repeat, a late piece, pieces after the end in their own and in later batches."""
+    batches = [
+        [("whole", 0, b"ab", False), ("gap", 0, b"a", False), ("gap", 2, b"c", True), ("twice", 0, b"a", False), ("long", 0, b"x", True), ("long", 1, b"y", False), ("open", 0, b"abc", False)],
+        [("whole", 1, b"c", True), ("gap", 1, b"b", False), ("twice", 0, b"a", True), ("late", 1, b"b", False)],
+        [("late", 0, b"a", False), ("whole", 2, b"d", False), ("whole", 3, b"d", True)],
+    ]
+    schema = "asset_id string, seq long, data binary, last boolean"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_codes(stream).writeStream.format("memory").queryName("told").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    q.stop()
+    got = sorted((r.asset_id, r.status, r.filesize) for r in spark.table("told").collect())
+    after = "pieces after the end"
+    assert got == sorted([
+        ("whole", "complete", 3), ("whole", after, None), ("gap", "expected piece 1, got 2", 1), ("gap", after, None), ("twice", "expected piece 1, got 0", 1),
+        ("long", "complete", 1), ("long", after, None), ("late", "expected piece 2, got 0", 1),
+    ])
+    r = spark.table("told").where("asset_id = 'whole' and status = 'complete'").first()
+    assert (r.data_code, r.datahash) == (codes.data_code(b"abc")["iscc"], codes.multihash(b"abc"))
+    assert spark.table("told").where("status <> 'complete' and data_code is not null").count() == 0
+
+
+def test_headers(spark):
+    """Native headers and numbers against the kernel's, at the bounds of their classes, and what is no header."""
+    numbers = [0, 1, 7, 8, 71, 72, 583, 584, 4679]
+    df = spark.createDataFrame([(k % 8, n % 8, n) for k, n in enumerate(numbers)], "m int, s int, n int")
+    got = df.select("m", "s", "n", P.varnibble("n").alias("v"), P.read_varnibble(F.concat(P.varnibble("n"), F.lit("0101"))).alias("r"), P.encode_header("m", "s", F.lit(0), "n").alias("h")).collect()
+    for r in got:
+        assert r.v == codec.varnibble(r.n) and (r.r.value, r.r.rest) == (r.n, "0101") and bytes(r.h) == codec.header(r.m, r.s, 0, r.n)
+    told = df.select("m", "s", "n", P.decode_header(F.concat(P.encode_header("m", "s", F.lit(0), "n"), F.unhex(F.lit("00ff")))).alias("x")).collect()
+    assert all((r.x.mtype, r.x.stype, r.x.version, r.x.length, bytes(r.x.tail)) == (r.m, r.s, 0, r.n, b"\x00\xff") for r in told)
+    odd = spark.createDataFrame([(None,), (b"",), (b"\x00",), (b"\xff\xff\xff",), (b"\x00\x10",), (b"\x80\x00\x00",), (b"\x00\x00",)], "b binary")
+    assert [r.x is not None for r in odd.select(P.decode_header("b").alias("x")).collect()] == [False] * 6 + [True]
+    beyond = spark.createDataFrame([(4680,), (-1,), (None,)], "n int").select(P.varnibble("n").alias("v"), P.encode_header(F.lit(0), F.lit(0), F.lit(0), "n").alias("h")).collect()
+    assert all(r.v is None and r.h is None for r in beyond)
+    fields = spark.createDataFrame([(k,) for k in (-1, 0, 1, 2, 5, 7, 8, None)], "n int").select(P.read_units_field("n").alias("u")).collect()
+    assert [r.u for r in fields] == [None, [], [2], [1], [0, 2], [0, 1, 2], None, None]
+
+
+def test_stream_bytes(spark):
+    got = spark.createDataFrame([("stream:",), ("stream:ff00",), ("ff00",), (None,)], "t string").select(P.stream_bytes("t").alias("b")).collect()
+    assert [None if r.b is None else bytes(r.b) for r in got] == [b"", b"\xff\x00", None, None]
+
+
 def test_sql(spark, rows):
     names = sql.register(spark)
     rows.createOrReplaceTempView("rows_v")
