@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismark.llm.common import quoted, remove, shared_dir, slices, unused, written
+from prismark.llm.common import quoted, release, remove, shared_dir, slices, unused, written
 from prismark.llm.components import components
 from prismark.llm.words import mixed, word_hashes
 
@@ -153,7 +153,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, part: int, whole: i
     """Pairs whose full sets have whole * intersection >= part * union. Texts travel, not sets: they are shorter."""
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs)
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("data").alias(f"{c}_data"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    # Texts are dealt by id however few the pairs are, so a plan on little data is the plan on much.
+    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
@@ -285,6 +286,7 @@ def near_duplicates(df: DataFrame, words: int = 5, part: int = 80, whole: int =
     links = written(confirmed(first, docs, words, part, whole), f"{path}/links")
     known = written(components(links, f"{path}/components-1"), f"{path}/known")
     # What a pivot's members have to say to each other, where they belong to more than one component.
+    release(df.sparkSession)
     named = known.toDF("id", "found")
     members = written(star.join(named, "id", "left").select("pivot", "id", F.coalesce("found", "id").alias("component")), f"{path}/members")
     rivalling = mixed_pivots(members, sets, f"{path}/mixed-1").join(sets.select("id", "signature"), "id").select("pivot", "id", "component", "blocks", "signature")
@@ -296,6 +298,7 @@ def near_duplicates(df: DataFrame, words: int = 5, part: int = 80, whole: int =
     found = written(components(links, f"{path}/components-2"), f"{path}/found")
     for name in ("buckets", "star", "near", "members", "mixed-1", "mixed-2", "close", "links", "links-2", "known", "components-1", "components-2"):
         remove(df.sparkSession, f"{path}/{name}")
+    release(df.sparkSession)
     # From sets to documents.
     of_set = sets.join(found, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("component_id"))
     whole_rows = rows.join(of_set, "set_key", "left")
