@@ -36,6 +36,8 @@ from prismark.llm.common import shared_dir, slices, written
 CHUNK = 1 << 20
 #: Raw bytes after which a task begins its next archive.
 ARCHIVE_BYTES = 64 << 20
+#: Tasks that files are dealt over at most.
+MOST_TASKS = 1 << 15
 DATE = "1970-01-01T00:00:00Z"
 PREFIX = "urn:x-page:"
 MANIFEST = "archive string, records long, raw_bytes long"
@@ -244,8 +246,8 @@ def read_back(index: DataFrame) -> DataFrame:
 
 
 def one_each(rows: DataFrame) -> DataFrame:
-    """The rows of a table of files over as many partitions, so that each file is a task."""
-    n = rows.count()
+    """The rows of a table of files over as many partitions, or ``MOST_TASKS``: then a task has several files, one by one."""
+    n = min(rows.count(), MOST_TASKS)
     return rows.repartition(n) if n > 1 else rows
 
 
