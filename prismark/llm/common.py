@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows, and bytes, that are turned into Python objects at a time; they bound what one Arrow batch of long texts holds twice.
 SLICE, SLICE_BYTES = 128, 1 << 20
@@ -98,6 +100,15 @@ def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are written.
+
+    It does so when the driver collects its garbage, which by itself may come long after executors' disks are full.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of this run through Hadoop's file system, wherever it lies."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -117,6 +128,22 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_columns(df: DataFrame, run: Callable, added: list[T.StructField]) -> DataFrame:
+    """``df`` and the columns that ``run`` adds to its Arrow batches, whose own columns come first.
+
+    On the way columns have numbers for names: Spark's ``mapInArrow`` takes none with dots, and none twice.
+    """
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    kinds = [T.StructField(f"a{k}", f.dataType) for k, f in enumerate(added)]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names)
+
+    names = [*plain.columns, *(f.name for f in kinds)]
+    return plain.mapInArrow(numbered, T.StructType([*plain.schema.fields, *kinds])).toDF(*df.columns, *(f.name for f in added))
+
+
 def fold(key: str | Column, n: int) -> Column:
     """crc32 of the id as decimal text, modulo ``n``; a null id is in fold 0."""
     c = F.col(key) if isinstance(key, str) else key

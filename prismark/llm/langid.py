@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismark.llm.common import quoted, slices
+from prismark.llm.common import quoted, slices, with_columns
 
 UNKNOWN = "und"
 PIECE = 256
@@ -304,12 +304,14 @@ def predicted(df: DataFrame, model: Model | None, text: str = "text", lang: str
     columns = [c for c in df.columns if c not in (lang, score, known)]
     if model is None:
         return df.select(*quoted(columns), F.lit(UNKNOWN).alias(lang), F.lit(0.0).alias(score), *[F.lit(0.0).alias(c) for c in more])
+    df, at = df.select(*quoted(columns)), columns.index(text)
+    added = [T.StructField(lang, T.StringType()), *[T.StructField(c, T.DoubleType()) for c in (score, *more)]]
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the samples: at most 2 * MODEL_CHARS states
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in slices(batches, 256):
-            rows = [t if t and LETTER.search(t) else "" for t in b.column(b.schema.names.index(text)).to_pylist()]
+            rows = [t if t and LETTER.search(t) else "" for t in b.column(at).to_pylist()]
             n = m.phrases(rows, joined=True)
             best = n.argmin(axis=1)
             ordered = np.sort(n, axis=1)
@@ -318,9 +320,7 @@ def predicted(df: DataFrame, model: Model | None, text: str = "text", lang: str
             scores = [float(v) if t else 0.0 for v, t in zip(value, rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(m.known(rows), pa.float64()) for _ in more]], [*b.schema.names, lang, score, *more])
 
-    df = df.select(*quoted(columns))
-    schema = T.StructType([*df.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in more]])
-    return df.mapInArrow(run, schema)
+    return with_columns(df, run, added)
 
 
 def training(df: DataFrame, where: Column, text: str = "text", lang: str = "lang") -> DataFrame:

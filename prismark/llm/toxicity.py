@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismark.llm.common import fold, quoted, remove, shared_dir, slices, texts, written
+from prismark.llm.common import fold, quoted, remove, shared_dir, slices, texts, with_columns, written
 
 WORD, STEM = regex.compile(r"\p{L}+"), 4
 #: Features of a labelled row that fitting gets at most.
@@ -215,18 +215,18 @@ def predicted(df: DataFrame, chain: Chain, text: str = "text", prefix: str = "")
     shared = df.sparkSession.sparkContext.broadcast(chain)  # bounded by the sample's words
     added = [T.StructField(f"{prefix}{a}_{k.name}", t) for k in chain.links for a, t in (("p", T.DoubleType()), ("is", T.BooleanType()))]
     columns = [c for c in df.columns if c.lower() not in {f.name.lower() for f in added}]
-    df = df.select(*quoted(columns))
+    df, at = df.select(*quoted(columns)), columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for b in slices(batches):
-            p = [c.probabilities(t) for t in texts(b.column(b.schema.names.index(text)))]
+            p = [c.probabilities(t) for t in texts(b.column(at))]
             out = []
             for k, link in enumerate(c.links):
                 out += [pa.array([x[k] for x in p], pa.float64()), pa.array([x[k] >= link.threshold for x in p], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *out], [*columns, *[f.name for f in added]])
+            yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, *[f.name for f in added]])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
+    return with_columns(df, run, added)
 
 
 #: Labelled rows whose fold of so many is 1 can be held out.
