@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismark.llm.common import fold, remove, shared_dir, slices, written
+from prismark.llm.common import fold, release, remove, shared_dir, slices, written
 from prismark.llm.words import word_hashes
 
 ORDER = 5
@@ -48,14 +48,23 @@ MOST_TASKS = 1 << 15
 LEAST_PARTS = 16
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_symbols long"
 
-def zipped(a: np.ndarray) -> bytes:
-    return np.int64(a.nbytes).tobytes() + pa.compress(a.tobytes(), codec="zstd", asbytes=True)
+def zipped(a: np.ndarray, level: int = 3) -> bytes:
+    return np.int64(a.nbytes).tobytes() + pa.Codec("zstd", compression_level=level).compress(a.tobytes(), asbytes=True)
 
 
 def unzipped(b: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], int(np.frombuffer(b[:8], dtype=np.int64)[0]), codec="zstd", asbytes=True), dtype=dtype)
 
 
+def zipped_floats(a: np.ndarray) -> bytes:
+    """Bytes of one weight together: exponents are alike."""
+    return zipped(np.ascontiguousarray(a.astype("<f8").view(np.uint8).reshape(-1, 8).T))
+
+
+def unzipped_floats(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unzipped(b, "u1").reshape(8, -1).T).view("<f8").ravel()
+
+
 def zipped_sorted(a: np.ndarray) -> bytes:
     return zipped(np.diff(a, prepend=np.int64(0)))
 
@@ -176,7 +185,7 @@ def placed(docs: DataFrame) -> DataFrame:
 
         def give() -> pa.RecordBatch:
             ids, out, data = zip(*held, strict=True)
-            row = block, list(ids), list(out), zipped(np.array([len(x) for x in data], dtype=np.int64)), zipped(np.frombuffer(b"".join(data), dtype=np.uint8))
+            row = block, list(ids), list(out), zipped(np.array([len(x) for x in data], dtype=np.int64)), zipped(np.frombuffer(b"".join(data), dtype=np.uint8), 6)
             held.clear()
             return pa.record_batch([pa.array([c], k) for c, k in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()), strict=True)], ["block", "ids", "held", "sizes", "text"])
 
@@ -251,18 +260,14 @@ def together(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
-def merged_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of a group's parts."""
-    return summed(np.concatenate([unzipped_sorted(x.as_py()) for x in table.column("keys")]), np.concatenate([unzipped(x.as_py(), "<i8") for x in table.column("counts")]))
-
-
 def merged(parts: DataFrame, fan: list[int], level: int, tasks: int) -> DataFrame:
     """The sums of each place's parts, dealt on for the next level; at the last one ``bucket, key, n``."""
     last = level == len(fan)
 
     def run(table: pa.Table) -> pa.Table:
         place, prefix = (table.column(c)[0].as_py() for c in ("place", "prefix"))
-        keys, counts = merged_keys(table)
+        keys, counts = (np.concatenate([f(x.as_py()) for x in table.column(c)]) for c, f in (("keys", unzipped_sorted), ("counts", lambda x: unzipped(x, "<i8"))))
+        keys, counts = summed(keys, counts)
         if last:
             return pa.table([pa.array(np.full(len(keys), prefix)), pa.array(keys), pa.array(counts)], names=["bucket", "key", "n"])
         return pa.Table.from_batches([parts_of(place // FAN, prefix, place, keys, counts, fan, level)])
@@ -320,7 +325,7 @@ def valued(keys: np.ndarray, table: pa.Table, fan: list[int], level: int) -> np.
     order, ends = dealt(keys, fan, level)
     starts, out = np.concatenate([[0], ends[:-1]]), np.empty(len(keys))
     for k, part in zip(table.column("digit").to_pylist(), table.column("values"), strict=True):
-        out[order[starts[k] : ends[k]]] = unzipped(part.as_py(), "<f8")
+        out[order[starts[k] : ends[k]]] = unzipped_floats(part.as_py())
     return out
 
 
@@ -329,7 +334,7 @@ def returned(parts: DataFrame, values: DataFrame, fan: list[int], level: int, ta
 
     A member knows its strings, so they don't travel back. values: of the level after this, at the last ``bucket, key, value``.
     """
-    last = level == len(fan)
+    last, parts = level == len(fan), parts.select("place", "prefix", "member", "keys")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if last:
@@ -337,10 +342,10 @@ def returned(parts: DataFrame, values: DataFrame, fan: list[int], level: int, ta
             order = np.argsort(keys)
             keys, value = keys[order], value[order]
         else:
-            keys, _ = merged_keys(left)
+            keys = np.unique(np.concatenate([unzipped_sorted(x.as_py()) for x in left.column("keys")]))
             value = valued(keys, right, fan, level)
         prefix = left.column("prefix").to_numpy()
-        found = [zipped(value[np.searchsorted(keys, unzipped_sorted(k.as_py()))]) for k in left.column("keys")]
+        found = [zipped_floats(value[np.searchsorted(keys, unzipped_sorted(k.as_py()))]) for k in left.column("keys")]
         return pa.table([left.column("member"), pa.array(prefix // fan[level - 1]), pa.array((prefix % fan[level - 1]).astype(np.int32)), pa.array(found, pa.binary())], names=[x.split()[0] for x in VALUES.split(", ")])
 
     if last:
@@ -363,14 +368,20 @@ def scored(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
     for level in range(1, len(fan)):
         parts.append(written(merged(parts[-1], fan, level, tasks), f"{path}/parts-{level + 1}", compression="uncompressed"))
     counts = written(merged(parts[-1], fan, len(fan), tasks), f"{path}/counts")
+    release(spark)
     found, kinds = counts.where("key < 0 and n > 0").agg(F.sum("n"), F.count("*")).first()
     ends = ends or 0
     total, kinds = (found or 0) + ends, kinds + (1 if ends else 0)
     values = probabilities(counts.where("key >= 0"), f"{path}/trie").join(counts.where("key >= 0").select("key", "bucket"), "key").select("bucket", "key", "value")
     values = written(values.union(counts.where("key < 0").select("bucket", "key", F.col("n").cast("double"))), f"{path}/values")
-    remove(spark, f"{path}/trie")
+    for done in ("trie", "counts"):
+        remove(spark, f"{path}/{done}")
+    release(spark)
     for level in range(len(fan), 0, -1):
-        values = returned(parts[level - 1], values, fan, level, tasks)
+        values = written(returned(parts[level - 1], values, fan, level, tasks), f"{path}/returned-{level}", compression="uncompressed")
+        for done in (f"parts-{level}", f"returned-{level + 1}" if level < len(fan) else "values"):
+            remove(spark, f"{path}/{done}")
+        release(spark)
     share = total + kinds + 1
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -94,6 +94,11 @@ def test_values_table():
     assert (ppm.Values(keys, values).of(keys[some]) == values[some]).all()
 
 
+def test_zipped_floats():
+    for a in (np.zeros(0), np.random.default_rng(0).normal(size=1000), np.array([-0.0, np.inf, 1e-320])):
+        assert ppm.unzipped_floats(ppm.zipped_floats(a)).tobytes() == a.tobytes()
+
+
 def test_fans():
     assert ppm.fans(1) == [ppm.LEAST_PARTS] and ppm.fans(128) == [128] and ppm.fans(129) == [128, 16]
     assert ppm.fans(6000) == [128, 47] and ppm.fans(12_000_000) == [128, 128, 128, 16]
