@@ -321,4 +321,5 @@ def deduplicated(df: DataFrame, **options) -> DataFrame:
     own = F.when(~bare | F.col("id").isNull(), F.col("component_id"))
     classes = named.groupBy(own.alias("class"), F.when(bare, F.col("id")).alias("id"), F.when(bare, F.col("h")).alias("h"))
     kept = written(classes.agg(F.min(F.struct(F.col("id").isNull(), "id", "h", "row"))["row"].alias(number)).select(number), f"{path}/kept")
-    return rows.join(kept, number, "left_semi").select(*quoted(df.columns))
+    # Rows are dealt by number however few stay, so that a plan on little data is the plan on much.
+    return rows.join(kept.hint("merge"), number, "left_semi").select(*quoted(df.columns))
