@@ -209,6 +209,18 @@ def put_code(w: BitWriter, counts: np.ndarray) -> Code:
     return code
 
 
+#: Sizes of the code that the encoder tells lengths by: one for all pictures, made for lengths of bytes of text.
+OUTER = {0: 3, 6: 3, 7: 3, 8: 3, 5: 4, 9: 4, 17: 4, 18: 4, 4: 4, 10: 4, 3: 5, 16: 5, 2: 6, 11: 6, 12: 6, 1: 6}
+
+
+@lru_cache(maxsize=1)
+def outer_code() -> tuple[list[int], list[int], list[int]]:
+    """Sizes and bits of that code, and its sizes in the order in which they are told."""
+    sizes = [OUTER.get(s, 0) for s in range(19)]
+    order = [sizes[s] for s in LENGTH_ORDER]
+    return sizes, canonical(np.array(sizes)).tolist(), order[: max(k + 1 for k, x in enumerate(order) if x)]
+
+
 @lru_cache(maxsize=8)
 def code_of(key: bytes) -> tuple[int, int, Code]:
     """A code for the counts, and what tells it as one number and its bits; channels with equal counts share one."""
@@ -252,17 +264,12 @@ def code_of(key: bytes) -> tuple[int, int, Code]:
                 n -= m
         if n:
             runs += [(x, 0, 0)] * n
-    outer = code_lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
-    sizes, bits = outer.tolist(), canonical(outer).tolist()
-    order = [sizes[s] for s in LENGTH_ORDER]
-    told = max(4, max((k + 1 for k, x in enumerate(order) if x), default=4))
+    sizes, bits, order = outer_code()
     put(0, 1)
-    put(told - 4, 4)
-    for x in order[:told]:
+    put(len(order) - 4, 4)
+    for x in order:
         put(x, 3)
     put(0, 1)  # as many lengths as symbols
-    if sum(x > 0 for x in sizes) == 1:
-        sizes, bits = [0] * 19, [0] * 19
     for s, extra, more in runs:
         value |= (bits[s] | extra << sizes[s]) << at
         at += sizes[s] + more
@@ -542,20 +549,13 @@ def transforms_for(images: list[np.ndarray]) -> list[tuple]:
     return out
 
 
-def few_colours(image: np.ndarray) -> bool:
-    """Whether a palette can be told and some colours come again, other than in runs."""
-    flat = image.ravel()
-    colours = len(np.unique(flat))
-    return colours <= 256 and int(np.count_nonzero(flat[1:] != flat[:-1])) + 1 >= 1.1 * colours
-
-
-def encode(argb: np.ndarray, transforms: tuple = (), cache_bits: int | None = 0, groups: np.ndarray | None = None, group_bits: int = 0, shared: bool = False, by_cost: bool | None = None) -> bytes:
+def encode(argb: np.ndarray, transforms: tuple = (), cache_bits: int | None = 0, groups: np.ndarray | None = None, group_bits: int = 0, shared: bool = False, by_cost: bool = False) -> bytes:
     """A lossless WebP file of a (height, width) array of 32-bit ARGB.
 
     transforms, in this order of application: ("predictor", block bits, modes), ("cross", block bits, multipliers),
     ("green",), ("palette",). modes and multipliers are block images, a mode or (green to red, green to blue, red to
     blue) as signed bytes for each block. groups: the group of codes for each block. shared: red, blue and alpha have one
-    code, as suits bytes that are no colours. by_cost: the cache is chosen by estimated bits, and where it is true groups too.
+    code, as suits bytes that are no colours. by_cost: the cache is chosen by estimated bits.
     """
     argb = np.ascontiguousarray(argb, dtype=np.uint32)
     height, width = argb.shape
@@ -605,10 +605,9 @@ def encode(argb: np.ndarray, transforms: tuple = (), cache_bits: int | None = 0,
     w.put(0, 1)
     flat = argb.ravel()
     copies = matches(flat)
-    if by_cost is not None:
+    if by_cost:
         use, _ = by_cache(flat, np.zeros(len(flat), np.int64), literals(len(flat), copies), 1)
-        cache_bits, group_bits = CACHE_BITS if use[0] else 0, GROUP_BITS
-        groups = groups_for(flat, argb.shape[1], copies) if by_cost else None
+        cache_bits = CACHE_BITS if use[0] else 0
     put_image(w, flat, True, cache_bits, argb.shape[1], groups, group_bits, shared, copies)
     return in_file(w.bytes())
 
@@ -619,8 +618,11 @@ def in_file(data: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(data) + 12) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
 
 
-def encode_all(images: list[np.ndarray]) -> list[bytes]:
-    """``encode(image, shared=True, by_cost=False)`` of pictures of one width: the same files, made from arrays over all of them."""
+def encode_all(images: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+    """``encode(image, shared=True, by_cost=True)`` of pictures of one width: the same files, made from arrays over all of them.
+
+    Also tells which pictures have at most 256 colours that, on average, are told more than twice: a palette may pay there.
+    """
     sizes, width, n = np.array([x.size for x in images]), images[0].shape[1], len(images)
     starts = np.cumsum(sizes) - sizes
     flat, of = np.concatenate([x.ravel() for x in images]), np.repeat(np.arange(n), sizes)
@@ -628,6 +630,8 @@ def encode_all(images: list[np.ndarray]) -> list[bytes]:
     places = literals(len(flat), copies)
     use, hit = by_cache(flat, of, places, n)
     own, plain, pixels = of[places], ~hit, flat[places].astype(np.int64)
+    colours = np.bincount(np.unique(own << 32 | pixels) >> 32, minlength=n)
+    often = (colours <= 256) & (np.bincount(own, minlength=n) > 2 * colours)
     green, red, blue, alpha = ((pixels >> s) & 255 for s in (8, 16, 0, 24))
     green[hit] = 280 + slots_of(flat[places[hit]], CACHE_BITS)
     at, length, back = copies.T
@@ -671,7 +675,7 @@ def encode_all(images: list[np.ndarray]) -> list[bytes]:
     counts = np.array([len(x) for x in pieces])
     where = np.repeat(begin, counts) + 32 * (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts))
     words = joined(np.concatenate([*pieces, value.astype(np.uint64)]), np.concatenate([where, ends - size + (begin + long - before)[owner]]), int(begin[-1] + total[-1]))
-    return [in_file(words[b >> 5 : (b >> 5) + ceil_div(t, 32)].tobytes()[: ceil_div(t, 8)]) for b, t in zip(begin.tolist(), total.tolist(), strict=True)]
+    return [in_file(words[b >> 5 : (b >> 5) + ceil_div(t, 32)].tobytes()[: ceil_div(t, 8)]) for b, t in zip(begin.tolist(), total.tolist(), strict=True)], often
 
 
 # Transforms
@@ -877,33 +881,39 @@ def read_code(r: BitReader, alphabet: int) -> Table:
         most = 2 + r.bits(n)
         if most > alphabet:
             raise ValueError("more code lengths than symbols")
-    table, out, before = table_of(outer.tobytes()), [], 8
+    return table_of(read_lengths(r, table_of(outer.tobytes()), alphabet, most).tobytes())
+
+
+def read_lengths(r: BitReader, table: Table, alphabet: int, most: int) -> np.ndarray:
+    """The code lengths of an alphabet, told by at most ``most`` symbols; bits are taken from windows of a few hundred bytes."""
     symbols, sizes, mask = table.symbol.tolist(), table.size.tolist(), (1 << table.bits) - 1
-    data, p = r.data, r.at
+    out, before, p, known = [], 8, r.at, r.at
     while len(out) < alphabet and most:
+        if p + 32 > known:
+            w, known = int.from_bytes(r.data[p >> 3 : (p >> 3) + 160], "little") >> (p & 7), p + 1272
         most -= 1
-        w = int.from_bytes(data[p >> 3 : (p >> 3) + 4], "little") >> (p & 7)
         s, n = symbols[w & mask], sizes[w & mask]
         w >>= n
         if s < 16:
             out.append(s)
-            before = s or before
+            if s:
+                before = s
         elif s == 16:
             out += [before] * (3 + (w & 3))
-            n += 2
+            w, n = w >> 2, n + 2
         elif s == 17:
             out += [0] * (3 + (w & 7))
-            n += 3
+            w, n = w >> 3, n + 3
         else:
             out += [0] * (11 + (w & 127))
-            n += 7
+            w, n = w >> 7, n + 7
         p += n
-        if p > r.end:
-            raise ValueError("the stream ends early")
+    if p > r.end:
+        raise ValueError("the stream ends early")
     r.at = p
     if len(out) > alphabet:
         raise ValueError("more code lengths than symbols")
-    return table_of(np.array(out + [0] * (alphabet - len(out)), dtype=np.int64).tobytes())
+    return np.array(out + [0] * (alphabet - len(out)), dtype=np.int64)
 
 
 def value_of(r: BitReader, prefix: int) -> int:
@@ -1200,9 +1210,12 @@ def medias_of(rows: list[bytes]) -> list[bytes]:
     for width in {f.shape[1] for _, f in files}:
         some = [n for n, (_, f) in enumerate(files) if f.shape[1] == width]
         images = [files[n][1] for n in some]
-        for n, image, data, transforms, groups in zip(some, images, encode_all(images), transforms_for(images), mixed(images), strict=True):
-            tried = [(t, False) for t in ((("palette",),) if few_colours(image) else (), transforms) if t] + [((), True)] * groups
-            made[n] = min([data, *(encode(image, t, shared=True, by_cost=g) for t, g in tried)], key=len)
+        for n, image, data, often, transforms, unlike in zip(some, images, *encode_all(images), transforms_for(images), mixed(images), strict=True):
+            tried = [data, *(encode(image, t, shared=True, by_cost=True) for t in ((("palette",),) if often else (), transforms) if t)]
+            groups = groups_for(image.ravel(), width, matches(image.ravel())) if unlike else None
+            if groups is not None:
+                tried.append(encode(image, shared=True, by_cost=True, groups=groups, group_bits=GROUP_BITS))
+            made[n] = min(tried, key=len)
     out = [b""] * len(rows)
     for (k, _), data in zip(files, made, strict=True):
         out[k] += data
