@@ -43,7 +43,11 @@ def piece_codes(df: DataFrame, key: str, seq: str, data: str, bits: int = 64) ->
             return out
 
         def ended() -> Iterator[pa.RecordBatch]:
+            nonlocal size
             if hashers is not None:
+                size -= own
+                for h in hashers:
+                    h.update(b"".join(pieces))
                 yield told([now], [hashers[0].finalize(bits)], [hashers[1].finalize(bits)])
             elif pieces is not None:
                 whole.append((now, b"".join(pieces)))
@@ -58,14 +62,12 @@ def piece_codes(df: DataFrame, key: str, seq: str, data: str, bits: int = 64) ->
                     now, pieces, hashers, own = k, [], None, 0
                 raw = raw or b""
                 size, own = size + len(raw), own + len(raw)
-                if hashers is None and own > TOGETHER:
-                    hashers = DataHasher(b"".join(pieces)), InstanceHasher(b"".join(pieces))
-                    pieces, size = [], size - own
-                if hashers is None:
-                    pieces.append(raw)
-                else:
+                pieces.append(raw)
+                if own > TOGETHER:  # many pieces at once: the hashers' arrays are slow if they are short
+                    hashers, size, own = hashers or (DataHasher(), InstanceHasher()), size - own, 0
                     for h in hashers:
-                        h.update(raw)
+                        h.update(b"".join(pieces))
+                    pieces = []
         yield from ended()
         if whole:
             yield flushed()

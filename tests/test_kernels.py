@@ -163,6 +163,20 @@ def test_blake3_in_pieces(n):
     assert blake3.digests([data, b"", data])[0] == whole
 
 
+def test_blake3_in_long_pieces():
+    """Subtrees of a piece merge a level at a time, not a chunk at a time."""
+    data, calls = random.Random(4).randbytes(300_000), []
+    h, one = blake3.Hasher(), blake3.parents
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(blake3, "parents", lambda cvs, root=False: calls.append(len(cvs)) or one(cvs, root))
+        at = 0
+        for n in (0, 1024, 5000, 100_001, 1, 70_000, 300_000):
+            h.update(data[at : at + n])
+            at += n
+        assert h.digest() == blake3.digest(data)
+    assert len(calls) < 60
+
+
 def test_blake3_known():
     """Vectors of the specification: bytes 0, 1, ... modulo 251."""
     assert blake3.digest(b"\0").hex() == "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213"

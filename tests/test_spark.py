@@ -1,3 +1,4 @@
+import importlib
 import random
 
 import numpy as np
@@ -139,6 +140,27 @@ def test_long_assets_go_piece_by_piece(spark, monkeypatch):
     assert len(got) == 40
 
 
+def test_long_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    """None of the files comes whole to the kernel that takes some forty bytes of memory a byte; all codes stay."""
+    module = importlib.import_module("prismark.sources.files")
+    rng = random.Random(6)
+    data = {f"f{n}": rng.randbytes(n) for n in (1, 4000, 4999, 5000, 5001, 70_000)}
+    for name, raw in data.items():
+        (tmp_path / name).write_bytes(raw)
+    want = {n: codes.sum_code(raw, 128, True, True) for n, raw in data.items()}
+
+    def few(rows, *args):
+        assert sum(map(len, rows)) <= 5000
+        return codes.sum_codes(rows, *args)
+
+    monkeypatch.setattr(module, "PIECE", 5000)
+    monkeypatch.setattr(module, "sum_codes", few)
+    for reach in (module.reached, lambda *_: None):  # as Arrow reads them, and as Spark's rows
+        monkeypatch.setattr(module, "reached", reach)
+        got = file_codes(spark, f"file://{tmp_path}/f*", 128, True, True).collect()
+        assert {r.path.rpartition("/")[2]: {k: r[k] for k in ("iscc", "datahash", "filesize", "units")} for r in got} == want
+
+
 def test_stream(spark, tmp_path):
     rng = random.Random(9)
     assets = {f"a{k}": [rng.randbytes(rng.randrange(3000)) for _ in range(4)] for k in range(5)}
