@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from prismark import functions as P
 from prismark import operators as O
 from prismark.plans import oracles as X
 from prismark.selftest import KNOWN, answers
-from prismark.sources import ChunkedFiles, file_codes, files, piece_codes, spread
+from prismark.sources import ChunkedFiles, file_codes, files, piece_codes, reached, spread
 from prismark.tables import MERSENNE, MINHASH_A, MINHASH_B, frame_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -575,13 +576,23 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 @query("SELECT name || '.parquet' AS name, true AS same FROM (VALUES " + ", ".join(f"('{t}')" for t in TABLES) + ") t(name)")
 def chunked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files read as rows of 64 KiB chunks and hashed piece by piece have the codes of files read whole."""
+    """Files read as rows of 64 KiB chunks and hashed piece by piece have the codes that the file scan gives.
+
+    A table is a file or a folder of files, all of which must agree.
+    """
     spark.dataSource.register(ChunkedFiles)
-    uri = sf_dir if ":" in sf_dir else f"file://{sf_dir}"
-    pieces = _named(spark.read.format("chunked_files").option("size", 1 << 16).load(uri)).where(F.col("name").isin([f"{t}.parquet" for t in TABLES]))
-    told = piece_codes(pieces, "name", "seq", "data").select("name", "sum_code", "datahash", "filesize")
-    whole = _named(file_codes(spark, f"{sf_dir}/*.parquet")).select("name", F.col("iscc").alias("code"), F.col("datahash").alias("hash"), F.col("filesize").alias("size"))
-    return told.join(whole, "name").select("name", ((F.col("sum_code") == F.col("code")) & (F.col("datahash") == F.col("hash")) & (F.col("filesize") == F.col("size"))).alias("same"))
+    shown, uri = reached(spark, sf_dir) or (sf_dir, sf_dir)
+
+    def within(rows: DataFrame, root: str) -> DataFrame:
+        """``file``: the path below the root, and ``name``: its first part, if that is a table."""
+        file = F.substring("path", F.lit(len(root.rstrip("/")) + 2), F.length("path"))
+        return rows.withColumn("file", file).withColumn("name", F.substring_index("file", "/", 1)).where(F.col("name").isin([f"{t}.parquet" for t in TABLES]))
+
+    pieces = within(spark.read.format("chunked_files").option("size", 1 << 16).load(uri), FileSystem.from_uri(uri)[1])
+    told = piece_codes(pieces, "file", "seq", "data").select("file", "sum_code", "datahash", "filesize")
+    whole = within(file_codes(spark, f"{sf_dir}/*.parquet"), shown).select("name", "file", F.col("iscc").alias("code"), F.col("datahash").alias("hash"), F.col("filesize").alias("size"))
+    same = (F.col("sum_code") == F.col("code")) & (F.col("datahash") == F.col("hash")) & (F.col("filesize") == F.col("size"))
+    return whole.join(told, "file", "left").groupBy("name").agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("same"))
 
 
 @query("SELECT conv_id, CAST(sum(octet_length(encode(text))) AS BIGINT) AS filesize FROM conversations GROUP BY conv_id")

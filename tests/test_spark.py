@@ -161,6 +161,19 @@ def test_long_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
         assert {r.path.rpartition("/")[2]: {k: r[k] for k in ("iscc", "datahash", "filesize", "units")} for r in got} == want
 
 
+def test_chunked_files_over_folders(spark, tmp_path):
+    """A table may be a folder; files of two tables may have one name."""
+    from prismark.plans import queries
+
+    rng = random.Random(8)
+    for name in ("region.parquet", "documents.parquet/part-0", "documents.parquet/part-1", "pages.parquet/part-0", "other.parquet"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(rng.randbytes(rng.randrange(200_000)))
+    (tmp_path / "pages.parquet/_SUCCESS").touch()
+    rows = queries()["chunked_files"](spark, str(tmp_path)).collect()
+    assert sorted((r.name, r.same) for r in rows) == [("documents.parquet", True), ("pages.parquet", True), ("region.parquet", True)]
+
+
 def test_stream(spark, tmp_path):
     rng = random.Random(9)
     assets = {f"a{k}": [rng.randbytes(rng.randrange(3000)) for _ in range(4)] for k in range(5)}
