@@ -141,7 +141,7 @@ def test_long_assets_go_piece_by_piece(spark, monkeypatch):
 
 
 def test_long_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
-    """None of the files comes whole to the kernel that takes some forty bytes of memory a byte; all codes stay."""
+    """None of the files comes whole to the kernel whose memory is a multiple of its input; all codes stay."""
     module = importlib.import_module("prismark.sources.files")
     rng = random.Random(6)
     data = {f"f{n}": rng.randbytes(n) for n in (1, 4000, 4999, 5000, 5001, 70_000)}
