@@ -11,6 +11,7 @@ rows; special strings in a text become their ids, as in the library; columns oth
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import json
@@ -20,11 +21,12 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex
+from tokenizers import Regex, Tokenizer
 from tokenizers.normalizers import NFC, Lowercase, Replace, Sequence
 from tokenizers.pre_tokenizers import Split
 
@@ -34,6 +36,11 @@ from prismark.llm.common import CACHES, Kept, between_stages, slices, texts
 WIDE = re.compile("[^\\x00-\u0557]")
 NARROW_SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: The split's rule after its contractions, and for each character below U+0100 its class under that rule and its lower-case form.
+RUNS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BLANK, LETTER, DIGIT, OTHER = range(4)
+CLASS = bytes(BLANK if chr(c) in NARROW_SPACE else {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(256))
+LOWER = bytes(ord(chr(c).lower()) for c in range(256))
 
 
 def byte_alphabet() -> list[str]:
@@ -60,11 +67,14 @@ class WordBpe:
         self.strings.update({i: s for s, i in self.specials.items()})
         self.path = path
         self.alphabet = byte_alphabet()
+        self.printed = "".join(" " if b == 32 else c for b, c in enumerate(self.alphabet))
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         narrow = pattern
         for name, start in ((r"\p{L}", "L"), (r"\p{N}", "N"), (r"\s", "")):
             narrow = narrow.replace(name, "".join(re.escape(chr(c)) for c in range(0x558) if (start and unicodedata.category(chr(c))[0] == start) or (not start and chr(c) in NARROW_SPACE)))
         self.split, self.wide_plain, self.wide_split = re.compile(narrow), Sequence([NFC(), Replace(Regex(r"\s+"), " "), Lowercase()]), Split(Regex(pattern), "removed", invert=True)
+        #: The contractions of the split, if the rest of it is ``RUNS``.
+        self.contraction = re.compile(pattern.removesuffix("|" + RUNS)) if pattern.endswith("|" + RUNS) else None
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         #: Characters that every special string has one of; a text without them needs no search.
         self.marks = {min(s, key=lambda c: (c.isalnum(), c.isspace(), c)) for s in self.specials}
@@ -109,6 +119,20 @@ class WordBpe:
                 heapq.heappush(queue, (m[0], h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
+    @cached_property
+    def merger(self) -> Tokenizer:
+        """The library's model alone, for words in the byte alphabet that blanks part: nothing else of the file is applied."""
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        return Tokenizer.from_str(json.dumps({"version": "1.0", "model": model, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+
+    def merged(self, words: list[str]) -> list[int]:
+        """The ids of pieces of the split, one after another, by the library."""
+        text = " ".join(words)
+        if not (text.isascii() and text.isprintable()):
+            text = codecs.charmap_decode(text.encode("utf-8", "surrogatepass"), "strict", self.printed)[0]
+        return self.merger.encode(text, add_special_tokens=False).ids
+
     def word(self, word: str) -> list[int]:
         """Ids of one piece of the split."""
         symbols = [self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]
@@ -123,12 +147,34 @@ class WordBpe:
                 return [w for p in parts for w in ((p,) if p in self.specials else self.plain(p))]
         return self.plain(text)
 
+    def narrow(self, text: str) -> list[str] | None:
+        """``plain`` by arrays for characters below U+0100, which are all in NFC; None for other texts and for contractions."""
+        if self.contraction is None:
+            return None
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        lower = raw.translate(LOWER)
+        if not raw or b"'" in raw and self.contraction.search(lower.decode("latin-1")):
+            return [] if not raw else None
+        kind = np.frombuffer(raw.translate(CLASS), dtype=np.uint8)
+        # Every byte has a blank before it; kept are bytes of words, and the blanks where words begin.
+        both, keep = np.full((len(raw), 2), 32, dtype=np.uint8), np.zeros((len(raw), 2), dtype=bool)
+        both[:, 1] = np.frombuffer(lower, dtype=np.uint8)
+        keep[:, 1] = kind != BLANK
+        keep[1:, 0] = ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)) & keep[1:, 1]
+        words = both[keep].tobytes().decode("latin-1").removeprefix(" ")
+        return words.split(" ") if words else []
+
     def plain(self, text: str) -> list[str]:
-        if WIDE.search(text):
+        if (words := self.narrow(text)) is not None:
+            return words
+        known = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        lower = "".join(map(str.lower, known)) if "\u03a3" in known else known.lower()
+        if WIDE.search(text) or WIDE.search(lower):  # characters may be composed, or have lower-case forms, beyond the narrow ones
             return [w for w, _ in self.wide_split.pre_tokenize_str(self.wide_plain.normalize_str(text))]
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return self.split.findall("".join(map(str.lower, text)) if "\u03a3" in text else text.lower())
+        return self.split.findall(lower)
 
     def encode(self, text: str) -> list[int]:
         return [i for w in self.pieces(text) for i in ((self.specials[w],) if w in self.specials else self.word(w))]

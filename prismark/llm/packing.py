@@ -17,18 +17,19 @@ table gives no pieces.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from prismark.llm.bpe import WIDE, WordBpe
+from prismark.llm.bpe import WordBpe
 from prismark.llm.common import CACHE_WORDS, CACHES, slices, texts
 
 #: Ids of known words after which these become the older generation, as with half of ``CACHE_WORDS`` words.
@@ -143,8 +144,8 @@ def pack(items: list[tuple[object, np.ndarray]], limits: Limits, cut: bool = Tru
         yield now
 
 
-class Ids(dict):
-    """word -> its number; the ids of all known words lie in one array. Words met for the first time wait in ``new``.
+class Ids(defaultdict):
+    """word -> its number, the next one if it is new; the ids of all known words lie in one array.
 
     Words are kept in two generations: a full one becomes the older one, of which words are taken over when they are met
     again, so words that occur once don't drive out frequent ones.
@@ -152,9 +153,7 @@ class Ids(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.bpe, self.tokenizer = WordBpe(path), Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.bpe = WordBpe(path)
         self.ends = np.zeros(max(self.bpe.strings) + 1, dtype=bool)
         self.ends[[i for i, s in self.bpe.strings.items() if s.endswith(self.bpe.end)]] = True
         self.turn()
@@ -163,22 +162,18 @@ class Ids(dict):
         """The words so far are the older generation from now on."""
         self.older = (dict(self), self.flat, self.starts, self.sizes) if self else ({},) + (np.zeros(0, np.int64),) * 3
         self.clear()
-        self.new: list[str] = []
+        self.default_factory, self.learned = count().__next__, 0
         self.flat, self.used = np.zeros(1 << 16, dtype="<u4"), 0
         self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
     def learn(self) -> None:
-        """Encodes the waiting words with the library, many in one text: a word's last id is the one with the end mark."""
-        first, new = len(self) - len(self.new), self.new
+        """Finds the ids of words met since, many in one text: a word's last id is the one with the end mark."""
+        first, new = self.learned, list(islice(self, self.learned, None))
+        self.learned = len(self)
         if len(self.starts) < len(self):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self)), np.resize(self.sizes, 2 * len(self))
         known, flat, starts, sizes = self.older
-        before = np.fromiter((known.get(w, -1) for w in new), dtype=np.int64, count=len(new))
+        before = np.fromiter(map(known.get, new, repeat(-1)), dtype=np.int64, count=len(new))
         again = np.flatnonzero(before >= 0)
         if len(again):
             n = sizes[before[again]]
@@ -186,11 +181,11 @@ class Ids(dict):
             self.sizes[first + again], self.starts[first + again] = n, self.used + ends - n
             self.append(flat[np.repeat(starts[before[again]] - ends + n, n) + np.arange(int(ends[-1]))])
         unknown = np.flatnonzero(before < 0).tolist()
-        apart = [k for k in unknown if new[k] in self.bpe.specials or WIDE.search(new[k])]
-        joined = sorted(set(unknown) - set(apart))
+        apart = [k for k in unknown if new[k] in self.bpe.specials]
+        joined = [k for k in unknown if new[k] not in self.bpe.specials] if apart else unknown
         for i in range(0, len(joined), 4096):
             some = joined[i : i + 4096]
-            ids = self.encode(" ".join([new[k] for k in some]))
+            ids = np.array(self.bpe.merged([new[k] for k in some]), dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
                 at = np.array(some) + first
@@ -200,13 +195,10 @@ class Ids(dict):
             else:
                 apart += some
         for k in apart:
-            ids = self.encode(new[k])
+            special = self.bpe.specials.get(new[k])
+            ids = np.array(self.bpe.merged([new[k]]) if special is None else [special], dtype="<u4")
             self.starts[first + k], self.sizes[first + k] = self.used, len(ids)
             self.append(ids)
-        self.new = []
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def append(self, ids: np.ndarray) -> None:
         if self.used + len(ids) > len(self.flat):
@@ -225,7 +217,7 @@ def numbered(rows: list[str], path: str) -> tuple[Ids, list[np.ndarray]]:
     if 2 * len(known) > CACHE_WORDS or known.used > CACHE_IDS:
         known.turn()
     numbers = [np.fromiter(map(known.__getitem__, w), dtype=np.int64, count=len(w)) for w in map(known.bpe.pieces, rows)]
-    if known.new:
+    if len(known) > known.learned:
         known.learn()
     return known, numbers
 
@@ -280,7 +272,7 @@ def packed(df: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1,
             held.clear()
             return rows(named)
 
-        count, step = 0, limits.tokens
+        filled, step = 0, limits.tokens
         for b in slices(batches):
             full = []
             for doc, bears, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), tokens(texts(b.column(1)), path, end_id), strict=True):
@@ -289,12 +281,12 @@ def packed(df: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1,
                 full += [[((doc, ids, 0, len(ids), bears), s, step)] for s in range(0, cut, step)]
                 if cut < len(ids):
                     held.append((doc, ids[cut:].copy(), cut, len(ids), bears))
-                    count += len(ids) - cut
+                    filled += len(ids) - cut
             if full:
                 yield rows(full)
-            if count >= group_tokens:
+            if filled >= group_tokens:
                 yield close()
-                count = 0
+                filled = 0
         if held:
             yield close()
 

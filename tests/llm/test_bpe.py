@@ -66,3 +66,26 @@ def test_query(odd, word_bpe):
     full = {r.doc_id: r for r in bpe.encoded(odd, word_bpe).collect()}
     assert hashlib.sha256(bytes(full[8].ids)).hexdigest() == by_id[8].ids_sha256 and hashlib.sha256(full[8].decoded.encode()).hexdigest() == by_id[8].decoded_sha256
     assert bpe.digests(odd.limit(0), word_bpe).count() == 0
+
+
+def test_letters_composed_or_lowered_beyond_the_narrow_ones(word_bpe):
+    """NFC and lower case can make letters that the narrow split doesn't know from characters that it does."""
+    own, theirs = bpe.WordBpe(word_bpe), by_library(word_bpe)
+    for t in ("'m\u0301a", "y\u0300\u00fb\u00ea", "\u00b2M\u0301", "x\u023ay", "\u023e's", "a\u0301b"):
+        assert own.encode(t) == theirs.encode(t, add_special_tokens=False).ids
+
+
+def test_split_by_arrays(word_bpe):
+    """Texts below U+0100 are split as the pattern does; contractions and others are left to it."""
+    own, theirs = bpe.WordBpe(word_bpe), by_library(word_bpe)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(st.one_of(st.characters(max_codepoint=255), st.sampled_from(" '.sS19\x1c\x85\xa0")), max_size=30))
+    def same(t):
+        words = own.narrow(t)
+        assert words is None or words == own.split.findall(t.lower())
+        got = own.plain(t)
+        assert own.merged(got) == [i for w in got for i in own.word(w)] == theirs.encode(t, add_special_tokens=False).ids
+
+    same()
+    assert own.narrow("it's") is None and own.narrow("'x 12") == ["'", "x", "1", "2"] and own.narrow("") == own.narrow(" \n") == []

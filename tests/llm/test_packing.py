@@ -1,3 +1,4 @@
+import sys
 import zlib
 from collections import defaultdict
 
@@ -141,3 +142,29 @@ def test_loss_mask_and_all_limits(spark, word_bpe):
     assert all(t <= 256 and n <= 12 and x <= 120 for t, n, x in total)
     assert any(t == 256 for t, _, _ in total) and any(n == 12 and t < 256 for t, n, _ in total) and any(x == 120 and t < 256 for t, _, x in total)
     assert sum(r.loss_length for r in got) == sum(len((t or "").split()) + 1 for _, role, t in rows if role == "assistant")
+
+
+def test_new_words_cost_no_calls_each(word_bpe):
+    """Words met for the first time, or again after a while, are numbered and found by arrays: not by a call for each."""
+    t = Tokenizer.from_file(word_bpe)
+    rng = np.random.default_rng(9)
+    rows = [" ".join("".join(map(chr, rng.integers(97, 123, 7))) for _ in range(1000)) for _ in range(4)]
+    packing.worker.cache_clear()
+    known = packing.worker(word_bpe)
+    packing.tokens(["a"], word_bpe, 1)
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    for _ in range(2):
+        calls = 0
+        sys.setprofile(count)
+        try:
+            got = packing.tokens(rows, word_bpe, 1)
+        finally:
+            sys.setprofile(None)
+        assert calls < 1000
+        assert [x.tolist() for x in got] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in rows]
+        known.turn()
