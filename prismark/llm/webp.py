@@ -26,7 +26,6 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -214,11 +213,35 @@ OUTER = {0: 3, 6: 3, 7: 3, 8: 3, 5: 4, 9: 4, 17: 4, 18: 4, 4: 4, 10: 4, 3: 5, 16
 
 
 @lru_cache(maxsize=1)
-def outer_code() -> tuple[list[int], list[int], list[int]]:
-    """Sizes and bits of that code, and its sizes in the order in which they are told."""
+def outer_code() -> tuple[list[int], list[int], str]:
+    """Sizes and bits of that code, and what comes before a code's lengths, as binary digits, the last bit first."""
     sizes = [OUTER.get(s, 0) for s in range(19)]
     order = [sizes[s] for s in LENGTH_ORDER]
-    return sizes, canonical(np.array(sizes)).tolist(), order[: max(k + 1 for k, x in enumerate(order) if x)]
+    order = order[: max(k + 1 for k, x in enumerate(order) if x)]
+    # No simple code; sizes in the order in which they are told; as many lengths as symbols.
+    return sizes, canonical(np.array(sizes)).tolist(), "0" + "".join(format(x, "03b") for x in reversed(order)) + format(len(order) - 4, "04b") + "0"
+
+
+@lru_cache(maxsize=4096)
+def run_of(x: int, n: int, again: bool) -> str:
+    """What tells ``n`` equal lengths, as binary digits, the last bit first; again: the last length but for zeros was the same."""
+    runs: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
+    if x == 0:
+        while n >= 3:
+            m = min(n, 138)
+            runs.append((17, m - 3, 3) if m <= 10 else (18, m - 11, 7))
+            n -= m
+    else:
+        if not again:
+            runs.append((x, 0, 0))
+            n -= 1
+        while n >= 3:
+            m = min(n, 6)
+            runs.append((16, m - 3, 2))
+            n -= m
+    sizes, bits, _ = outer_code()
+    runs += [(x, 0, 0)] * n
+    return "".join(format(bits[s] | extra << sizes[s], f"0{sizes[s] + more}b") for s, extra, more in reversed(runs))
 
 
 @lru_cache(maxsize=8)
@@ -245,34 +268,13 @@ def code_of(key: bytes) -> tuple[int, int, Code]:
             sizes[symbols], bits[symbols[1]] = 1, 1
         return value, at, Code(bits, sizes)
     lengths = code_lengths(counts)
-    runs: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    before = 8
-    for x, same in groupby(lengths.tolist()):
-        n = len(list(same))
-        if x == 0:
-            while n >= 3:
-                m = min(n, 138)
-                runs.append((17, m - 3, 3) if m <= 10 else (18, m - 11, 7))
-                n -= m
-        else:
-            if x != before:
-                runs.append((x, 0, 0))
-                n, before = n - 1, x
-            while n >= 3:
-                m = min(n, 6)
-                runs.append((16, m - 3, 2))
-                n -= m
-        if n:
-            runs += [(x, 0, 0)] * n
-    sizes, bits, order = outer_code()
-    put(0, 1)
-    put(len(order) - 4, 4)
-    for x in order:
-        put(x, 3)
-    put(0, 1)  # as many lengths as symbols
-    for s, extra, more in runs:
-        value |= (bits[s] | extra << sizes[s]) << at
-        at += sizes[s] + more
+    told, before = [outer_code()[2]], 8
+    changes = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
+    for x, start, end in zip(lengths[changes[:-1]].tolist(), changes, changes[1:], strict=False):
+        told.append(run_of(x, end - start, x == before))
+        before = x or before
+    text = "".join(reversed(told))
+    value, at = int(text, 2), len(text)
     if np.count_nonzero(lengths) == 1:
         return value, at, Code(np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64))
     return value, at, Code(canonical(lengths), lengths)
@@ -630,7 +632,8 @@ def encode_all(images: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
     places = literals(len(flat), copies)
     use, hit = by_cache(flat, of, places, n)
     own, plain, pixels = of[places], ~hit, flat[places].astype(np.int64)
-    colours = np.bincount(np.unique(own << 32 | pixels) >> 32, minlength=n)
+    known = np.sort(own << 32 | pixels)
+    colours = np.bincount(known[np.append(True, known[1:] != known[:-1])] >> 32, minlength=n)
     often = (colours <= 256) & (np.bincount(own, minlength=n) > 2 * colours)
     green, red, blue, alpha = ((pixels >> s) & 255 for s in (8, 16, 0, 24))
     green[hit] = 280 + slots_of(flat[places[hit]], CACHE_BITS)
@@ -785,21 +788,23 @@ def unpredicted(argb: np.ndarray, blocks: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Table:
-    """Symbol and length for the next ``bits`` bits of a prefix code."""
+    """Symbol and length for the next ``bits`` bits of a prefix code; ``both`` has them in one number, the length in four bits."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
         if len(used) <= 1:
-            self.bits = 0
-            self.symbol, self.size = np.array([used[0] if len(used) else 0], dtype=np.int32), np.zeros(1, np.int32)
-            return
-        self.bits = int(lengths.max())
-        order = used[np.lexsort((used, lengths[used]))]
-        spans = 1 << (self.bits - lengths[order])
-        if int(spans.sum()) != 1 << self.bits:
-            raise ValueError("a prefix code is not complete")
-        self.symbol = np.repeat(order, spans)[turned(self.bits)].astype(np.int32)
-        self.size = np.repeat(lengths[order], spans)[turned(self.bits)].astype(np.int32)
+            self.bits, self.most = 0, int(used[0]) if len(used) else 0
+            self.both = np.array([self.most << 4])
+        else:
+            found = lengths[used]
+            by_length = np.argsort(found.astype(np.uint8), kind="stable")
+            order, found = used[by_length], found[by_length]
+            self.bits, self.most = int(found[-1]), int(used[-1])
+            spans = 1 << (self.bits - found)
+            if int(spans.sum()) != 1 << self.bits:
+                raise ValueError("a prefix code is not complete")
+            self.both = np.repeat(order << 4 | found, spans)[turned(self.bits)]
+        self.size = self.both & 15
 
     @classmethod
     def simple(cls, symbols: list[int], alphabet: int) -> Table:
@@ -834,10 +839,11 @@ class BitReader:
     def symbol(self, table: Table) -> int:
         p = self.at
         k = int.from_bytes(self.data[p >> 3 : (p >> 3) + 4], "little") >> (p & 7) & ((1 << table.bits) - 1)
-        self.at = p + int(table.size[k])
+        both = int(table.both[k])
+        self.at = p + (both & 15)
         if self.at > self.end:
             raise ValueError("the stream ends early")
-        return int(table.symbol[k])
+        return both >> 4
 
     def windows(self, first: int, n: int) -> np.ndarray:
         """The 24 bits from each of ``n`` positions on."""
@@ -846,7 +852,7 @@ class BitReader:
         if len(b) < ceil_div(n, 8) + 5:
             b = np.concatenate([b, np.zeros(ceil_div(n, 8) + 5 - len(b), np.uint32)])
         four = b[:-4] | b[1:-3] << np.uint32(8) | b[2:-2] << np.uint32(16) | b[3:-1] << np.uint32(24)
-        return (four[:, None] >> np.arange(8, dtype=np.uint32)).ravel()[first & 7 :][:n]
+        return (four.astype(np.int64)[:, None] >> np.arange(8)).ravel()[first & 7 :][:n]
 
 
 def read_codes(r: BitReader, alphabets: tuple[int, ...]) -> list[Table]:
@@ -872,27 +878,34 @@ def read_code(r: BitReader, alphabet: int) -> Table:
         if n == 2:
             symbols.append(r.bits(8))
         return Table.simple(symbols, alphabet)
-    outer = np.zeros(19, dtype=np.int64)
-    for k in range(4 + r.bits(4)):
-        outer[LENGTH_ORDER[k]] = r.bits(3)
+    n = 4 + r.bits(4)
+    outer = outer_of(n, r.bits(3 * n))
     most = alphabet
     if r.bits(1):
         n = 2 + 2 * r.bits(3)
         most = 2 + r.bits(n)
         if most > alphabet:
             raise ValueError("more code lengths than symbols")
-    return table_of(read_lengths(r, table_of(outer.tobytes()), alphabet, most).tobytes())
+    return table_of(read_lengths(r, outer, alphabet, most).tobytes())
+
+
+@lru_cache(maxsize=32)
+def outer_of(n: int, told: int) -> list[tuple[int, int]]:
+    """Symbol and length for the next bits of the code that lengths are told by, whose own first ``n`` sizes take three bits each."""
+    sizes = np.zeros(19, dtype=np.int64)
+    sizes[list(LENGTH_ORDER[:n])] = [told >> 3 * k & 7 for k in range(n)]
+    return [(x >> 4, x & 15) for x in Table(sizes).both.tolist()]
 
 
-def read_lengths(r: BitReader, table: Table, alphabet: int, most: int) -> np.ndarray:
+def read_lengths(r: BitReader, outer: list[tuple[int, int]], alphabet: int, most: int) -> np.ndarray:
     """The code lengths of an alphabet, told by at most ``most`` symbols; bits are taken from windows of a few hundred bytes."""
-    symbols, sizes, mask = table.symbol.tolist(), table.size.tolist(), (1 << table.bits) - 1
+    mask = len(outer) - 1
     out, before, p, known = [], 8, r.at, r.at
     while len(out) < alphabet and most:
         if p + 32 > known:
             w, known = int.from_bytes(r.data[p >> 3 : (p >> 3) + 160], "little") >> (p & 7), p + 1272
         most -= 1
-        s, n = symbols[w & mask], sizes[w & mask]
+        s, n = outer[w & mask]
         w >>= n
         if s < 16:
             out.append(s)
@@ -913,7 +926,9 @@ def read_lengths(r: BitReader, table: Table, alphabet: int, most: int) -> np.nda
     r.at = p
     if len(out) > alphabet:
         raise ValueError("more code lengths than symbols")
-    return np.array(out + [0] * (alphabet - len(out)), dtype=np.int64)
+    lengths = np.zeros(alphabet, dtype=np.int64)
+    lengths[: len(out)] = np.frombuffer(bytes(out), dtype=np.uint8)
+    return lengths
 
 
 def value_of(r: BitReader, prefix: int) -> int:
@@ -984,8 +999,8 @@ def read_at_once(r: BitReader, codes: list[list[Table]], which: np.ndarray | Non
     which: the group of each pixel, None if there is one group.
     """
     g, red, blue, alpha, _ = codes[0]
-    if which is None and not any(t.bits for t in (g, red, blue, alpha)) and g.symbol[0] < 256:
-        return np.full(n, int(g.symbol[0]) << 8 | int(red.symbol[0]) << 16 | int(blue.symbol[0]) | int(alpha.symbol[0]) << 24, dtype=np.uint32)
+    if which is None and not any(t.bits for t in (g, red, blue, alpha)) and g.most < 256:
+        return np.full(n, g.most << 8 | red.most << 16 | blue.most | alpha.most << 24, dtype=np.uint32)
     at, margin = 0, 160  # more bits than any pixel or back-reference takes
     told: list[tuple] = []  # green symbols, pixels and sizes of tokens, by block
     copies: list[tuple[int, int, int]] = []  # token, length, distance
@@ -999,20 +1014,22 @@ def read_at_once(r: BitReader, codes: list[list[Table]], which: np.ndarray | Non
         greens, afters, follow, longs = [], [], [], {}
         for tables in codes:
             # How long each code's symbol would be at every bit; channels that share a code share this.
-            for t in tables[:4]:
+            both = tables[0].both.take(win & ((1 << tables[0].bits) - 1))
+            for t in tables[1:4]:
                 if t.bits and id(t) not in longs:
-                    longs[id(t)] = t.size[win & np.uint32((1 << t.bits) - 1)]
-            look = lambda t, k: k + longs[id(t)][k] if t.bits else k  # noqa: E731, B023
-            green = tables[0].symbol[win[:span] & np.uint32((1 << tables[0].bits) - 1)]
-            step = after_green = look(tables[0], np.arange(span, dtype=np.int32))
+                    longs[id(t)] = t.size.take(win & ((1 << t.bits) - 1))
+            green = both[:span] >> 4
+            after_green = (both[:span] & 15) + np.arange(span)
+            step = after_green.copy()
             for t in tables[1:4]:
-                step = look(t, step)
-            if (tables[0].symbol >= 256).any():
-                step = np.where(green >= 280, after_green, step)
-                step[(green >= 256) & (green < 280)] = -1
+                if t.bits:
+                    step += longs[id(t)].take(step)
+            if tables[0].most >= 256:
+                np.copyto(step, after_green, where=green >= 280)
+                np.putmask(step, (green - 256).view(np.uint64) < 24, -1)
             greens.append(green)
             afters.append(after_green)
-            follow.append(memoryview(np.ascontiguousarray(step, dtype=np.int32)))
+            follow.append(memoryview(step))
         here, places, sizes, chosen, end_at = 0, [], [], [], at
         chain, keep = follow[0], places.append
         while end_at < n and here < span:
@@ -1059,9 +1076,9 @@ def read_at_once(r: BitReader, codes: list[list[Table]], which: np.ndarray | Non
             s = greens[own][p]
             x, q = s.astype(np.uint32) << np.uint32(8), afters[own][p]
             for t, shift in zip(tables, (16, 0, 24), strict=True):
-                code = win[q] & np.uint32((1 << t.bits) - 1)
-                x |= t.symbol[code].astype(np.uint32) << np.uint32(shift)
-                q = q + t.size[code]
+                both = t.both.take(win[q] & ((1 << t.bits) - 1))
+                x |= (both >> 4).astype(np.uint32) << np.uint32(shift)
+                q = q + (both & 15)
             symbols[mine], pixels[mine] = s, x
         told.append((symbols, pixels))
         tokens += len(k)
@@ -1094,7 +1111,7 @@ def resolved(symbols: np.ndarray, pixels: np.ndarray, copies: list[tuple[int, in
         slot = slots_of(out, cache_bits).astype(np.int64)
         known = where[hit]
         slot[known] = symbols[hit] - 280
-        before = earlier(slot[to])[known]
+        before = earlier(slot[to].astype(np.uint16))[known]
         if (before < 0).any():
             return one_by_one(symbols, pixels, copies, n, cache_bits)
         to[known] = before
@@ -1187,12 +1204,17 @@ def pixels(payload: bytes) -> np.ndarray:
     units = len(payload) // UNIT
     widths = range(min(ceil_div(units, SIDE), SIDE // ROW), SIDE // ROW + 1)
     per_row = next((k for k in widths if units % k == 0), widths[0])
-    c = np.frombuffer(payload + b"\xff" * (-units % per_row * UNIT), dtype=np.uint8).reshape(-1, 4)
-    return np.ascontiguousarray(c[:, [2, 1, 0, 3]]).view(np.uint32).reshape(-1, ROW * per_row)
+    c = np.frombuffer(payload + b"\xff" * (-units % per_row * UNIT), dtype="<u4")
+    return exchanged(c).reshape(-1, ROW * per_row)
 
 
 def payload(argb: np.ndarray) -> bytes:
-    return argb.view(np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]].tobytes()
+    return exchanged(argb).tobytes()
+
+
+def exchanged(x: np.ndarray) -> np.ndarray:
+    """Four-byte pixels with the first and third bytes exchanged: red, green, blue, alpha to blue, green, red, alpha and back."""
+    return x & np.uint32(0xFF00FF00) | x >> np.uint32(16) & np.uint32(0xFF) | (x & np.uint32(0xFF)) << np.uint32(16)
 
 
 def media_of(data: bytes) -> bytes:
@@ -1236,12 +1258,19 @@ def payload_size(n_bytes: int) -> int:
     return UNIT * max(1, ceil_div(n_bytes, UNIT))
 
 
+@lru_cache(maxsize=64)
+def bands(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the 72 parts of a payload begin, and their sizes."""
+    edges = np.linspace(0, size, 73).astype(np.int64)
+    return edges[:-1], np.diff(edges)
+
+
 def feature_of(data: bytes) -> str:
     """64 bits of a difference hash (eight bands of the payload, nine means each) and the mean sample."""
     c = np.frombuffer(data, dtype=np.uint8)
-    edges = np.linspace(0, len(c), 73).astype(np.int64)
-    means = np.add.reduceat(c, edges[:-1], dtype=np.float64) / np.diff(edges)
-    bits = np.diff(means.reshape(8, 9), axis=1) > 0
+    starts, sizes = bands(len(c))
+    means = (np.add.reduceat(c, starts, dtype=np.int64) / sizes).reshape(8, 9)
+    bits = means[:, 1:] > means[:, :-1]
     return np.packbits(bits).tobytes().hex() + f":{c.mean():.4f}"
 
 

@@ -367,3 +367,29 @@ def test_query_of_a_very_long_text(spark):
     r = got[1]
     assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == (len(long.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), webp.feature_of(p))
     assert max(r.width, r.height) <= webp.SIDE
+
+
+def test_codes_are_read_in_few_steps(monkeypatch):
+    """What the encoder tells of a code is read back; the sizes of the code that tells lengths are one number, not a call each."""
+    rng, calls, bits = np.random.default_rng(11), 0, webp.BitReader.bits
+
+    def counted(r, n):
+        nonlocal calls
+        calls += 1
+        return bits(r, n)
+
+    monkeypatch.setattr(webp.BitReader, "bits", counted)
+    for alphabet in (40, 256, 280, 344, 280 + 2048):
+        for some in (3, 7, 60, alphabet):
+            counts = np.zeros(alphabet, dtype=np.int64)
+            start = int(rng.integers(0, max(1, alphabet - 2 * some)))
+            counts[start : start + 2 * some : 2] = 1 << rng.integers(0, 14, len(counts[start : start + 2 * some : 2]))
+            counts[-1] += 1
+            value, size, code = webp.code_of(counts.tobytes())
+            r = webp.BitReader(value.to_bytes(size // 8 + 1, "little"))
+            calls = 0
+            table = webp.read_code(r, alphabet)
+            assert r.at == size and calls <= 4
+            for k in np.flatnonzero(counts).tolist():
+                w = webp.BitReader(int(code.bits[k]).to_bytes(4, "little"))
+                assert w.symbol(table) == k and w.at == code.sizes[k]
